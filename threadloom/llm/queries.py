@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.line_dedup import line_dedup
+from threadloom.llm.mix_sources import ORACLE as MIX_SQL
+from threadloom.llm.mix_sources import mix_sources
+from threadloom.llm.packing import pack
 from threadloom.llm.quality_rules import quality_rules
 
 
@@ -19,9 +24,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_exact", "n_near", F.md5("text").alias("text_md5"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {"op2_quality_rules": op2_quality_rules}
+    found = [op2_quality_rules, op4_mix_sources, op7_line_dedup, op9_packing]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_sources": MIX_SQL}

@@ -1,0 +1,11 @@
+"""Joining small tables: broadcast below a checked bound, shuffle beyond it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def small(df: DataFrame, bound: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``bound`` rows (counted now); else unmarked, and Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
