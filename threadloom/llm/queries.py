@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.jaccard_join import jaccard_join
 from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mix_sources import ORACLE as MIX_SQL
 from threadloom.llm.mix_sources import mix_sources
@@ -34,12 +35,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_exact", "n_near", F.md5("text").alias("text_md5"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    found = [op2_quality_rules, op4_mix_sources, op7_line_dedup, op9_packing]
+    found = [op2_quality_rules, op4_mix_sources, op7_line_dedup, op8_jaccard_join, op9_packing]
     return {f.__name__: f for f in found}
 
 
