@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.html_extract import extract
 from threadloom.llm.jaccard_join import jaccard_join
 from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mix_sources import ORACLE as MIX_SQL
@@ -43,8 +44,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    found = [op2_quality_rules, op4_mix_sources, op7_line_dedup, op8_jaccard_join, op9_packing]
+    found = [op2_quality_rules, op4_mix_sources, op7_line_dedup, op8_jaccard_join, op9_packing, op10_html_extract]
     return {f.__name__: f for f in found}
 
 
