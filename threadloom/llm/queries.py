@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.ann import search
 from threadloom.llm.html_extract import extract
 from threadloom.llm.jaccard_join import jaccard_join
 from threadloom.llm.line_dedup import line_dedup
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return search(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules(docs).select(
@@ -49,7 +55,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_quality_rules, op4_mix_sources, op7_line_dedup, op8_jaccard_join, op9_packing, op10_html_extract]
+    found = [op1_ann, op2_quality_rules, op4_mix_sources, op7_line_dedup, op8_jaccard_join, op9_packing, op10_html_extract]
     return {f.__name__: f for f in found}
 
 
