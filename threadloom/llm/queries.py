@@ -13,7 +13,9 @@ from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mix_sources import ORACLE as MIX_SQL
 from threadloom.llm.mix_sources import mix_sources
 from threadloom.llm.packing import pack
+from threadloom.llm.quality_ranker import rank_quality
 from threadloom.llm.quality_rules import quality_rules
+from threadloom.llm.token_counts import head_body_tail, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +34,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the first line, the last line and what lies between, of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", head_body_tail(F.col("text")).alias("sections"))
+    counts = token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counts.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", "n_exact", "n_near", F.md5("text").alias("text_md5"))
@@ -55,7 +68,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_ann, op2_quality_rules, op4_mix_sources, op7_line_dedup, op8_jaccard_join, op9_packing, op10_html_extract]
+    found = [op1_ann, op2_quality_rules, op3_token_counts, op4_mix_sources, op6_quality_ranker, op7_line_dedup, op8_jaccard_join, op9_packing, op10_html_extract]
     return {f.__name__: f for f in found}
 
 
