@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.ann import search
 from threadloom.llm.html_extract import extract
 from threadloom.llm.jaccard_join import jaccard_join
+from threadloom.llm.license_scan import license_scan
 from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mix_sources import ORACLE as MIX_SQL
 from threadloom.llm.mix_sources import mix_sources
@@ -46,6 +47,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/shard/name; the first of each shard of 64 is its licence file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    name = F.when(F.col("doc_id") % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 64).cast("string"), name)
+    return license_scan(docs.withColumn("path", path)).select("doc_id", "path", "license", "how", "cosine", "license_path")
+
+
 def op6_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,7 +77,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_ann, op2_quality_rules, op3_token_counts, op4_mix_sources, op6_quality_ranker, op7_line_dedup, op8_jaccard_join, op9_packing, op10_html_extract]
+    found = [op1_ann, op2_quality_rules, op3_token_counts, op4_mix_sources, op5_license_scan, op6_quality_ranker, op7_line_dedup, op8_jaccard_join, op9_packing, op10_html_extract]
     return {f.__name__: f for f in found}
 
 
