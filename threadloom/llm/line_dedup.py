@@ -156,17 +156,17 @@ def line_dedup(docs: DataFrame, min_words: int = 8, max_edits: int = 1) -> DataF
     docs = docs.drop("n_lines", "n_exact", "n_near")
     gone = dropped_lines(docs.select("doc_id", "text"), min_words, max_edits)
     by_doc = gone.groupBy("doc_id").agg(
-        F.collect_set("no").alias("gone"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near")
+        F.collect_set("no").alias("_gone"), F.count_if("exact").alias("_exact"), F.count_if(~F.col("exact")).alias("_near")
     )
-    by_doc = written(by_doc, "gone").withColumnRenamed("doc_id", "of")
+    by_doc = written(by_doc, "gone").withColumnRenamed("doc_id", "_of")
     lines = F.split("text", "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda l, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
+        F.array_join(F.filter(lines, lambda l, i: ~F.array_contains("_gone", i)), "\n")
     )
-    out = docs.join(by_doc, docs["doc_id"] == by_doc["of"], "left")
+    out = docs.join(by_doc, docs["doc_id"] == by_doc["_of"], "left")
     columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     zero = F.lit(0).cast("long")
     return out.select(
         *columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("n_exact", zero).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"),
+        F.coalesce("_exact", zero).alias("n_exact"), F.coalesce("_near", zero).alias("n_near"),
     )

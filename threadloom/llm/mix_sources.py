@@ -91,9 +91,9 @@ def source_cuts(slim: DataFrame, targets: DataFrame) -> DataFrame:
             "cut",
         )
     cuts = open_.select(F.col("source").alias("s"), F.col("head").alias("cut"), F.col("due").alias("part"), "own")
-    return (
-        plan.join(cuts, plan["source"].eqNullSafe(cuts["s"]), "left")
-        .select(F.col("source").alias("of"), "source_size", "target", "epochs", F.coalesce("cut", F.lit("")).alias("cut"), "part", "own")
+    return plan.join(cuts, plan["source"].eqNullSafe(cuts["s"]), "left").select(
+        F.col("source").alias("_of"), "source_size", "target", F.col("epochs").alias("_epochs"), F.coalesce("cut", F.lit("")).alias("_cut"),
+        F.col("part").alias("_part"), F.col("own").alias("_own"),
     )
 
 
@@ -109,15 +109,15 @@ def mix_sources(
     slim = written(docs.select("source", random_key(seed).alias("key"), n_words(F.col("text")).alias("size")), "sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     cuts = small(written(source_cuts(slim, source_targets(sizes, weights, share, max_epochs)), "cuts"))
-    key, size = F.col("mix_key"), F.col("size")
-    part = F.floor(size * F.col("part") / F.col("own")).cast("long")
-    more = F.when(key < F.col("cut"), size).when(key == F.col("cut"), part).otherwise(F.lit(0))
-    once = F.when(key < F.col("cut"), 1).when((key == F.col("cut")) & (2 * part >= size), 1).otherwise(F.lit(0))
-    joined = docs.withColumn("size", n_words(F.col("text"))).withColumn("mix_key", random_key(seed))
-    return joined.join(cuts, joined["source"].eqNullSafe(cuts["of"]), "left").select(
+    key, size = F.col("_key"), F.col("size")
+    part = F.floor(size * F.col("_part") / F.col("_own")).cast("long")
+    more = F.when(key < F.col("_cut"), size).when(key == F.col("_cut"), part).otherwise(F.lit(0))
+    once = F.when(key < F.col("_cut"), 1).when((key == F.col("_cut")) & (2 * part >= size), 1).otherwise(F.lit(0))
+    joined = docs.withColumn("size", n_words(F.col("text"))).withColumn("_key", random_key(seed))
+    return joined.join(cuts, joined["source"].eqNullSafe(cuts["_of"]), "left").select(
         *docs.columns, "size", "source_size", "target",
-        (F.col("epochs") * size + more).cast("long").alias("taken"),
-        (F.col("epochs") + once).cast("int").alias("copies"),
+        (F.col("_epochs") * size + more).cast("long").alias("taken"),
+        (F.col("_epochs") + once).cast("int").alias("copies"),
     )
 
 
