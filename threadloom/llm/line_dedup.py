@@ -163,7 +163,8 @@ def line_dedup(docs: DataFrame, min_words: int = 8, max_edits: int = 1) -> DataF
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(lines, lambda l, i: ~F.array_contains("_gone", i)), "\n")
     )
-    out = docs.join(by_doc, docs["doc_id"] == by_doc["_of"], "left")
+    # one plan at every size: the lost lines grow with the texts
+    out = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc["_of"], "left")
     columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     zero = F.lit(0).cast("long")
     return out.select(
