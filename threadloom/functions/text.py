@@ -9,3 +9,44 @@ from pyspark.sql import functions as F
 def terms(text: Column) -> Column:
     """Lower-case ASCII letter-and-digit runs of ``text``, in order."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def truncate(text: Column, most: int) -> Column:
+    """One line of at most ``most`` characters; a cut is marked."""
+    flat = F.regexp_replace(text, "\n", " ")
+    return F.when(F.char_length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most - 1), F.lit("…")))
+
+
+def human_bytes(n: Column) -> Column:
+    def unit(power: int, name: str) -> Column:
+        return F.format_string(f"%.1f {name}", n / float(1024**power))
+
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
+
+
+def home_relative(path: Column, home: str) -> Column:
+    inside = F.startswith(path, F.lit(home.rstrip("/") + "/"))
+    return F.when(inside, F.concat(F.lit("~"), F.substr(path, F.lit(len(home.rstrip("/")) + 1)))).otherwise(path)
+
+
+def last_part(path: Column) -> Column:
+    return F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
+
+
+def snippet(text: Column, needle: str, lead: int = 40, trail: int = 120) -> Column:
+    """The text around the first match, else its head."""
+    at = F.locate(needle.lower(), F.lower(text))
+    start = F.greatest(at - lead, F.lit(1))
+    return F.when(at > 0, F.substr(text, start, at - start + len(needle) + trail)).otherwise(F.substring(text, 1, lead + trail))
+
+
+def folded(text: Column) -> Column:
+    return F.translate(F.lower(text), "ς", "σ")
+
+
+def printable(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+
+
+def git_verb(command: Column, verb: str) -> Column:
+    return command.rlike(r"\bgit(?:\s+(?:-[Cc]\s+\S+|--?[\w-]+(?:=\S+)?))*\s+" + verb + r"\b")

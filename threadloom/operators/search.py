@@ -1,13 +1,25 @@
-"""Ranked full-text search."""
+"""Full-text, exact and fused search."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import terms
 
 
+def postings(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, dl) of ``docs`` (doc_id, text): the index that many queries share."""
+    words = terms(F.coalesce("text", F.lit("")))
+    held = docs.select("doc_id", words.alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return held.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def uses(words: str, term: str):
+    """How often an array column holds a term."""
+    return F.size(F.filter(words, lambda t: t == term))
+
+
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 score of every row of ``docs`` (doc_id, text) that holds all query terms.
 
@@ -15,10 +27,9 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) ->
     one aggregate row, so ranking shuffles nothing but that row.
     """
     words = terms(F.coalesce("text", F.lit("")))
-    held = docs.select(
-        "doc_id", F.size(words).alias("dl"),
-        *[F.size(F.filter(words, lambda t, q=q: t == q)).alias(f"tf{k}") for k, q in enumerate(query)],
-    )
+    held = docs.select("doc_id", words.alias("words")).select(
+        "doc_id", F.size("words").alias("dl"), *[uses("words", q).alias(f"tf{k}") for k, q in enumerate(query)]
+    )
     stats = held.agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"),
         *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(query))],
@@ -28,7 +39,41 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) ->
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    every = [F.col(f"tf{k}") > 0 for k in range(len(query))]
-    for e in every:
-        held = held.where(e)
+    for k in range(len(query)):
+        held = held.where(F.col(f"tf{k}") > 0)
     return held.join(F.broadcast(stats)).select("doc_id", score.alias("score"))
+
+
+def exact(docs: DataFrame, literal: str, case_sensitive: bool = False) -> DataFrame:
+    """Rows whose text holds the literal; an empty literal finds none."""
+    if not literal:
+        return docs.where(F.lit(False))
+    if case_sensitive:
+        return docs.where(F.contains("text", F.lit(literal)))
+    return docs.where(F.contains(F.lower("text"), F.lit(literal.lower())))
+
+
+def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
+    """Rows that hold the words one after another."""
+    joined = F.concat(F.lit(" "), F.array_join(terms(F.coalesce("text", F.lit(""))), " "), F.lit(" "))
+    return docs.where(F.contains(joined, F.lit(f" {' '.join(words)} ")))
+
+
+def best_of_session(hits: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best sessions by their best chunk, ties by id."""
+    return hits.groupBy("session_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "session_id").limit(limit)
+
+
+def fuse(channels: list[tuple[DataFrame, float]], limit: int, offset: float = 60.0) -> DataFrame:
+    """Weighted reciprocal-rank fusion of ranked lists (id, score): each id adds weight / (offset + rank), ranks from 0.
+
+    The windows rank hit lists, which search limits bound.
+    """
+    parts = None
+    for hits, weight in channels:
+        once = hits.groupBy("id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.orderBy(F.col("score").desc(), "id")) - 1
+        one = once.select("id", (weight / (offset + rank)).alias("part"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.col("score").desc(), "id").limit(limit)
+

@@ -1,28 +1,14 @@
-"""Queries over the driver tables, each with its DuckDB equivalent where SQL can express it."""
+"""All queries over the driver tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from threadloom.functions.text import terms
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def q03_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from threadloom.operators.search import bm25
-
-    return bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), ["the", "and"]).withColumn(
-        "score", F.round("score", 6)
-    )
+from threadloom.plans import aggregates, catalog, joins, search, transforms  # noqa: F401  they register their queries
+from threadloom.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict:
-    return {"q03_bm25": q03_bm25}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
