@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 # FNV-1a basis and prime, finaliser multipliers, and the domain bytes of hunks and lines.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -37,7 +38,7 @@ def hunk_print(text: str) -> int | None:
     return fingerprint(HUNK + "\n".join(kept).encode()) if kept else None
 
 
-@pandas_udf("array<long>")
+@pandas_udf(ArrayType(LongType()))
 def edit_prints(texts: pd.Series) -> pd.Series:
     """The hunk's print, then its lines', each once, 64 at most."""
 
