@@ -84,8 +84,9 @@ def section_counts(text: str, sections: list, enc, sizes: np.ndarray, rule: str)
     spans = sorted((max(0, s["start"]), min(n, s["end"]), s["name"]) for s in sections if s and s["start"] is not None and s["end"] is not None)
     spans = [(a, min(b, spans[k + 1][0]) if k + 1 < len(spans) else b, name) for k, (a, b, name) in enumerate(spans)]
     out: dict = defaultdict(lambda: [0, 0.0])
-    for _, _, name in spans:
-        out[name][0] += 0
+    for s in sections:
+        if s:
+            out[s["name"]][0] += 0
     spans = [s for s in spans if s[1] > s[0]]
     starts, stops = (np.array([at[s[k]] for s in spans], np.int64) for k in (0, 1))
     got = attribute(ends, starts, stops, rule)

@@ -78,7 +78,6 @@ class Wrapper:
                     own = self.groups.setdefault(path, [])
                     if group not in own:
                         own.append(group)
-                    self.flags[(*path, key)][1] = True
             else:
                 at = place + 1
                 known.insert(at, key)
