@@ -68,3 +68,42 @@ def test_sqlite_source(spark, tmp_path):
     read = spark.read.format("sqlite").option("paths", ",".join(paths)).option("query", "SELECT session_id, role, content FROM messages")
     rows = read.schema("session_id string, role string, content string").load().orderBy("session_id", "role").collect()
     assert [tuple(r) for r in rows] == [("s0", "assistant", None), ("s0", "user", "a"), ("s1", "assistant", None), ("s1", "user", "a")]
+
+
+def test_emit_round_trip(spark, tmp_path):
+    from threadloom.sources import emit
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/s.jsonl").write_text("\n".join(json.dumps(x) for x in CLAUDE))
+    first = J.read_claude(spark, str(tmp_path / "a")).cache()
+    emit.claude_lines(first).orderBy("msg_idx").coalesce(1).select("value").write.text(str(tmp_path / "b"))
+    again = J.read_claude(spark, str(tmp_path / "b"))
+    columns = ["session_id", "msg_idx", "id", "parent_id", "role", "kind", "origin", "ts", "model", "content"]
+    assert again.select(columns).orderBy("msg_idx").collect() == first.select(columns).orderBy("msg_idx").collect()
+    assert emit.fidelity(first, again).where("lost > 0").count() == 0
+    assert emit.markdown(first).first().value.startswith("## user\n\nfix it\n\n## assistant\n\nhm\n\nok")
+
+
+def test_event_rows_and_affordances(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from threadloom.operators import tools as O
+
+    patch = "*** Begin Patch\n*** Update File: a.py\n*** Add File: b.py\n"
+    calls = [
+        ("s", 0, "1", "Edit", '{"file_path": "/x"}', False), ("s", 1, "2", "Bash", '{"command": "ls"}', True), ("s", 2, "3", "apply_patch", json.dumps({"input": patch}), None),
+        ("s", 3, "4", "ns:Read", '{"path": "/y"}', False), ("s", 4, "5", "Grep", '{"pattern": "z"}', False), ("s", 5, "6", "TodoWrite", "{}", False), ("s", 6, "7", None, None, None),
+    ]
+    df = spark.createDataFrame(calls, "session_id string, msg_idx int, call_id string, tool string, input string, failed boolean").withColumn("ts", F.lit(None).cast("timestamp"))
+    rows = {(r.call_id, r.kind, r.target, r.call) for r in O.event_rows(df).collect()}
+    assert rows == {
+        ("1", "file_edit", "/x", True), ("2", "command", "ls", True), ("2", "error", None, False), ("3", "file_edit", "a.py", True), ("3", "file_edit", "b.py", False),
+        ("4", "file_read", "/y", True), ("5", "tool", "z", True), ("6", "tool", None, True), ("7", "tool", None, True),
+    }
+    kinds = [r.a and r.a.kind for r in df.orderBy("msg_idx").select(O.affordance(F.col("tool")).alias("a")).collect()]
+    assert kinds == [None, None, None, None, None, "plan", None]
+    said = spark.createDataFrame([("[main 1a2b3c4] x", "1A2B3C4D5E"), ("zz1a2b3c4", "1a2b3c4"), (None, "1a2b3c4")], "o string, s string")
+    assert [r[0] for r in said.select(O.names_commit(F.col("o"), F.col("s"))).collect()] == [True, False, None]
+    tree = [("s", 0, "a", None), ("s", 1, "b", "a"), ("s", 2, "c", "a"), ("s", 3, "d", "c")]
+    branch = O.active_branch(spark.createDataFrame(tree, "session_id string, msg_idx int, id string, parent_id string")).collect()
+    assert {r.id for r in branch} == {"a", "c", "d"}

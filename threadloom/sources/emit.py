@@ -1,0 +1,54 @@
+"""Writing messages back as transcript records and documents, one text column a record."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def claude_lines(messages: DataFrame) -> DataFrame:
+    """(session_id, msg_idx, value): JSONL records; ``value`` in order of msg_idx is a session's file."""
+    role = F.when(F.col("role").isin("assistant", "system"), F.col("role")).otherwise("user")
+    content = F.to_json(F.transform("content", part))
+    fields = {
+        "type": F.to_json(F.struct(role.alias("x"))), "uuid": json_field("id"), "parentUuid": json_field("parent_id"), "sessionId": json_field("session_id"),
+        "timestamp": F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("x"))),
+    }
+    parts = [F.when(F.get_json_object(v, "$.x").isNotNull(), F.concat(F.lit(f'"{k}":'), F.regexp_extract(v, r'(?s)^\{"x":(.*)\}$', 1))) for k, v in fields.items()]
+    summary = F.when(F.col("kind") == "compaction_summary", F.lit('"isCompactSummary":true')).when(F.col("kind") == "compaction_boundary", F.lit('"subtype":"compact_boundary"'))
+    model = F.when(F.col("model").isNotNull(), F.concat(F.lit('"model":'), F.regexp_extract(json_field("model"), r'(?s)^\{"x":(.*)\}$', 1)))
+    message = F.concat(F.lit('"message":{'), F.concat_ws(",", F.concat(F.lit('"role":"'), role, F.lit('"')), model, F.concat(F.lit('"content":'), content)), F.lit("}"))
+    return messages.select("session_id", "msg_idx", F.concat(F.lit("{"), F.concat_ws(",", *parts, summary, message), F.lit("}")).alias("value"))
+
+
+def json_field(column: str) -> Column:
+    return F.to_json(F.struct(F.col(column).alias("x")))
+
+
+def part(b: Column) -> Column:
+    """A block as a record's part: its type and the fields that type has."""
+    kind = b["type"]
+    result = kind == "tool_result"
+    return F.struct(
+        kind.alias("type"), F.when(kind == "text", b["text"]).alias("text"), F.when(kind == "thinking", b["text"]).alias("thinking"), b["id"].alias("id"),
+        b["name"].alias("name"), F.when(kind == "tool_use", F.try_parse_json(b["input"])).alias("input"), b["tool_use_id"].alias("tool_use_id"),
+        F.when(result, b["text"]).alias("content"), b["is_error"].alias("is_error"),
+    )
+
+
+def markdown(messages: DataFrame) -> DataFrame:
+    """(session_id, value): one document a session, a heading a message and its texts."""
+    texts = F.array_join(F.filter(F.transform("content", lambda b: b["text"]), lambda t: t.isNotNull()), "\n\n")
+    section = F.concat(F.lit("## "), "role", F.lit("\n\n"), texts)
+    ordered = F.sort_array(F.collect_list(F.struct("msg_idx", section.alias("s"))))
+    return messages.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "\n\n").alias("value"))
+
+
+def fidelity(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(kind, before, after, lost): blocks of each type on both sides of a conversion."""
+
+    def tally(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.explode("content").alias("b")).groupBy(F.col("b.type").alias("kind")).agg(F.count("*").alias(name))
+
+    both = tally(before, "before").join(tally(after, "after"), "kind", "full").na.fill(0, ["before", "after"])
+    return both.withColumn("lost", F.greatest(F.col("before") - F.col("after"), F.lit(0)))
