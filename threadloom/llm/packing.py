@@ -9,9 +9,10 @@ a piece's place in its class is a distributed prefix sum of counts by (class, co
 hash, fine hash) and its bin is place // k. The pieces of the last, unfilled bin of
 each class, bounded by the classes and not by the input, are packed best fit decreasing.
 
-Tokens are looked up by word: the tokenizer's normaliser and pre-tokeniser never
-join characters across 0x20 or 0x09-0x0D, so a text's ids are those of its words in
-turn. Ids depend only on the word and are kept in a bounded cache.
+Tokens are looked up by word: the tokenizer's normaliser and pre-tokeniser never join
+characters across 0x20 or 0x09-0x0D, nor an ASCII letter or digit and a mark after it, so
+a text's ids are those of such units in turn. Ids depend only on the unit, in any ASCII
+case, and are kept in a bounded cache.
 
 Defined results: null and empty texts have the end id alone; repeated rows are each
 packed; long texts are cut as any other; an empty table gives no rows.
@@ -20,23 +21,26 @@ packed; long texts are cut as any other; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.llm.arrays import Texts
+from threadloom.llm.batches import slices
 from threadloom.session import written
 
 CAPACITY = 4096
 END_ID = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: sequence_id = bin * SPAN + class; class 0 holds the left-over pieces
 SPAN = 8192
-SPLIT = re.compile(r"[\x20\x09-\x0D]+")
+#: new words encoded as one text
+JOINED = 500
 
 _caches: dict[str, tuple] = {}
 
@@ -56,29 +60,95 @@ def cuts(n: int, capacity: int, slack: float) -> list[tuple[int, int]]:
 
 
 class WordIds:
-    """Ids of a word as little-endian unsigned 32-bit bytes, from a tokenizer file, with a bounded cache."""
+    """Token ids of words from a tokenizer file, kept in flat arrays and found by word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        split = [SPLIT.split(t) if _has_rare_space(t) else t.split(" ") for t in texts]
-        new = set().union(*split) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = set().union(*split)
-        new = list(new)
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-        find = self.cache.__getitem__
-        return [b"".join(map(find, words)) for words in split]
-
-
-def _has_rare_space(text: str) -> bool:
-    return any(c in text for c in "\n\t\r\x0b\x0c")
+        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
+        self.clear()
+
+    def clear(self) -> None:
+        self.found: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.batches = np.zeros(0, np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words; many are one text for the tokenizer, set apart by a special token."""
+        odd = [w for w in words if any(s in w for s in self.special)] if self.special else words
+        plain = sorted(set(words).difference(odd)) if odd else words
+        flat, sizes = [], []
+        if plain:
+            mark = self.special[0]
+            mark_id = self.tokenizer.token_to_id(mark)
+            texts = [mark.join(plain[a : a + JOINED]) + mark for a in range(0, len(plain), JOINED)]
+            for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                flat.append(np.array(got.ids, np.uint32))
+            ids = np.concatenate(flat)
+            ends = np.flatnonzero(ids == mark_id)
+            sizes = [np.diff(ends, prepend=-1) - 1]
+            flat = [ids[ids != mark_id]]
+        for got in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
+            flat.append(np.array(got.ids, np.uint32))
+            sizes.append(np.array([len(got.ids)]))
+        own = np.concatenate(sizes).astype(np.int64)
+        self.found.update(zip([*plain, *odd], range(len(self.sizes), len(self.sizes) + len(own))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(own) - own])
+        self.sizes = np.concatenate([self.sizes, own])
+        self.ids = np.concatenate([self.ids, *flat])
+        self.batches = np.concatenate([self.batches, np.zeros(len(own), np.int32)])
+
+    def of_texts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch end to end, and the offsets of its rows in them."""
+        raw = texts.raw
+        if not (raw[:-1] == 60).any() or b"<|" not in raw.tobytes():  # special tokens mind their case
+            raw = raw + ((raw >= 65) & (raw <= 90)) * np.uint8(32)
+        begins = np.zeros(len(raw), bool)
+        begins[texts.starts] = True
+        begins[1:] |= _ALNUM[raw[:-1]] & _MARK[raw[1:]]
+        starts = np.flatnonzero(begins)
+        offsets = np.append(np.cumsum(texts.inside)[starts] - 1, texts.inside.sum()).astype(np.int64)
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[texts.inside])))
+        coded = units.dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [w for w in distinct if w not in self.found]
+        if len(self.found) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = [w for w in distinct if w not in self.found]
+        if new:
+            self.learn(new)
+        slots = np.fromiter(map(self.found.__getitem__, distinct), np.int64, len(distinct))
+        self.batches[slots] += 1
+        slot = slots[codes]
+        sizes = self.sizes[slot]
+        upto = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=upto[1:])
+        ids = self.ids[np.repeat(self.starts[slot] - upto[:-1], sizes) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, texts.at)]
+
+    def forget(self) -> None:
+        """Keeps the units that more than one batch has held, if they are half of the cache at most."""
+        old, kept = self, np.flatnonzero(self.batches > 1)
+        found, ids, starts, sizes = old.found, old.ids, old.starts, old.sizes
+        self.clear()
+        if not len(kept) or len(kept) > CACHE_WORDS // 2:
+            return
+        place = np.full(len(sizes), -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        self.found = {w: int(place[k]) for w, k in found.items() if place[k] >= 0}
+        self.sizes = sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = ids[np.repeat(starts[kept] - self.starts, self.sizes) + np.arange(self.sizes.sum())]
+        self.batches = np.zeros(len(kept), np.int32)
+
+
+# Where a letter or digit meets one of these marks the pre-tokeniser always splits.
+_ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,!?;:*%$&#()[]{}=+@/\\\"~^`-_")] = True
 
 
 def word_ids(path: str) -> WordIds:
@@ -99,11 +169,12 @@ def pieces(docs: DataFrame, path: str, capacity: int, slack: float) -> DataFrame
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         find = word_ids(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in slices(batch, "text"):
                 which, rows = [], []
-                for i, ids in enumerate(find.of_texts([t or "" for t in part.column("text").to_pylist()])):
-                    ids += end
+                flat, at = find.of_texts(Texts(part.column("text")))
+                raw = flat.astype("<u4").tobytes()
+                for i in range(part.num_rows):
+                    ids = raw[4 * at[i] : 4 * at[i + 1]] + end
                     start, n = 0, len(ids) // 4
                     for length, k in cuts(n, capacity, slack):
                         which.append(i)
