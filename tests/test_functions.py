@@ -82,10 +82,10 @@ def test_frontier_and_chain(spark):
     prev, chain = "", []
     for k in range(1, 4):
         body = json.dumps({"k": k})
-        h = hashlib.sha256(f"cv-receipt-v1\n{prev}\n{body}".encode()).hexdigest()
+        h = hashlib.sha256(f"receipt-v1\n{prev}\n{body}".encode()).hexdigest()
         chain.append(("s", k, prev, body if k != 3 else body + " ", h))
         prev = h
-    got = A.verified_chain(spark.createDataFrame(chain, "s string, seq long, prev string, body string, hash string"), "s").orderBy("seq").collect()
+    got = A.verified_chain(spark.createDataFrame(chain, "s string, seq long, prev string, body string, hash string"), "s", "receipt-v1").orderBy("seq").collect()
     assert [r.ok for r in got] == [True, True, False]
 
 

@@ -64,11 +64,11 @@ def frontier(rows: DataFrame, by: list[str], seq: str) -> DataFrame:
     return runs.groupBy(*by).agg(F.coalesce(reached, F.lit(0)).cast("long").alias("frontier"), F.max("last").alias("highest"), (F.count("*") - F.when(F.min("first") == 1, 1).otherwise(0)).alias("gaps"))
 
 
-def verified_chain(rows: DataFrame, by: str) -> DataFrame:
-    """(by, seq, ok): numbers contiguous from 1, each previous hash the one before, each hash right."""
+def verified_chain(rows: DataFrame, by: str, domain: str) -> DataFrame:
+    """(by, seq, ok): numbers contiguous from 1, each previous hash the one before, each hash that of domain, previous hash and body."""
     w = Window.partitionBy(by).orderBy("seq")
     before = F.coalesce(F.lag("hash").over(w), F.lit(""))
-    right = F.sha2(F.concat(F.lit("cv-receipt-v1\n"), F.col("prev"), F.lit("\n"), F.col("body")), 256) == F.col("hash")
+    right = F.sha2(F.concat(F.lit(domain + "\n"), F.col("prev"), F.lit("\n"), F.col("body")), 256) == F.col("hash")
     return rows.select(by, "seq", ((F.col("seq") == F.row_number().over(w)) & (F.col("prev") == before) & right).alias("ok"))
 
 
