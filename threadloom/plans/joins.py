@@ -196,3 +196,28 @@ def e06_inbox(t):
 @query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS closed, count(*) FILTER (o_orderstatus = 'O') AS open, max(o_orderdate) AS last FROM orders GROUP BY o_orderpriority""")
 def e10_inbox_page(t):
     return t.orders.groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("closed"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.max("o_orderdate").alias("last"))
+
+
+@query("""WITH i AS (SELECT DISTINCT md5(CAST(o_custkey AS VARCHAR)) AS id FROM orders), s AS (SELECT id, id[1:n] AS short, n FROM i, (SELECT unnest(range(3, 33)) AS n)),
+a AS (SELECT min(id) AS id, short, min(n) AS n FROM s GROUP BY short HAVING count(*) = 1) SELECT id, arg_min(short, n) AS short FROM a GROUP BY id""")
+def p25_short_ids(t):
+    from threadloom.functions.ids import short_ids
+
+    return short_ids(t.orders.select(F.md5(F.col("o_custkey").cast("string")).alias("id")), "id", 3)
+
+
+@query("""SELECT regexp_replace(who, '^web:', '') AS actor, count(*) AS n, count(DISTINCT who) AS names FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'web:' ELSE '' END || CAST(user_id % 20 AS VARCHAR) AS who FROM events) GROUP BY 1""")
+def j14_actors(t):
+    from threadloom.functions.ids import actor
+
+    who = F.concat(F.when(F.col("event_id") % 2 == 0, "web:").otherwise(""), (F.col("user_id") % 20).cast("string"))
+    return t.events.select(who.alias("who")).groupBy(actor(F.col("who")).alias("actor")).agg(F.count("*").alias("n"), F.countDistinct("who").alias("names"))
+
+
+@query("""WITH d AS (SELECT l_suppkey, l_extendedprice - lag(l_extendedprice) OVER w AS used, l_quantity - lag(l_quantity) OVER w AS est FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice))
+SELECT l_suppkey, round(median(used / est), 4) AS scale FROM d WHERE used > 0 AND est > 0 GROUP BY l_suppkey""")
+def p10_calibrated_scale(t):
+    """Median ratio of reported to estimated growth over the steps where both grow."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    d = t.lineitem.select("l_suppkey", (F.col("l_extendedprice") - F.lag("l_extendedprice").over(w)).alias("used"), (F.col("l_quantity") - F.lag("l_quantity").over(w)).alias("est"))
+    return d.where("used > 0 AND est > 0").groupBy("l_suppkey").agg(F.round(F.median(F.col("used") / F.col("est")), 4).alias("scale"))
