@@ -38,7 +38,7 @@ from threadloom.llm.small import small
 from threadloom.session import written
 
 SLOT_BITS, BLOCK = 22, 1 << 16
-PAIR_BUCKET, ROUNDS, FIRST_MATES, RANGES = 24, 5, 4, 8
+PAIR_BUCKET, ROUNDS, FIRST_MATES, RANGES = 16, 5, 4, 8
 MAX_BROADCAST_IDS = 200_000
 
 
@@ -76,7 +76,7 @@ def slot_counts(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(1 << SLOT_BITS, np.int64)
+        total = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), size)
@@ -85,7 +85,7 @@ def slot_counts(docs: DataFrame, size: int) -> np.ndarray:
             blocks = total.reshape(-1, BLOCK)
             yield pa.record_batch({
                 "block": pa.array(range(len(blocks)), pa.int32()), "task": pa.array([TaskContext.get().partitionId()] * len(blocks), pa.int32()),
-                "counts": pa.array([zlib.compress(b.tobytes(), 1) for b in blocks]),
+                "counts": pa.array([zlib.compress(b.astype(np.int64).tobytes(), 1) for b in blocks]),
             })
 
     def add(table: pa.Table) -> pa.Table:
@@ -155,9 +155,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 class Join:
     """The rounds over the buckets of one self-join."""
 
-    def __init__(self, meta: DataFrame, sets: DataFrame, percent: int):
-        #: meta: (doc, n, ranges); sets: (doc, shingles)
-        self.meta, self.sets, self.percent = meta, sets, percent
+    #: (doc, shingles) of all documents that may be compared
+    sets: DataFrame
+
+    def __init__(self, meta: DataFrame, percent: int):
+        #: (doc, n, ranges)
+        self.meta, self.percent = meta, percent
 
     def overlap(self, n: Column, m: Column) -> Column:
         """Least common shingles of linked sets of n and m: ceil(p (n + m) / (100 + p))."""
@@ -167,18 +170,27 @@ class Join:
         """Distinct (a, b), a < b, of rows that share a shingle and pass the filters."""
         x, y = left.alias("x"), right.alias("y")
         n, m = F.col("x.n"), F.col("y.n")
-        need = self.overlap(n, m)
         length = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
-        positional = 1 + F.least(n - F.col("x.pos"), m - F.col("y.pos")) >= need
-        apart = F.aggregate(F.zip_with("x.ranges", "y.ranges", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-        pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(F.col("x.doc") != F.col("y.doc"))
-        pairs = pairs.where(length & positional & (apart <= n + m - 2 * need))
-        return pairs.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+        positional = 1 + F.least(n - F.col("x.pos"), m - F.col("y.pos")) >= self.overlap(n, m)
+        pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(F.col("x.doc") < F.col("y.doc"))
+        pairs = pairs.where(length & positional).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+        return self.suffix_filtered(pairs)
+
+    def suffix_filtered(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose counts by hash range leave room for the overlap that a link needs."""
+        a = self.meta.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("r_a"))
+        b = self.meta.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("r_b"))
+        apart = F.aggregate(F.zip_with("r_a", "r_b", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+        room = F.col("n_a") + F.col("n_b") - 2 * self.overlap(F.col("n_a"), F.col("n_b"))
+        return pairs.join(small(a, MAX_BROADCAST_IDS), "a").join(small(b, MAX_BROADCAST_IDS), "b").where(apart <= room).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, common, total) of the pairs: sizes of intersection and union."""
-        a = self.sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a"))
-        b = self.sets.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b"))
+        pairs = written(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        sets = self.sets.join(small(ids, MAX_BROADCAST_IDS), "doc", "left_semi")
+        a = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a"))
+        b = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b"))
         common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
         both = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
         return both.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("total"))
@@ -186,13 +198,16 @@ class Join:
     def links(self, checked: DataFrame) -> DataFrame:
         return checked.where(100 * F.col("common") >= self.percent * F.col("total")).select("a", "b")
 
-    def rounds(self, active: DataFrame) -> list[DataFrame]:
-        """Links of all buckets of ``active`` (shingle, doc, pos, n, ranges, held): enough to connect what is linked."""
+    def rounds(self, active: DataFrame, first_pairs: DataFrame) -> list[DataFrame]:
+        """Links of all buckets of ``active`` (shingle, doc, pos, n, held): enough to connect what is linked.
+
+        ``first_pairs`` are the candidates of the buckets that are small from the start.
+        """
         found, waiting = [], []
         near = F.lit(1 - 2 * (1 - self.percent / 100) - 1e-9)
         for turn in range(ROUNDS + 1):
             low = active.where(F.col("held") <= PAIR_BUCKET) if turn < ROUNDS else active
-            pairs = self.filtered(low, low.where("doc IS NOT NULL")).where("a < b")
+            pairs = first_pairs if turn == 0 and ROUNDS else self.filtered(low, low.where("doc IS NOT NULL"))
             found.append(written(self.links(self.verified(pairs)), "links"))
             if turn == ROUNDS:
                 break
@@ -209,7 +224,7 @@ class Join:
             alike = checked.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), (F.col("common") / F.col("total")).alias("alike"), (100 * F.col("common") >= self.percent * F.col("total")).alias("linked"))
             told = written(seated.join(alike, ["doc", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "told")
             waiting.append((told.where("linked"), told.where(~F.col("linked") & (F.col("alike") >= near))))
-            rest = told.where(~F.col("linked")).select("shingle", "doc", "pos", "n", "ranges")
+            rest = told.where(~F.col("linked")).select("shingle", "doc", "pos", "n")
             held = rest.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
             active = written(rest.join(held, "shingle"), "active")
         return self.late(found, waiting)
@@ -253,21 +268,42 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select("doc_id", "text")
     cut = written(prefixes(docs, size, percent), "prefixes")
     real = cut.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(
-        real.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.min_by(F.struct("n", "ranges", "prefix"), "doc_id").alias("s")).select("f1", "f2", "doc", "s.*"),
-        "classes",
-    )
-    exploded = classes.select("doc", F.posexplode("prefix").alias("pos", "shingle"))
+    classes = written(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc")), "classes")
+    copies = real.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).where("doc_id <> doc").select("doc_id", "f1", "f2")
+    own = real.join(small(written(copies, "copies"), MAX_BROADCAST_IDS), ["doc_id", "f1", "f2"], "left_anti").withColumnRenamed("doc_id", "doc")
+    exploded = own.select("doc", F.posexplode("prefix").alias("pos", "shingle"))
     held = exploded.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
     shared = written(exploded.join(held, "shingle"), "shared")
     ids = written(shared.select("doc").distinct(), "shared_ids")
-    meta = classes.select("doc", "n", "ranges").join(small(ids, MAX_BROADCAST_IDS), "doc", "left_semi")
-    active = written(shared.join(meta, "doc").withColumn("pos", F.col("pos") + 1), "active")
-    sets = written(sets_of(docs, ids, size).dropDuplicates(["doc"]), "sets")
-    links = Join(meta, sets, percent).rounds(active)
-    label = components(union(links)).select(F.col("id").alias("doc"), "component")
-    named = classes.select("f1", "f2", "doc").join(label, "doc", "left").select("f1", "f2", F.coalesce("component", "doc").alias("class"))
+    meta = own.select("doc", "n", "ranges").join(small(ids, MAX_BROADCAST_IDS), "doc", "left_semi").dropDuplicates(["doc"])
+    meta = written(meta, "meta")
+    sizes = small(meta.select("doc", "n"), MAX_BROADCAST_IDS)
+    active = written(shared.join(sizes, "doc").withColumn("pos", F.col("pos") + 1), "active")
+    join = Join(meta, percent)
+    low = active.where(F.col("held") <= PAIR_BUCKET)
+    first = written(join.filtered(low, low.where("doc IS NOT NULL")), "first_pairs")
+    needed = first.select(F.col("a").alias("doc")).union(first.select("b")).union(active.where(F.col("held") > PAIR_BUCKET).select("doc")).distinct()
+    join.sets = written(sets_of(docs, written(needed, "needed"), size).dropDuplicates(["doc"]), "sets")
+    label = components(union(join.rounds(active, first))).select(F.col("id").alias("doc"), "component")
+    named = classes.join(label, "doc", "left").select("f1", "f2", F.coalesce("component", "doc").alias("class"))
     return cut.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+#: DuckDB SQL for the rows of ``jaccard_join`` on documents, by all pairs that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.y, s.doc_id)) AS component_id
+FROM sets s LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = s.doc_id
+"""

@@ -171,3 +171,28 @@ def line_dedup(docs: DataFrame, min_words: int = 8, max_edits: int = 1) -> DataF
         *columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("_exact", zero).alias("n_exact"), F.coalesce("_near", zero).alias("n_near"),
     )
+
+
+#: DuckDB SQL for op7's rows on documents: all earlier lines that share a variant with one word left out, compared word by word.
+ORACLE = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents
+), held AS (SELECT doc_id, no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), firsts AS (SELECT line, min((doc_id, no)) AS place, any_value(w) AS w FROM held GROUP BY line
+), long AS (SELECT place, w, len(w) AS n FROM firsts WHERE len(w) >= 8
+), cut AS (SELECT place, n, unnest(range(1, n + 1)) AS i, w FROM long
+), without AS (SELECT place, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest FROM cut
+), pairs AS (
+  SELECT a.place AS x, b.place AS y FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.n = b.n AND a.place > b.place
+  UNION SELECT greatest(a.place, b.place), least(a.place, b.place) FROM without a JOIN long b ON a.n = b.n + 1 AND a.rest = array_to_string(b.w, ' ')
+), gone AS (
+  SELECT doc_id, no, true AS exact FROM held h WHERE (doc_id, no) NOT IN (SELECT place FROM firsts)
+  UNION ALL SELECT DISTINCT x[1], x[2], false FROM pairs
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact) AS n_near,
+         coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (g.doc_id IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.no = l.no GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, md5(kept.text) AS text_md5
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""

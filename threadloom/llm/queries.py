@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.ann import search
 from threadloom.llm.html_extract import extract
+from threadloom.llm.jaccard_join import ORACLE as JACCARD_SQL
 from threadloom.llm.jaccard_join import jaccard_join
 from threadloom.llm.license_scan import license_scan
+from threadloom.llm.line_dedup import ORACLE as LINES_SQL
 from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mix_sources import ORACLE as MIX_SQL
 from threadloom.llm.mix_sources import mix_sources
@@ -82,4 +84,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": MIX_SQL}
+    return {"op4_mix_sources": MIX_SQL, "op7_line_dedup": LINES_SQL, "op8_jaccard_join": JACCARD_SQL}
