@@ -230,29 +230,34 @@ class Join:
         return self.late(found, waiting)
 
     def late(self, found: list[DataFrame], waiting: list) -> list[DataFrame]:
-        """Near misses of a pivot against those that were linked to it, while their components differ."""
-        waiting = [w for w in waiting if not w[1].isEmpty()]
-        if not waiting:
-            return found
-        for first in (True, False):
+        """Near misses of a pivot against those that were linked to it, while their components differ.
+
+        Both stand once for each pivot here, not once for each shingle that they share.
+        """
+        sides = []
+        for linked, missed in waiting:
+            if not missed.isEmpty():
+                columns = ["pivot", "doc", "n", "alike"]
+                sides.append((written(linked.select(*columns).distinct(), "linked"), written(missed.select(*columns).distinct(), "missed")))
+        for first in (True, False) if sides else ():
             label = components(union(found))
-            for linked, missed in waiting:
-                side = lambda df, c: df.join(label.select(F.col("id").alias("doc"), F.col("component").alias(c)), "doc", "left").withColumn(c, F.coalesce(c, "doc"))
-                x, y = side(linked, "component"), side(missed, "component")
-                # a bucket whose members are one component by now has nothing left to tell
-                apart = x.select("shingle", "component").union(y.select("shingle", "component")).groupBy("shingle").agg((F.min("component") < F.max("component")).alias("apart"))
-                y = y.join(apart.where("apart"), "shingle", "left_semi")
+            for linked, missed in sides:
+                side = lambda df: df.join(label.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+                x, y = side(linked), side(missed)
+                # those that share the component of the pivot's group are connected by now
+                own = x.groupBy("pivot").agg(F.min("component").alias("own"))
+                y = y.join(own, "pivot").where(F.col("component") != F.col("own")).drop("own")
                 if first:
-                    by = Window.partitionBy("shingle").orderBy(F.xxhash64("doc"), "doc")
+                    by = Window.partitionBy("pivot").orderBy(F.xxhash64("doc"), "doc")
                     x = x.withColumn("row", F.row_number().over(by)).where(F.col("row") <= FIRST_MATES)
-                possible = (F.col("x.alike") <= F.col("y.alike") + (1 - self.percent / 100) + 1e-9) & (F.col("x.component") != F.col("y.component"))
+                possible = F.col("x.alike") <= F.col("y.alike") + (1 - self.percent / 100) + 1e-9
                 n, m = F.col("x.n"), F.col("y.n")
                 pairs = (
-                    x.alias("x").join(y.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
+                    x.alias("x").join(y.alias("y"), F.col("x.pivot") == F.col("y.pivot"))
                     .where(possible & (100 * F.least(n, m) >= self.percent * F.greatest(n, m)))
                     .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
                 )
-                found.append(written(self.links(self.verified(pairs)), "links"))
+                found.append(written(self.links(self.verified(self.suffix_filtered(pairs))), "links"))
         return found
 
 
