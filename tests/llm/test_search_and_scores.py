@@ -215,3 +215,17 @@ def test_extract(spark):
     assert got[10].text == "only é para" and got[11].text == "plain text" and got[12].text == got[13].text == "" and got[15].text == "deep"
     assert got[14].text.startswith("T%d\nfirst") and all(r.n_chars == len(r.text) for r in got.values()) and got[16].n_chars == 249_999
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def extracted(spark, pages):
+    rows = [(i, url, html) for i, (url, html) in enumerate(pages)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_extract_tells_optional_containers_by_alignment(spark):
+    """No name tells the visitors' texts from the article: only that some pages lack them, however long they are."""
+    article = "<div class=zq><p>story {0} begins in this way</p><p>story {0} ends in that way</p></div>"
+    said = "<div class=xk><p>visitor {0} says quite a lot here and goes on and on for long</p><p>visitor {0} adds some more, long as well</p></div>"
+    pages = [("http://h.example/%d" % i, "<body>" + article.format(i) + (said.format(i) if i % 2 else "") + "</body>") for i in range(8)]
+    assert extracted(spark, pages) == [f"story {i} begins in this way\nstory {i} ends in that way" for i in range(8)]

@@ -2,14 +2,15 @@
 
 Each task aligns the pages of each host that it reads into one wrapper; wrappers of one
 host are then merged in two steps, so that a hot host brings one row a task and not its
-pages. The slots of a host's wrapper that hold the article are chosen by element and
-class names, link share, text that never changes over five pages or more, and text mass.
-Every page is then read again and yields its blocks in those slots.
-
-Defined results: null html is empty and has an empty text; null or odd urls share the
-host ''; unclosed and truncated markup reads as far as it goes; repeated rows yield equal
-rows; a page whose slots the wrapper can't choose from yields an empty text; an empty table
-gives no rows; other columns are ignored.
+pages. Every page is then read again and matched with its host's wrapper: of the slots that
+it has, those that hold the article are chosen for each layout, by whether they are fixed,
+optional, repeated or template text in the expression, by text mass and link share, and
+by element and class names as a hint.
+
+Defined results: null html is empty and has an empty text; null or odd urls share
+the host ''; unclosed and truncated markup reads as far as it goes; repeated rows
+yield equal rows; a page with nothing
+but links yields an empty text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.html_pages import blocks
 from threadloom.llm.small import small
-from threadloom.llm.wrappers import Wrapper
+from threadloom.llm.wrappers import Slot, Wrapper, choose
 from threadloom.session import written
 
-#: hosts whose wrappers a task holds before it sends them on
+#: hosts whose wrappers a task holds before it sends them on; layouts whose choice a task holds
 HOSTS_IN_TASK = 2000
+LAYOUTS_IN_TASK = 20_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -80,34 +82,53 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInArrow(merge, schema).select("host", "wrapper")
 
 
-def content_paths(found: DataFrame) -> DataFrame:
-    """(host, paths): the content slots of each wrapper, elements joined by '>'."""
+def slots_of(found: DataFrame) -> DataFrame:
+    """(host, slots): the status of each wrapper's slots, packed."""
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = [sorted(">".join(p) for p in unpack(w.as_py()).content()) for w in batch.column("wrapper")]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.list_(pa.string()))], names=["host", "paths"])
+            packed = [pack_slots(unpack(w.as_py())) for w in batch.column("wrapper")]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(packed, pa.binary())], names=["host", "slots"])
 
-    return found.mapInArrow(choose, "host string, paths array<string>")
+    return found.mapInArrow(state, "host string, slots binary")
+
+
+def pack_slots(wrapper: Wrapper) -> bytes:
+    return zlib.compress(pickle.dumps([(path, *slot) for path, slot in wrapper.status().items()]), 1)
+
+
+def unpack_slots(data: bytes) -> dict[tuple, Slot]:
+    return {path: Slot(*slot) for path, *slot in pickle.loads(zlib.decompress(data))}
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html)."""
     named = with_host(pages.select("page_id", "url", "html"))
-    slots = small(written(content_paths(wrappers(named)), "slots").withColumnRenamed("host", "of"))
-    joined = named.join(slots, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "paths")
+    slots = small(written(slots_of(wrappers(named)), "slots").withColumnRenamed("host", "of"))
+    joined = named.join(slots, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "slots")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen: dict[str, frozenset] = {}
+        held: dict[str, dict[tuple, Slot]] = {}
+        chosen: dict[tuple[str, frozenset], set] = {}
         for batch in batches:
             texts = []
-            for host, page, paths in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("paths")):
-                if host not in chosen:
-                    if len(chosen) >= HOSTS_IN_TASK:
+            for host, page, packed in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("slots")):
+                found = list(blocks(page.as_py() or ""))
+                layout = frozenset(b.path for b in found)
+                if not packed.is_valid:  # a page without a host
+                    own = Wrapper()
+                    own.add(found)
+                    keep = own.content()
+                elif (host, layout) in chosen:
+                    keep = chosen[host, layout]
+                else:
+                    if len(held) >= HOSTS_IN_TASK or len(chosen) >= LAYOUTS_IN_TASK:
+                        held.clear()
                         chosen.clear()
-                    chosen[host] = frozenset(tuple(p.split(">")) if p else () for p in paths.as_py() or [])
-                keep = chosen[host]
-                texts.append("\n".join(b.text for b in blocks(page.as_py() or "") if b.path in keep))
+                    if host not in held:
+                        held[host] = unpack_slots(packed.as_py())
+                    keep = chosen[host, layout] = choose(held[host], layout)
+                texts.append("\n".join(b.text for b in found if b.path in keep))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

@@ -4,11 +4,21 @@ An expression gives for each element path its child elements in order. Children
 are missing somewhere are optional; a child that comes again repeats, with all that
 stood between (a repeated group); text is a slot. Pages align one after another, and
 the expressions of two sets of pages align in the same way, so they merge in any tree.
+
+A page's text is chosen by matching its paths with the expression. A slot whose text never
+changes over ``TEMPLATE_PAGES`` pages belongs to the template. Optional containers
+count less than those that all pages have, unless they are alternatives (each page has one
+of them), and slots that neither repeat nor stand in a repeated group less than those that
+do. The descent from the page's root follows the heaviest container and leaves optional
+containers beside one that all pages have. Element and class names are a further hint.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
+from itertools import combinations
+from typing import NamedTuple
 
 from threadloom.llm.html_pages import Block
 
@@ -24,14 +34,32 @@ CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "ta
 ARTICLE_TAGS = {"article", "main"}
 
 
+#: pages that must agree on a slot's text before it counts as template
+TEMPLATE_PAGES = 5
+#: what text in optional containers and text outside any repetition count
+OPTIONAL, SINGLE = 0.3, 0.5
+
+
+class Slot(NamedTuple):
+    """A text slot's place in its host's expression."""
+
+    chars: float  # mean of the pages that have it
+    weight: float
+    firm: bool  # in no optional container
+    template: bool
+    linked: bool
+
+
 class Wrapper:
     """The expression of some pages and what its text slots held."""
 
     def __init__(self):
         self.pages = 0
-        #: path -> child keys in order; (path, key) -> [optional, repeated]; path -> times seen
+        #: path -> child keys in order; path -> pages with it; paths that repeat; path -> pairs of child containers of one page
         self.children: dict[tuple, list[str]] = {}
-        self.flags: dict[tuple, list[bool]] = {}
+        self.seen: Counter = Counter()
+        self.repeated: set[tuple] = set()
+        self.together: dict[tuple, set[tuple[str, str]]] = {}
         self.groups: dict[tuple, list[tuple[str, str]]] = {}
         #: path -> [pages, blocks, characters, linked characters, the one text or None if it varies]
         self.slots: dict[tuple, list] = {}
@@ -45,13 +73,19 @@ class Wrapper:
                 own = seen.setdefault(block.path[:depth], [])
                 if not own or own[-1] != block.path[depth]:
                     own.append(block.path[depth])
+        self.seen[()] += 1
         for path, keys in seen.items():
-            self._align(path, keys, self.pages > 1)
+            self._align(path, keys)
+            present = sorted(set(keys))
+            self.seen.update((*path, key) for key in present)
+            holders = [key for key in present if container(key)]
+            if len(holders) > 1:
+                self.together.setdefault(path, set()).update(combinations(holders, 2))
         last: Counter = Counter()
         before: tuple | None = None
         for block in page:
             if block.path and block.path == before:
-                self.flags[block.path][1] = True
+                self.repeated.add(block.path)
             before = block.path
             slot = self.slots.setdefault(block.path, [0, 0, 0, 0, block.text])
             slot[0] += not last[block.path]
@@ -62,13 +96,8 @@ class Wrapper:
             if slot[4] != block.text:
                 slot[4] = None
 
-    def _align(self, path: tuple, keys: list[str], later: bool) -> None:
-        known = self.children.get(path)
-        if known is None:
-            known = self.children[path] = []
-            fresh = later and path in self.flags
-        else:
-            fresh = True
+    def _align(self, path: tuple, keys: list[str]) -> None:
+        known = self.children.setdefault(path, [])
         place = -1
         for key in keys:
             if key in known:
@@ -81,20 +110,15 @@ class Wrapper:
             else:
                 at = place + 1
                 known.insert(at, key)
-                self.flags[(*path, key)] = [fresh, False]
             place = at
-        present = set(keys)
-        for key in known:
-            if key not in present:
-                self.flags[(*path, key)][0] = True
 
     def merge(self, other: "Wrapper") -> "Wrapper":
         for path, keys in other.children.items():
-            self._align(path, keys, True)
-        for path, (optional, repeated) in other.flags.items():
-            own = self.flags[path]
-            own[0] |= optional
-            own[1] |= repeated
+            self._align(path, keys)
+        self.seen.update(other.seen)
+        self.repeated |= other.repeated
+        for path, pairs in other.together.items():
+            self.together.setdefault(path, set()).update(pairs)
         for path, groups in other.groups.items():
             own = self.groups.setdefault(path, [])
             own += [g for g in groups if g not in own]
@@ -110,6 +134,9 @@ class Wrapper:
         self.pages += other.pages
         return self
 
+    def optional(self, path: tuple) -> bool:
+        return self.seen[path] < self.seen[path[:-1]]
+
     def expression(self, path: tuple = ()) -> str:
         """The inferred expression as text: ``?`` optional, ``+`` or ``{...}+`` repeated, ``#`` a text slot."""
         out = "#" if path in self.slots else ""
@@ -117,38 +144,88 @@ class Wrapper:
         starts = Counter(a for a, _ in self.groups.get(path, []))
         for key in self.children.get(path, []):
             inner = f"{key}({self.expression((*path, key))})"
-            optional, repeated = self.flags[(*path, key)]
-            own = starts[key] and ends[key]
-            out += "{" * starts[key] + inner + "+" * (repeated and not own) + "?" * optional + "}+" * ends[key]
+            repeated, own = (*path, key) in self.repeated, bool(starts[key] and ends[key])
+            out += "{" * starts[key] + inner + "+" * (repeated and not own) + "?" * self.optional((*path, key)) + "}+" * ends[key]
         return out
 
-    def content(self) -> set[tuple]:
-        """The paths of the slots that hold the main text."""
-        found = self._content(furniture)
-        return found or self._content(lambda key: key.split(".")[0] in FURNITURE_TAGS)
-
-    def _content(self, excluded) -> set[tuple]:
-        open_ = {}
+    def _loose(self, path: tuple) -> bool:
+        """Whether the container ``path`` is optional and no alternative: it and the siblings never seen with it don't cover all pages."""
+        if not self.optional(path):
+            return False
+        parent, key = path[:-1], path[-1]
+        pairs = self.together.get(parent, ())
+        apart = [k for k in self.children[parent] if k != key and container(k) and (min(k, key), max(k, key)) not in pairs]
+        return self.seen[path] + sum(self.seen[(*parent, k)] for k in apart) < self.seen[parent]
+
+    def _grouped(self, path: tuple) -> bool:
+        """Whether ``path`` repeats or stands in a repeated group of its parent."""
+        if path in self.repeated:
+            return True
+        order = self.children.get(path[:-1], [])
+        return any(order.index(a) <= order.index(path[-1]) <= order.index(b) for a, b in self.groups.get(path[:-1], []))
+
+    def status(self) -> dict[tuple, Slot]:
+        """What the expression tells of each slot."""
+        loose: dict[tuple, bool] = {(): False}
+        out = {}
         for path, (pages, _, chars, linked, constant) in self.slots.items():
-            if any(excluded(key) for key in path) or linked > 0.6 * chars:
-                continue
-            inside = any(key.split(".")[0] in ARTICLE_TAGS for key in path)
-            if constant is not None and pages >= 5 and pages >= 0.9 * self.pages and not inside:
-                continue
-            open_[path] = chars
-        root: tuple = ()
-        articles = {path[: k + 1] for path in open_ for k, key in enumerate(path) if key.split(".")[0] in ARTICLE_TAGS}
-        if articles:
-            return {p for p in open_ if any(p[: k + 1] in articles for k in range(len(p)))}
-        while True:
-            mass: Counter = Counter()
-            for path, chars in open_.items():
-                if path[: len(root)] == root and len(path) > len(root):
-                    mass[path[len(root)]] += chars
-            best = max(mass, key=lambda k: (mass[k], k), default=None)
-            if best is None or best.split(".")[0] not in CONTAINERS or mass[best] < 0.7 * sum(c for p, c in open_.items() if p[: len(root)] == root):
-                return {p for p in open_ if p[: len(root)] == root}
-            root = (*root, best)
+            for k in range(1, len(path) + 1):
+                if path[:k] not in loose:
+                    loose[path[:k]] = loose[path[: k - 1]] or container(path[k - 1]) and self._loose(path[:k])
+            mean, firm = chars / pages, not loose[path]
+            weight = mean * (1 if firm else OPTIONAL) * (1 if path and self._grouped(path) else SINGLE)
+            template = constant is not None and pages >= TEMPLATE_PAGES and not in_article(path)
+            out[path] = Slot(mean, weight, firm, template, linked > 0.6 * chars)
+        return out
+
+    def content(self, paths: Iterable[tuple] | None = None) -> set[tuple]:
+        """Those of ``paths`` (of all slots, if None) that hold the main text of a page with just these."""
+        return choose(self.status(), self.slots if paths is None else paths)
+
+
+def choose(slots: dict[tuple, Slot], paths: Iterable[tuple]) -> set[tuple]:
+    """The paths of one page that hold its main text. Hints by names, then template text, give way where nothing else is left."""
+    paths = [p for p in paths if p in slots and not slots[p].linked]
+    for named, template in ((furniture, True), (furniture_tag, True), (furniture_tag, False)):
+        found = {p: slots[p] for p in paths if not (template and slots[p].template) and not any(named(key) for key in p)}
+        if found:
+            return descend(found)
+    return set()
+
+
+def descend(open_: dict[tuple, Slot]) -> set[tuple]:
+    inside = {p for p in open_ if in_article(p)}
+    if any(open_[p].firm for p in inside) or sum(open_[p].weight for p in inside) > 0.3 * sum(s.weight for s in open_.values()):
+        return inside
+    depth = 0
+    while True:
+        weight: Counter = Counter()
+        lean: Counter = Counter()
+        for path, slot in open_.items():
+            if len(path) > depth:
+                weight[path[depth]] += slot.weight
+                lean[path[depth]] += slot.chars if slot.firm else -slot.chars
+        best = max(weight, key=lambda k: (weight[k], k), default=None)
+        if best is None or not container(best):
+            return set(open_)
+        if lean[best] >= 0:
+            open_ = {p: s for p, s in open_.items() if len(p) <= depth or p[depth] == best or lean[p[depth]] >= 0 or not container(p[depth])}
+        if weight[best] < 0.7 * sum(s.weight for s in open_.values()):
+            return set(open_)
+        open_ = {p: s for p, s in open_.items() if len(p) > depth and p[depth] == best}
+        depth += 1
+
+
+def container(key: str) -> bool:
+    return key.split(".")[0] in CONTAINERS
+
+
+def in_article(path: tuple) -> bool:
+    return any(key.split(".")[0] in ARTICLE_TAGS for key in path)
+
+
+def furniture_tag(key: str) -> bool:
+    return key.split(".")[0] in FURNITURE_TAGS
 
 
 def furniture(key: str) -> bool:
