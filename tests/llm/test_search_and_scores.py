@@ -229,3 +229,20 @@ def test_extract_tells_optional_containers_by_alignment(spark):
     said = "<div class=xk><p>visitor {0} says quite a lot here and goes on and on for long</p><p>visitor {0} adds some more, long as well</p></div>"
     pages = [("http://h.example/%d" % i, "<body>" + article.format(i) + (said.format(i) if i % 2 else "") + "</body>") for i in range(8)]
     assert extracted(spark, pages) == [f"story {i} begins in this way\nstory {i} ends in that way" for i in range(8)]
+
+
+def test_extract_mixed_layouts(spark):
+    pages = [(f"http://m.example/{i}", f"<body><article><p>first kind {i}</p></article></body>") for i in range(9)]
+    pages += [(f"http://m.example/{i}", f"<body><div class=old><p>second kind {i}</p></div></body>") for i in range(2)]
+    pages += [(f"http://n.example/{i}", f"<body><div class=new><p>{'long ' * 30}{i}</p></div></body>") for i in range(9)]
+    pages += [("http://n.example/x", "<body><div class=old><p>rare kind</p></div></body>")]
+    pages += [(None, "<article><p>no url</p></article>"), (None, "<div><p>no url either</p></div>")]
+    got = extracted(spark, pages)
+    assert got[8:11] == ["first kind 8", "second kind 0", "second kind 1"] and got[20:] == ["rare kind", "no url", "no url either"]
+    assert got[11] == "long " * 30 + "0"
+
+
+@pytest.mark.parametrize("copies", [4, 6])
+def test_extract_repeated_pages(spark, copies):
+    page = "<body><div class=c><h1>Title</h1><p>the one paragraph</p></div></body>"
+    assert extracted(spark, [(f"http://r.example/{i}", page) for i in range(copies)]) == ["Title\nthe one paragraph"] * copies

@@ -7,9 +7,9 @@ it has, those that hold the article are chosen for each layout, by whether they
 optional, repeated or template text in the expression, by text mass and link share, and
 by element and class names as a hint.
 
-Defined results: null html is empty and has an empty text; null or odd urls share
-the host ''; unclosed and truncated markup reads as far as it goes; repeated rows
-yield equal rows; a page with nothing
+Defined results: null html is empty and has an empty text; a page with a null or odd url
+is a host of its own; unclosed and truncated markup reads as far as it goes; repeated rows
+yield equal rows, and template text is told by different pages only; a page with nothing
 but links yields an empty text; an empty table gives no rows; other columns are ignored.
 """
 
@@ -104,7 +104,7 @@ def unpack_slots(data: bytes) -> dict[tuple, Slot]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html)."""
     named = with_host(pages.select("page_id", "url", "html"))
-    slots = small(written(slots_of(wrappers(named)), "slots").withColumnRenamed("host", "of"))
+    slots = small(written(slots_of(wrappers(named.where("host <> ''"))), "slots").withColumnRenamed("host", "of"))
     joined = named.join(slots, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "slots")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

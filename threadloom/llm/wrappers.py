@@ -6,7 +6,7 @@ stood between (a repeated group); text is a slot. Pages align one after another,
 the expressions of two sets of pages align in the same way, so they merge in any tree.
 
 A page's text is chosen by matching its paths with the expression. A slot whose text never
-changes over ``TEMPLATE_PAGES`` pages belongs to the template. Optional containers
+changes over ``TEMPLATE_PAGES`` different pages belongs to the template. Optional containers
 count less than those that all pages have, unless they are alternatives (each page has one
 of them), and slots that neither repeat nor stand in a repeated group less than those that
 do. The descent from the page's root follows the heaviest container and leaves optional
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
+from hashlib import blake2b
 from itertools import combinations
 from typing import NamedTuple
 
@@ -34,7 +35,7 @@ CONTAINERS = {"html", "body", "div", "section", "article", "main", "center", "ta
 ARTICLE_TAGS = {"article", "main"}
 
 
-#: pages that must agree on a slot's text before it counts as template
+#: different pages that must agree on a slot's text before it counts as template
 TEMPLATE_PAGES = 5
 #: what text in optional containers and text outside any repetition count
 OPTIONAL, SINGLE = 0.3, 0.5
@@ -61,18 +62,21 @@ class Wrapper:
         self.repeated: set[tuple] = set()
         self.together: dict[tuple, set[tuple[str, str]]] = {}
         self.groups: dict[tuple, list[tuple[str, str]]] = {}
-        #: path -> [pages, blocks, characters, linked characters, the one text or None if it varies]
+        #: path -> [pages, blocks, characters, linked characters, the one text or None if it varies, up to TEMPLATE_PAGES different pages with it]
         self.slots: dict[tuple, list] = {}
 
     def add(self, page: list[Block]) -> None:
         """Aligns one page's stream of blocks."""
         self.pages += 1
         seen: dict[tuple, list[str]] = {}
+        digest = blake2b(digest_size=8)
         for block in page:
+            digest.update(f"{'>'.join(block.path)}\n{block.text}\n".encode("utf-8", "replace"))
             for depth in range(len(block.path)):
                 own = seen.setdefault(block.path[:depth], [])
                 if not own or own[-1] != block.path[depth]:
                     own.append(block.path[depth])
+        own_page = digest.digest()
         self.seen[()] += 1
         for path, keys in seen.items():
             self._align(path, keys)
@@ -87,7 +91,7 @@ class Wrapper:
             if block.path and block.path == before:
                 self.repeated.add(block.path)
             before = block.path
-            slot = self.slots.setdefault(block.path, [0, 0, 0, 0, block.text])
+            slot = self.slots.setdefault(block.path, [0, 0, 0, 0, block.text, set()])
             slot[0] += not last[block.path]
             last[block.path] += 1
             slot[1] += 1
@@ -95,6 +99,9 @@ class Wrapper:
             slot[3] += block.linked
             if slot[4] != block.text:
                 slot[4] = None
+                slot[5] = set()
+            elif len(slot[5]) < TEMPLATE_PAGES:
+                slot[5].add(own_page)
 
     def _align(self, path: tuple, keys: list[str]) -> None:
         known = self.children.setdefault(path, [])
@@ -125,12 +132,13 @@ class Wrapper:
         for path, slot in other.slots.items():
             mine = self.slots.get(path)
             if mine is None:
-                self.slots[path] = list(slot)
+                self.slots[path] = [*slot[:5], set(slot[5])]
             else:
                 for k in range(4):
                     mine[k] += slot[k]
                 if mine[4] != slot[4]:
                     mine[4] = None
+                mine[5] = set(sorted(mine[5] | slot[5])[:TEMPLATE_PAGES]) if mine[4] is not None else set()
         self.pages += other.pages
         return self
 
@@ -168,13 +176,13 @@ class Wrapper:
         """What the expression tells of each slot."""
         loose: dict[tuple, bool] = {(): False}
         out = {}
-        for path, (pages, _, chars, linked, constant) in self.slots.items():
+        for path, (pages, _, chars, linked, constant, different) in self.slots.items():
             for k in range(1, len(path) + 1):
                 if path[:k] not in loose:
                     loose[path[:k]] = loose[path[: k - 1]] or container(path[k - 1]) and self._loose(path[:k])
             mean, firm = chars / pages, not loose[path]
             weight = mean * (1 if firm else OPTIONAL) * (1 if path and self._grouped(path) else SINGLE)
-            template = constant is not None and pages >= TEMPLATE_PAGES and not in_article(path)
+            template = constant is not None and len(different) >= TEMPLATE_PAGES and not in_article(path)
             out[path] = Slot(mean, weight, firm, template, linked > 0.6 * chars)
         return out
 
