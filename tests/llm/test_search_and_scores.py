@@ -150,6 +150,23 @@ def test_license_inheritance(spark):
     assert found["z/e.py"] == found[None] == found["root.py"] == found["y/long.py"] == found["w/3.txt"] == (None, None, None)
 
 
+def test_license_common_header_and_windows(spark):
+    """A third of the files share one header; others wrap theirs, stand without a path or come twice."""
+    filler = "this tool of the shop is under the hill and for a version of it"
+    header = "# Licensed under the Apache License, Version 2.0"
+    rows = [(f"a/{i}.py", f"{header}\n{filler} {i}") for i in range(20)] + [(f"b/{i}.py", f"{filler} {i}") for i in range(40)]
+    rows += [("h/LICENSE", header), ("h/x.py", filler), ("w/wrapped.py", "// This work is licensed under the GNU\n// General Public\n//\n// License, version 3\n" + filler)]
+    rows += [("l/COPYING", "\n\n".join("Redistribution and use in source and binary forms, with or without modification, are permitted".split(" "))), ("l/m/n.py", filler)]
+    rows += [(None, header + "\n" + filler), (None, filler), rows[0], rows[0], ("b/de.txt", "mit")]
+    got = license_scan(spark.createDataFrame(rows, "path string, text string").repartition(3)).collect()
+    found = {(r.path, (r.text or "")[:3] == "# L"): (r.license, r.how, r.license_path) for r in got}
+    assert len(got) == len(rows) and all(found[f"a/{i}.py", True] == ("Apache-2.0", "own", f"a/{i}.py") for i in range(20))
+    assert all(r.cosine == 1 for r in got if (r.text or "").startswith(header)) and all(r.license is None for r in got if (r.path or "").startswith("b/"))
+    assert found["h/x.py", False] == ("Apache-2.0", "inherited", "h/LICENSE") and found["w/wrapped.py", False] == ("GPL-3.0", "own", "w/wrapped.py")
+    assert found["l/m/n.py", False] == ("BSD-3-Clause", "inherited", "l/COPYING")
+    assert found[None, True][:2] == ("Apache-2.0", "own") and found[None, False] == (None, None, None)
+
+
 def test_license_empty(spark):
     assert license_scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
