@@ -26,12 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.small import small
 from threadloom.session import written
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: candidate lines up to this many are sent to the scan of the texts instead of shuffling the texts
-MAX_BROADCAST_LINES = 200_000
+#: hashes that are summed over a line stay below this, so that 2**27 words fit a long
+MODULUS = 1 << 36
 
 
 def words_of(line: Column) -> Column:
@@ -75,37 +74,53 @@ def candidates(firsts: DataFrame) -> DataFrame:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, kind, doc_id, no, pos): S a word replaced at pos, D a word left out, W a whole line."""
-    n, h = F.size("words"), F.col("hashes")
+    """(key, kind, doc_id, no): S a word replaced, D a word left out, W a whole line.
+
+    A line's words give sums of hashes, so that each variant takes a few steps at any length
+    of line: S takes one word off the sum over (word, position), D one off the sum over
+    neighbouring words. S keys hold position and sum, so equal keys are lines within the bound; D and W keys can
+    also agree for other orders of the same neighbours, which the comparison of words tells.
+    """
+    n, i0 = F.size("h"), F.lit(0)
+    at = lambda i: F.when(i >= 0, F.coalesce(F.get("h", i), i0)).otherwise(i0)
+    place = lambda seed, i: F.pmod(F.xxhash64(F.lit(seed), at(i), i), F.lit(MODULUS))
+    pair = lambda seed, i, j: F.pmod(F.xxhash64(F.lit(seed), at(i), at(j)), F.lit(MODULUS))
+    plus = lambda s, x: s + x
+    zero = F.lit(0).cast("long")
+    lines = lines.select("doc_id", "no", "in_tail", "in_head", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    places, pairs = F.sequence(i0, n - 1), F.sequence(F.lit(-1), n - 1)
+    total = lambda hashes: F.aggregate(hashes, zero, plus)
+    lines = lines.select(
+        "*", total(F.transform(places, lambda i: place(1, i))).alias("p1"), total(F.transform(places, lambda i: place(2, i))).alias("p2"),
+        total(F.transform(pairs, lambda i: pair(3, i, i + 1))).alias("g3"), total(F.transform(pairs, lambda i: pair(4, i, i + 1))).alias("g4"),
+    )
     half = F.floor((n - 1) / 2).cast("int")
-    low = F.when(F.col("in_head"), F.lit(0)).otherwise(half)
+    low = F.when(F.col("in_head"), i0).otherwise(half)
     high = F.when(F.col("in_tail"), n - 1).otherwise(F.least(half + 1, n - 1))
-
-    def without(i: Column, *tag: Column) -> Column:
-        return F.xxhash64(*tag, F.slice(h, F.lit(1), i), F.slice(h, i + 2, n))
-
     where = F.sequence(low, high)
-    replaced = F.transform(where, lambda i: F.struct(without(i, F.lit(7), i, n).alias("key"), F.lit("S").alias("kind"), i.alias("pos")))
-    shorter = F.transform(where, lambda i: F.struct(without(i, F.lit(8), n - 1).alias("key"), F.lit("D").alias("kind"), i.alias("pos")))
-    whole = F.array(F.struct(F.xxhash64(F.lit(8), n, h).alias("key"), F.lit("W").alias("kind"), F.lit(-1).alias("pos")))
-    return lines.select("doc_id", "no", F.inline(F.concat(replaced, shorter, whole)))
+    replaced = lambda i: F.xxhash64(F.lit(7), n, i, F.col("p1") - place(1, i), F.col("p2") - place(2, i))
+    left = lambda k, i: F.col(f"g{k}") - pair(k, i - 1, i) - pair(k, i, i + 1) + pair(k, i - 1, i + 1)
+    one = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
+    return lines.select(
+        "doc_id", "no",
+        F.inline(F.concat(
+            F.transform(where, lambda i: one(replaced(i), "S")),
+            F.transform(where, lambda i: one(F.xxhash64(F.lit(8), n - 1, left(3, i), left(4, i)), "D")),
+            F.array(one(F.xxhash64(F.lit(8), n, F.col("g3"), F.col("g4")), "W")),
+        )),
+    )
 
 
 def near_pairs(lines: DataFrame) -> DataFrame:
-    """(doc_id, no, other_doc, other_no): each line under a shared key with that key's earliest or whole line."""
-    keyed = variants(lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))))
+    """(doc_id, no, other_doc, other_no): lines under an S key with that key's earliest, D lines with the whole lines of their key."""
+    keyed = variants(lines)
     at = F.struct("doc_id", "no")
-    groups = (
-        keyed.groupBy("key")
-        .agg(
-            F.min(F.when(F.col("kind") == "S", at)).alias("first"), F.min(F.when(F.col("kind") == "W", at)).alias("whole"),
-            F.count("*").alias("n"),
-        )
-        .where("n > 1")
-        .select("key", F.coalesce("whole", "first").alias("mate"))
-        .where("mate IS NOT NULL")
-    )
-    pairs = keyed.where("kind <> 'W'").join(groups, "key").where(~((F.col("mate.doc_id") == F.col("doc_id")) & (F.col("mate.no") == F.col("no"))))
+    groups = keyed.groupBy("key", "kind").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    first = groups.where("kind = 'S' AND n > 1").select("key", F.col("first").alias("mate"))
+    replaced = keyed.where("kind = 'S'").join(first, "key")
+    whole = keyed.where("kind = 'W'").select("key", at.alias("mate"))
+    shorter = keyed.where("kind = 'D'").join(whole, "key")
+    pairs = replaced.unionByName(shorter).where(~((F.col("mate.doc_id") == F.col("doc_id")) & (F.col("mate.no") == F.col("no"))))
     return pairs.select("doc_id", "no", F.col("mate.doc_id").alias("other_doc"), F.col("mate.no").alias("other_no")).distinct()
 
 
@@ -137,11 +152,14 @@ def dropped_lines(docs: DataFrame, min_words: int = 8, max_edits: int = 1) -> Da
     repeated = lines.select("doc_id", "no").distinct().join(kept, ["doc_id", "no"], "left_anti").withColumn("exact", F.lit(True))
     if not max_edits:
         return repeated
-    found = small(written(candidates(firsts), "candidates"), MAX_BROADCAST_LINES)
-    texts = written(
-        lines.join(found, ["doc_id", "no"]).select("doc_id", "no", "in_tail", "in_head", words_of(F.col("line")).alias("words")).dropDuplicates(["doc_id", "no"]),
-        "candidate_lines",
-    )
+    found = candidates(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("no", "in_tail", "in_head")).alias("found"))
+    # one plan at every size: the candidates grow with the texts
+    held = docs.where("doc_id IS NOT NULL").join(written(found, "candidates").hint("merge"), "doc_id")
+    held = held.select("doc_id", F.split("text", "\n").alias("lines"), "found")
+    words = lambda f: words_of(F.get("lines", f["no"])).alias("words")
+    texts = held.select("doc_id", F.inline(F.transform("found", lambda f: F.struct(f["no"].alias("no"), f["in_tail"].alias("in_tail"), f["in_head"].alias("in_head"), words(f)))))
+    texts = texts.where(F.size("words") >= min_words).groupBy("doc_id", "no").agg(F.bool_or("in_tail").alias("in_tail"), F.bool_or("in_head").alias("in_head"), F.min("words").alias("words"))
+    texts = written(texts, "candidate_lines")
     pairs = written(near_pairs(texts), "line_pairs")
     mine = texts.select("doc_id", "no", "words")
     other = texts.select(F.col("doc_id").alias("other_doc"), F.col("no").alias("other_no"), F.col("words").alias("other_words"))
@@ -160,11 +178,10 @@ def line_dedup(docs: DataFrame, min_words: int = 8, max_edits: int = 1) -> DataF
     )
     by_doc = written(by_doc, "gone").withColumnRenamed("doc_id", "_of")
     lines = F.split("text", "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda l, i: ~F.array_contains("_gone", i)), "\n")
-    )
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
     # one plan at every size: the lost lines grow with the texts
-    out = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc["_of"], "left")
+    out = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc["_of"], "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
     columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     zero = F.lit(0).cast("long")
     return out.select(
