@@ -6,8 +6,10 @@ such pieces fill a sequence to ``1 - slack`` the rest is one piece of class k, e
 exactly capacity // (k + 1) tokens go to class k + 1 and the rule applies to what
 remains. A bin of class k holds k pieces, so bins fill independently on all workers:
 a piece's place in its class is a distributed prefix sum of counts by (class, coarse
-hash, fine hash) and its bin is place // k. The pieces of the last, unfilled bin of
-each class, bounded by the classes and not by the input, are packed best fit decreasing.
+hash, fine hash) and its bin is place // k. The hash is of the piece and its place in its
+task's output, so no document and no copies make a hot group. The pieces of the last,
+unfilled bin of each class are packed best fit decreasing in one small task: capacity // r
+has some 2 sqrt(capacity) values, so at 4096 they are at most ``most_left()``, about 40,000, pieces whatever the input.
 
 Tokens are looked up by word: the tokenizer's normaliser and pre-tokeniser never join
 characters across 0x20 or 0x09-0x0D, nor an ASCII letter or digit and a mark after it, so
@@ -36,7 +38,7 @@ from threadloom.session import written
 
 CAPACITY = 4096
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: sequence_id = bin * SPAN + class; class 0 holds the left-over pieces
 SPAN = 8192
 #: new words encoded as one text
@@ -59,6 +61,12 @@ def cuts(n: int, capacity: int, slack: float) -> list[tuple[int, int]]:
     return out
 
 
+def most_left(capacity: int = CAPACITY) -> int:
+    """The most pieces that can stand in unfilled bins: k - 1 for each class that a rest can have."""
+    classes = {capacity // r + more for r in range(1, capacity) for more in (0, 1)}
+    return sum(k - 1 for k in classes)
+
+
 class WordIds:
     """Token ids of words from a tokenizer file, kept in flat arrays and found by word."""
 
@@ -159,7 +167,7 @@ def word_ids(path: str) -> WordIds:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, slack: float) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, klass) of each piece."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, klass, serial) of each piece."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     end = END_ID.to_bytes(4, "little")
 
@@ -168,6 +176,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, slack: float) -> DataFrame
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         find = word_ids(path)
+        serial = 0
         for batch in batches:
             for part in slices(batch, "text"):
                 which, rows = [], []
@@ -184,9 +193,11 @@ def pieces(docs: DataFrame, path: str, capacity: int, slack: float) -> DataFrame
                 yield pa.record_batch({
                     "doc_id": part.column("doc_id").take(pa.array(which)), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
                     "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(n, pa.int64()), "klass": pa.array(k, pa.int32()),
+                    "serial": pa.array(range(serial, serial + len(k)), pa.int64()),
                 })
+                serial += len(k)
 
-    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, klass int"
+    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, klass int, serial long"
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
@@ -195,7 +206,7 @@ def places(cut: DataFrame, rows_a_group: int = 500) -> DataFrame:
     groups = max(1, cut.count() // rows_a_group)
     coarse = max(1, round(groups**0.5))
     fine = -(-groups // coarse)
-    dealt = cut.withColumn("h", F.xxhash64("doc_id")).select(
+    dealt = cut.withColumn("h", F.xxhash64("doc_id", "start", "ids_crc32", "serial")).select(
         *cut.columns, F.pmod("h", F.lit(coarse)).alias("c"), F.pmod(F.floor(F.col("h") / coarse), F.lit(fine)).alias("f")
     )
     low = dealt.groupBy("klass", "c", "f").agg(F.count("*").alias("n"))
@@ -207,7 +218,7 @@ def places(cut: DataFrame, rows_a_group: int = 500) -> DataFrame:
     within = Window.partitionBy("klass", "c").orderBy("f")
     low = low.select("klass", "c", "f", (F.sum("n").over(within) - F.col("n")).alias("f_before"))
     groups_at = written(low.join(high, ["klass", "c"]), "places")
-    row = F.row_number().over(Window.partitionBy("klass", "c", "f").orderBy("doc_id", "start", "length", "ids_crc32"))
+    row = F.row_number().over(Window.partitionBy("klass", "c", "f").orderBy("doc_id", "start", "length", "ids_crc32", "serial"))
     return (
         dealt.withColumn("row", row).join(groups_at, ["klass", "c", "f"])
         .withColumn("place", F.col("c_before") + F.col("f_before") + F.col("row") - 1)
