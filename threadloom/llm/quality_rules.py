@@ -1,18 +1,20 @@
 """Operator 2: rule-based quality filter with n-gram perplexity bands.
 
-The language model is a modified Kneser-Ney model over character classes. Spark
-counts the 4-grams of every whole text; a class alphabet of 64 symbols bounds the
-model at 64**4 entries whatever the corpus, so it is estimated from the summed
-counts and sent to the tasks as two sorted arrays (n-gram key, log probability).
-Each language (null is one of its own) gets a lower and an upper perplexity band,
-``median - lower * s`` to ``median + upper * s`` of the documents that pass the
-base rules, with s the interquartile range over 1.349. Languages with fewer than
-``min_band_docs`` such documents use the band over all languages.
+Each language (null is one of its own) has a modified Kneser-Ney model over the 5-grams of
+its different texts' code points (see ``kneser_ney``), counted by Spark over every whole text and kept
+as sorted hash arrays in the shared folder, which tasks map into memory. A document's
+perplexity is that of its code points under the model of its language.
+
+Each language gets a lower and an upper band about the median of the log perplexity of the
+different texts that pass the base rules: ``median - lower * s`` and ``median + upper * s``.
+s is the interquartile range over 1.349, at least ``floor`` times that of all languages
+together (so that copies can't make a band thin), and is widened by ``1 + prior / n`` for n
+texts, so that a language with few texts rejects few.
 
 Defined results: null text counts as empty; an empty text has n_words 0, fails the
-base rules and has null perplexity; repeated rows are each judged alone and alike;
-an empty table gives no rows; extra columns pass through unless they bear an output
-name, in which case the output wins. Text length is unlimited.
+base rules and has null perplexity; repeated rows are each judged alone and alike, and count
+once for the bands; an empty table gives no rows; extra columns pass through unless they
+bear an output name, in which case the output wins. Text length is unlimited.
 """
 
 from __future__ import annotations
@@ -27,16 +29,10 @@ from pyspark.sql import types as T
 
 from threadloom.llm.arrays import Texts, mix, windows
 from threadloom.llm.batches import slices
+from threadloom.llm.kneser_ney import Grams, HashArrays, fit
 from threadloom.session import written
 
-ORDER, BITS = 4, 6
-KEYS = 1 << (ORDER * BITS)
-MAX_BROADCAST_LANGS = 10_000
-
-# The character classes. 0 pads a text's start.
-SPACE, LOWER, UPPER, DIGIT, MARK, OTHER_MARK, LETTER = 1, 2, 28, 29, 30, 39, 40
-MARKS = ".,!?'-|#*"
-OTHER_MARKS = "$%&<>=+@()[]{}/\\:;\"_~^`"
+# Fixed value: the symbols that the base contract counts.
 SYMBOLS = "#*$%&|<>"
 
 COLUMNS = {
@@ -45,87 +41,6 @@ COLUMNS = {
 }
 
 
-def class_table() -> np.ndarray:
-    """Class of each code point below 65,536; letters beyond ASCII share 24 classes by a hash."""
-    table = (LETTER + mix(np.arange(65536, dtype=np.uint64)) % np.uint64(24)).astype(np.int32)
-    table[:128] = OTHER_MARK
-    table[ord("a") : ord("z") + 1] = np.arange(LOWER, LOWER + 26)
-    table[ord("A") : ord("Z") + 1] = UPPER
-    table[ord("0") : ord("9") + 1] = DIGIT
-    table[[0x20, *range(0x09, 0x0E)]] = SPACE
-    for k, c in enumerate(MARKS):
-        table[ord(c)] = MARK + k
-    return table
-
-
-_CLASSES = class_table()
-
-
-def gram_keys(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The packed n-gram that ends at each character, and the row of each character."""
-    points = np.frombuffer(texts.raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    chars = texts.row_sums((texts.raw & 0xC0) != 0x80)
-    rows = np.repeat(np.arange(texts.n), chars)
-    classes = np.zeros(len(points) + (ORDER - 1) * texts.n, np.int32)
-    at = np.arange(len(points)) + (ORDER - 1) * (rows + 1)
-    classes[at] = _CLASSES[points & 0xFFFF]
-    key = np.zeros(len(points), np.int32)
-    for back in range(ORDER - 1, -1, -1):
-        key = (key << BITS) | classes[at - back]
-    return key, rows
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n) over all characters of all texts, combined in each task before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(KEYS, np.uint32)  # of one task's characters
-        for batch in batches:
-            for part in slices(batch, "text"):
-                np.add.at(total, gram_keys(Texts(part.column("text")))[0], 1)
-        seen = np.flatnonzero(total)
-        if len(seen):
-            yield pa.record_batch({"gram": seen.astype(np.int32), "n": total[seen].astype(np.int64)})
-
-    return docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-gram keys and their natural-log probabilities under interpolated modified Kneser-Ney.
-
-    Lower orders use continuation counts (distinct left neighbours). Discounts come
-    from the counts of counts; where those are degenerate, 0.5 serves.
-    """
-    order = np.argsort(gram)
-    levels = [(gram[order].astype(np.int64), n[order].astype(np.float64))]
-    for k in range(ORDER - 1, 0, -1):
-        keys, left = np.unique(levels[0][0] & ((1 << (BITS * k)) - 1), return_counts=True)
-        levels.insert(0, (keys, left.astype(np.float64)))
-    lower = np.zeros(1, np.int64), np.full(1, 1.0 / (1 << BITS))
-    for k, (keys, counts) in enumerate(levels, 1):
-        of = [float((counts == i).sum()) for i in (1, 2, 3, 4)]
-        if min(of[:3]) > 0:
-            y = of[0] / (of[0] + 2 * of[1])
-            cut = [min(max(i - (i + 1) * y * of[i] / of[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
-        else:
-            cut = [0.5, 0.5, 0.5]
-        discount = np.where(counts == 1, cut[0], np.where(counts == 2, cut[1], cut[2]))
-        _, context = np.unique(keys >> BITS, return_inverse=True)
-        total = np.bincount(context, counts)
-        backoff = np.bincount(context, discount) / total
-        under = lower[1][np.searchsorted(lower[0], keys & ((1 << (BITS * (k - 1))) - 1))]
-        lower = keys, (counts - discount) / total[context] + backoff[context] * under
-    return lower[0].astype(np.int32), np.log(lower[1]).astype(np.float32)
-
-
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The model of all texts; at most ``KEYS`` entries reach the driver."""
-    table = gram_counts(docs).toArrow()
-    if not table.num_rows:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    return kneser_ney(table.column("gram").to_numpy(), table.column("n").to_numpy())
-
-
 def base_counts(texts: Texts) -> dict[str, np.ndarray]:
     """The base contract's counters of each row."""
     words = np.diff(texts.word_at)
@@ -160,63 +75,53 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
     }
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with the base counters, base_failed and perplexity."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def scored(docs: DataFrame, model: HashArrays, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the base counters, base_failed, perplexity and _print, a hash of the text."""
     fields = [docs.schema[c] for c in keep]
-    schema = T.StructType(fields + list(T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in COLUMNS.items()))))
-    inputs = list(dict.fromkeys([*keep, "text"]))
+    schema = T.StructType(fields + list(T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in COLUMNS.items()) + ", _print long")))
+    inputs = list(dict.fromkeys([*keep, "lang", "text"]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = held.value
-        # the sorted arrays, spread out once per task for direct lookup
-        table = np.zeros(KEYS, np.float32)
-        table[keys] = logs
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"))
                 out = base_counts(texts)
                 failed = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
-                grams, rows = gram_keys(texts)
-                total = np.bincount(rows, table[grams], texts.n)
-                chars = np.bincount(rows, minlength=texts.n)
-                known = chars > 0
+                grams = Grams(texts, part.column("lang"))
+                total = np.bincount(grams.rows, model.find(grams.keys), texts.n)
+                chars = np.bincount(grams.rows, minlength=texts.n)
                 ppl = np.exp(-total / np.maximum(chars, 1))
+                prints = texts.hashes(texts.at[:-1], texts.at[1:]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array(v) for v in out.values()] + [pa.array(failed), pa.array(ppl, mask=~known)],
+                    [part.column(c) for c in keep] + [pa.array(v) for v in out.values()] + [pa.array(failed), pa.array(ppl, mask=chars == 0), pa.array(prints)],
                     names=schema.names,
                 )
 
     return docs.select(*inputs).mapInArrow(score, schema)
 
 
-def bands(scores: DataFrame, lower: float, upper: float, min_band_docs: int) -> DataFrame:
-    """(_lang, low, high) of each language in ``scores`` (lang, base_failed, perplexity)."""
-    good = F.when(~F.col("base_failed"), F.log("perplexity"))
-    marks = F.percentile_approx(good, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q")
-    n = F.count(good).alias("n")
-    every = scores.agg(n, marks).select(F.col("q").alias("all_q"))
-    own = scores.groupBy(F.col("lang").alias("_lang")).agg(n, marks)
-    q = F.when(F.col("n") >= min_band_docs, F.col("q")).otherwise(F.col("all_q"))
-    spread = (q[2] - q[0]) / 1.349
-    return own.join(F.broadcast(every)).select(
-        "_lang", F.exp(q[1] - lower * spread).alias("low"), F.exp(q[1] + upper * spread).alias("high")
-    )
-
-
-def quality_rules(docs: DataFrame, lower: float = 7.0, upper: float = 8.0, min_band_docs: int = 30) -> DataFrame:
-    """``docs`` (text, lang and any other columns) with ``COLUMNS``, low, high and ``kept``."""
-    docs = docs.drop(*COLUMNS, "low", "high", "kept", "_lang")
-    model = fit(docs)
-    scores = written(scored(docs, model, ["lang"]).select("lang", "base_failed", "perplexity"), "scores")
-    limits = written(bands(scores, lower, upper, min_band_docs), "bands")
-    # One row for each language; beyond the bound Spark joins by shuffle.
-    if limits.limit(MAX_BROADCAST_LANGS + 1).count() <= MAX_BROADCAST_LANGS:
-        limits = F.broadcast(limits)
-    out = scored(docs, model, docs.columns)
+def bands(scores: DataFrame, lower: float, upper: float, floor: float, prior: float) -> DataFrame:
+    """(_lang, low, high) of each language in ``scores`` (lang, base_failed, perplexity, _print)."""
+    once = scores.where("NOT base_failed").groupBy("lang", "_print").agg(F.min(F.log("perplexity")).alias("x"))
+    marks = F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q")
+    every = once.agg(marks).select(((F.col("q")[2] - F.col("q")[0]) / 1.349).alias("all_s"))
+    own = once.groupBy(F.col("lang").alias("_lang")).agg(F.count("x").alias("n"), marks)
+    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, floor * F.col("all_s")) * (1 + prior / F.col("n"))
+    middle = F.col("q")[1]
+    return own.join(F.broadcast(every)).select("_lang", F.exp(middle - lower * spread).alias("low"), F.exp(middle + upper * spread).alias("high"))
+
+
+def quality_rules(
+    docs: DataFrame, columns: list[str] | None = None, lower: float = 8.0, upper: float = 3.5, floor: float = 0.5, prior: float = 30.0
+) -> DataFrame:
+    """``docs`` (text, lang, ...), or those of their ``columns``, with ``COLUMNS``, low, high and ``kept``.
+
+    The scores are written once with these columns, so leave the text out where it isn't needed.
+    """
+    docs = docs.drop(*COLUMNS, "low", "high", "kept", "_lang", "_print")
+    keep = docs.columns if columns is None else [c for c in columns if c in docs.columns]
+    scores = written(scored(docs, fit(docs), list(dict.fromkeys([*keep, "lang"]))), "scores")
+    limits = written(bands(scores, lower, upper, floor, prior), "bands")
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return (
-        out.join(limits, out["lang"].eqNullSafe(limits["_lang"]), "left")
-        .drop("_lang")
-        .withColumn("kept", ~F.col("base_failed") & inside)
-    )
+    out = scores.join(limits, scores["lang"].eqNullSafe(limits["_lang"]), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & inside).select(*keep, *COLUMNS, "low", "high", "kept")
