@@ -8,6 +8,7 @@ the row). Compose the columns with ``&``, ``|`` and ``~``; Spark's own logic is
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,3 +108,66 @@ def any_column(tests: Iterable[Column]) -> Column:
     for t in tests:
         out = out | t
     return out
+
+
+def model(models: Column, needle: str) -> Column:
+    """Whether any of a session's models holds the needle."""
+    return definite(F.exists(models, lambda m: F.contains(F.lower(m), F.lit(needle.lower()))))
+
+
+def git(branch: Column, remote: Column, needle: str) -> Column:
+    return contains(F.concat_ws(" ", branch, remote), needle)
+
+
+def git_equals(branch: Column, remote: Column, value: str) -> Column:
+    return equals(branch, value) | equals(remote, value)
+
+
+def ranged(column: Column, literal: str) -> Column:
+    """``lo..hi``, either side open, or one number."""
+    low, dots, high = literal.partition("..")
+    at = lambda x: float(x) if x.strip() else None
+    if not (low.strip() or high.strip()):
+        raise ValueError(f"no range: {literal!r}")
+    return number(column, at(low), at(high if dots else low))
+
+
+def dated(column: Column, literal: str, operator: str = ":") -> Column:
+    """A date test: ``:`` with a day or ``day..day`` takes whole days; other operators compare with midnight, and a full timestamp is exact."""
+    if operator not in (":", "=", "<", "<=", ">", ">="):
+        raise ValueError(f"no such operator: {operator!r}")
+    first, dots, last = literal.partition("..")
+    if dots:
+        if operator not in (":", "=") or last < first:
+            raise ValueError(f"no such range: {operator}{literal}")
+        return on_day(column, first, last)
+    if operator == ":" and len(literal) == 10:
+        return on_day(column, literal)
+    instant = F.to_timestamp(F.lit(literal))
+    tests = {":": column == instant, "=": column == instant, "<": column < instant, "<=": column <= instant, ">": column > instant, ">=": column >= instant}
+    return definite(tests[operator])
+
+
+def since_instant(literal: str, now: datetime) -> datetime:
+    """The instant of ``30m``, ``2h``, ``3d`` or ``1w`` before ``now``, of a date, a timestamp, or a time-ordered UUID."""
+    unit = {"m": "minutes", "h": "hours", "d": "days", "w": "weeks"}
+    if literal[-1:] in unit and literal[:-1].isdigit():
+        return now - timedelta(**{unit[literal[-1]]: int(literal[:-1])})
+    bare_id = literal.replace("-", "")
+    if len(bare_id) == 32 and bare_id[12] == "7":
+        return datetime.fromtimestamp(int(bare_id[:12], 16) / 1000, now.tzinfo)
+    try:
+        found = datetime.fromisoformat(literal.replace("Z", "+00:00"))
+    except ValueError:
+        raise ValueError(f"no duration, date or id: {literal!r}") from None
+    return found if found.tzinfo else found.replace(tzinfo=now.tzinfo)
+
+
+def lane(status: Column, last: Column, wanted: str, now: Column, quiet_seconds: int = 3600) -> Column:
+    """Lane filters: running, done, stranded (not done and quiet for long), unfinished."""
+    done = definite(status == "done")
+    quiet = definite(now.cast("double") - last.cast("double") > quiet_seconds)
+    tests = {"done": done, "unfinished": ~done, "stranded": ~done & quiet, "running": ~done & ~quiet}
+    if wanted not in tests:
+        raise ValueError(f"no lane filter: {wanted!r}")
+    return tests[wanted]

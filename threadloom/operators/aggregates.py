@@ -29,9 +29,16 @@ def usage_totals(rows: DataFrame, by: list[str], tokens: list[str], cost: str) -
 
 
 def exact_usage(rows: DataFrame, identity: list[str], order: list) -> DataFrame:
-    """Usage rows without repeats: a response that comes again under one identity counts where it first stands."""
+    """Usage rows without repeats: a response that comes again under one identity counts where it first stands.
+
+    A row whose identity holds a null is none's repeat.
+    """
+    whole = F.lit(True)
+    for c in identity:
+        whole = whole & F.col(c).isNotNull()
     at = F.row_number().over(Window.partitionBy(*identity).orderBy(*order))
-    return rows.withColumn("_at", at).where("_at = 1").drop("_at")
+    once = rows.where(whole).withColumn("_at", at).where("_at = 1").drop("_at")
+    return once.unionByName(rows.where(~whole))
 
 
 def tool_histogram(events: DataFrame, by: list[str]) -> DataFrame:
@@ -77,3 +84,34 @@ def day_levels(rows: DataFrame, when: str) -> DataFrame:
     days = rows.groupBy(F.to_date(when).alias("day")).agg(F.count("*").alias("n"))
     most = days.agg(F.max("n").alias("most"))
     return days.join(F.broadcast(most)).select("day", "n", F.least(F.lit(4), F.ceil(4 * F.col("n") / F.col("most"))).cast("int").alias("level"))
+
+
+def merged_ranges(rows: DataFrame, by: list[str], first: str, last: str) -> DataFrame:
+    """(by, first, last): ranges of one group that overlap or touch become one."""
+    own = Window.partitionBy(*by).orderBy(first, last)
+    before = F.max(last).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(before.isNull() | (F.col(first) > before + 1), 1).otherwise(0)
+    named = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return named.groupBy(*by, "_run").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_run")
+
+
+def tool_map(events: DataFrame, by: str, tool: str) -> DataFrame:
+    """(by, tools): calls of each tool as a map in name order."""
+    n = events.groupBy(by, tool).agg(F.count("*").alias("n"))
+    return n.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(tool, "n")))).alias("tools"))
+
+
+def workflow_totals(runs: DataFrame, by: str, status: str, cost: str, when: str) -> DataFrame:
+    """Runs, unfinished runs, cost and the last instant of each workflow; a missing name is its own."""
+    return runs.groupBy(by).agg(
+        F.count("*").alias("runs"), F.count_if(~F.coalesce(F.col(status) == "F", F.lit(False))).alias("open"), F.sum(cost).alias("cost"), F.max(when).alias("last")
+    )
+
+
+def compactions(rows: DataFrame) -> DataFrame:
+    """(session_id, boundaries, summaries, last) of ``rows`` (session_id, msg_idx, kind)."""
+    kind = F.col("kind")
+    return rows.groupBy("session_id").agg(
+        F.count_if(kind == "compaction_boundary").alias("boundaries"), F.count_if(kind == "compaction_summary").alias("summaries"),
+        F.max(F.when(kind.isin("compaction_boundary", "compaction_summary"), F.col("msg_idx"))).alias("last"),
+    )

@@ -59,3 +59,8 @@ def ends_with_path(events: DataFrame, relative: str, absolute: str | None = None
     """Events whose target is the path or ends in it at a directory boundary."""
     test = F.endswith("target", F.lit("/" + relative.lstrip("/"))) | (F.col("target") == relative)
     return events.where(test | (F.col("target") == absolute) if absolute else test)
+
+
+def unmatched(edits: DataFrame, matches: DataFrame) -> DataFrame:
+    """Edits that no commit takes up."""
+    return edits.join(matches.select("edit_id").distinct(), "edit_id", "left_anti")

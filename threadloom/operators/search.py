@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,23 @@ def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
     return docs.where(F.contains(joined, F.lit(f" {' '.join(words)} ")))
 
 
+def batch(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of each of ``queries`` (item_id, text) and each of ``docs`` (doc_id, text) that holds all its words.
+
+    A query meets only the documents with its rarest word, and these are then tested for the others.
+    """
+    held = docs.select("doc_id", F.array_distinct(terms(F.coalesce("text", F.lit("")))).alias("words"))
+    wanted = queries.select("item_id", F.array_distinct(terms(F.coalesce("text", F.lit("")))).alias("wanted"))
+    asked = wanted.select("item_id", F.explode("wanted").alias("word"))
+    terms_asked = asked.select("word").distinct()
+    df = held.select(F.explode("words").alias("word")).join(terms_asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    # a word that no document has leaves its query without a hit
+    rarest = asked.join(df, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    keyed = wanted.join(rarest, "item_id")
+    found = held.select("doc_id", "words", F.explode("words").alias("word")).join(rarest.select("word").distinct(), "word", "left_semi")
+    return found.join(keyed, "word").where(F.size(F.array_except("wanted", "words")) == 0).select("item_id", "doc_id")
+
+
 def best_of_session(hits: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best sessions by their best chunk, ties by id."""
     return hits.groupBy("session_id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "session_id").limit(limit)
@@ -77,3 +96,27 @@ def fuse(channels: list[tuple[DataFrame, float]], limit: int, offset: float = 60
         parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("id").agg(F.sum("part").alias("score")).orderBy(F.col("score").desc(), "id").limit(limit)
 
+
+
+# Words that a relaxed query leaves out.
+STOPWORDS = ["the", "and", "for", "that", "with", "this", "from", "are", "was"]
+
+
+def recall(docs: DataFrame, asked: str) -> DataFrame:
+    """(doc_id, tier) of the strictest reading of ``asked`` with a hit: the phrase (0), all its words (1), any word that counts (2).
+
+    One scan rates each document; the best tier is one row.
+    """
+    words = [w for w in re.split(r"[^a-z0-9]+", asked.lower()) if w]
+    loose = [w for w in words if len(w) > 2 and w not in STOPWORDS]
+    held = docs.select("doc_id", terms(F.coalesce("text", F.lit(""))).alias("words"))
+    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    every, some = F.lit(bool(words)), F.lit(False)
+    for w in words:
+        every = every & F.array_contains("words", w)
+    for w in loose:
+        some = some | F.array_contains("words", w)
+    tier = F.when(F.lit(bool(words)) & F.contains(joined, F.lit(f" {' '.join(words)} ")), 0).when(every, 1).when(some, 2)
+    rated = held.select("doc_id", tier.alias("tier")).where("tier IS NOT NULL")
+    best = rated.agg(F.min("tier").alias("best"))
+    return rated.join(F.broadcast(best)).where("tier = best").select("doc_id", "tier")

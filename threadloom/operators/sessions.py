@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import predicates as P
@@ -62,3 +62,53 @@ def within_budget(messages: DataFrame, size, budget: int, newest: bool = False)
     by = Window.partitionBy("session_id").orderBy(order)
     held = messages.withColumn("_sum", F.sum(size).over(by)).withColumn("_at", F.row_number().over(by))
     return held.where((F.col("_sum") <= budget) | (F.col("_at") == 1)).drop("_sum", "_at")
+
+
+#: flags by the event kinds or tool affordances that set them
+FLAGS = {
+    "errors": ["error"], "edits": ["file_edit"], "reads": ["file_read"], "commands": ["command"], "searches": ["search"], "subagents": ["subagent_spawn"],
+    "messages": ["agent_message"], "background": ["background", "background_job"], "plan": ["plan"], "skills": ["skill"], "questions": ["question"],
+    "schedules": ["schedule"], "compactions": ["compaction_boundary", "compaction_summary"], "images": ["image"], "workflows": ["workflow"],
+}
+
+
+def flags(events: DataFrame) -> DataFrame:
+    """(session_id, has_...) of ``events`` (session_id, kind): one flag for each of ``FLAGS``, and has_tools for any call but an error."""
+    kind = F.col("kind")
+    any_ = [F.coalesce(F.bool_or(kind.isin(kinds)), F.lit(False)).alias(f"has_{name}") for name, kinds in FLAGS.items()]
+    return events.groupBy("session_id").agg(*any_, F.coalesce(F.bool_or(kind != "error"), F.lit(False)).alias("has_tools"))
+
+
+def touching(events: DataFrame, needle: str) -> DataFrame:
+    """(session_id) of sessions that edit or read a target that holds the needle."""
+    hit = F.col("kind").isin("file_edit", "file_read") & F.contains(F.lower("target"), F.lit(needle.lower()))
+    return events.where(hit).select("session_id").distinct()
+
+
+def through_children(rows: DataFrame, test: Column) -> DataFrame:
+    """(session_id) of the parents of ``rows`` (session_id, parent_id, ...) that pass: sub-agent types, workflow runs."""
+    return rows.where(F.coalesce(test, F.lit(False)) & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("session_id")).distinct()
+
+
+def subtool(events: DataFrame, tool: str) -> DataFrame:
+    """(session_id) of sessions whose sub-agents use a tool that they don't use themselves (events: session_id, parent_id, tool)."""
+    used = F.contains(F.lower("tool"), F.lit(tool.lower()))
+    own = events.where(used).select("session_id").distinct()
+    return through_children(events, used).join(own, "session_id", "left_anti")
+
+
+def newest_within(rows: DataFrame, when: str, size: str, budget: int) -> DataFrame:
+    """``rows`` from the newest on while their sizes together stay within ``budget``; ties and null times come last, by id.
+
+    Days are summed first, so only the rows of the day at which the budget ends are put in one order.
+    """
+    day = F.coalesce(F.to_date(when), F.lit("0001-01-01").cast("date"))
+    dated = rows.withColumn("_day", day)
+    days = dated.groupBy("_day").agg(F.sum(size).alias("_own"))
+    upto = days.select("_day", (F.sum("_own").over(Window.orderBy(F.col("_day").desc())) - F.col("_own")).alias("_before"), "_own")
+    placed = dated.join(upto, "_day").where(F.col("_before") < budget)
+    whole = placed.where(F.col("_before") + F.col("_own") <= budget)
+    last = placed.where(F.col("_before") + F.col("_own") > budget)
+    order = Window.partitionBy("_day").orderBy(F.col(when).desc_nulls_last(), "id")
+    cut = last.withColumn("_at", F.col("_before") + F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_at") <= budget)
+    return whole.select(*rows.columns).unionByName(cut.select(*rows.columns))

@@ -10,7 +10,8 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # States, and event tags that are read but change nothing.
 OPEN, CLAIMED, DONE, ABANDONED, SUPERSEDED, RESOLVED = "open", "claimed", "done", "abandoned", "superseded", "resolved"
@@ -98,9 +99,39 @@ def fold_tasks(events: DataFrame) -> DataFrame:
 
 def blocked(tasks: DataFrame) -> DataFrame:
     """(task_id, is_blocked): whether any blocker is missing or not in a final state."""
-    from pyspark.sql import functions as F
-
     wanted = tasks.select("task_id", F.explode_outer("blocked_by").alias("blocker"))
     states = tasks.select(F.col("task_id").alias("blocker"), F.col("state").alias("blocker_state"))
     open_ = F.col("blocker").isNotNull() & ~F.coalesce(F.col("blocker_state").isin(*sorted(TERMINAL)), F.lit(False))
     return wanted.join(states, "blocker", "left").groupBy("task_id").agg(F.bool_or(open_).alias("is_blocked"))
+
+
+# What the payload of an event must hold.
+NEEDS = {
+    "opened": ["title"], "status_set": ["text"], "tagged": ["tags"], "blocked_by": ["task"], "posed": ["options", "default"], "resolved": ["choice"],
+    "claimed": ["assignee"], "noted": [], "released": [], "done": [], "abandoned": [], "superseded": [],
+}
+
+
+def shape_error(event: Column, payload: Column, task_id: Column) -> Column:
+    """What is wrong with an event by itself, before any state is asked, or null."""
+    wrong = F.when(task_id.isNull(), F.lit("no task")).when(~F.coalesce(event.isin([*NEEDS, *sorted(RETIRED)]), F.lit(False)), F.lit("unknown event"))
+    for name, keys in NEEDS.items():
+        for key in keys:
+            wrong = wrong.when((event == name) & F.get_json_object(payload, f"$.{key}").isNull(), F.lit(f"no {key}"))
+    return wrong
+
+
+def listed(tasks: DataFrame, states: list[str] | None = None, assignee: str | None = None, tag: str | None = None, decisions: bool | None = None, since: Column | None = None) -> DataFrame:
+    """The tasks that pass all filters given; ``since`` is a test of the caller's columns."""
+    test = F.lit(True)
+    if states:
+        test = test & F.col("state").isin(states)
+    if assignee:
+        test = test & (F.col("assignee") == assignee)
+    if tag:
+        test = test & F.array_contains("tags", tag)
+    if decisions is not None:
+        test = test & ((F.size("options") > 0) == decisions)
+    if since is not None:
+        test = test & since
+    return tasks.where(F.coalesce(test, F.lit(False)))

@@ -88,11 +88,10 @@ def names_commit(output: Column, sha: Column) -> Column:
 
 def active_branch(messages: DataFrame) -> DataFrame:
     """(session_id, id) on the way from each session's newest message back through its parents."""
-    from threadloom.operators.graphs import descendants
+    from threadloom.operators.graphs import ways_up
 
     newest = messages.where("id IS NOT NULL").groupBy("session_id").agg(F.max_by("id", "msg_idx").alias("leaf"))
-    key = F.concat_ws("\u0001", "session_id", "id")
-    up = messages.where("parent_id IS NOT NULL").select(key.alias("parent"), F.concat_ws("\u0001", "session_id", "parent_id").alias("child"))
-    roots = newest.select(F.concat_ws("\u0001", "session_id", "leaf").alias("id"))
-    walked = descendants(up, roots)
-    return walked.select(F.element_at(F.split("root", "\u0001"), 1).alias("session_id"), F.element_at(F.split("id", "\u0001"), 2).alias("id"))
+    key = lambda c: F.struct("session_id", F.col(c).alias("id"))
+    links = messages.where("id IS NOT NULL AND parent_id IS NOT NULL").select(key("id").alias("id"), key("parent_id").alias("up"))
+    walked = ways_up(links, newest.select(key("leaf").alias("id")))
+    return walked.select(F.col("id.session_id").alias("session_id"), F.col("id.id").alias("id"))

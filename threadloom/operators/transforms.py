@@ -22,10 +22,29 @@ def dataset(messages: DataFrame, fmt: str = "chatml") -> DataFrame:
     return messages.groupBy("session_id").agg(order.alias("turns")).select("session_id", F.to_json(record).alias("record"))
 
 
+def open_calls(messages: DataFrame) -> DataFrame:
+    """``messages`` (session_id, msg_idx, calls and results: arrays of call ids, ...) with ``pending``, the calls up to each message without a result so far."""
+    upto = Window.partitionBy("session_id").orderBy("msg_idx")
+    called, answered = (F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))).over(upto)) for c in ("calls", "results"))
+    return messages.withColumn("pending", F.array_except(called, answered))
+
+
 def clean_outcomes(messages: DataFrame) -> DataFrame:
-    """Sessions without an error record whose last message with text is the assistant's."""
+    """Sessions without an error record whose last message with text is the assistant's.
+
+    With columns calls, results and failed (arrays of call ids), also without a call that has no result, or a failed one
+    after which no result succeeded.
+    """
     said = F.when(F.trim("text") != "", F.col("msg_idx"))
-    return messages.groupBy("session_id").agg(F.bool_or(F.col("kind") == "error").alias("failed"), F.max_by("role", said).alias("last")).where("NOT failed AND last = 'assistant'").select("session_id")
+    tests = [F.bool_or(F.col("kind") == "error").alias("broken"), F.max_by("role", said).alias("last")]
+    if {"calls", "results", "failed"} <= set(messages.columns):
+        ids = lambda c: F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))
+        bad = F.coalesce(F.size("failed"), F.lit(0)) > 0
+        good = F.size(F.array_except("results", F.coalesce("failed", F.array().cast("array<string>")))) > 0
+        unsolved = F.coalesce(F.max(F.when(bad, F.col("msg_idx"))), F.lit(-1)) > F.coalesce(F.max(F.when(good, F.col("msg_idx"))), F.lit(-1))
+        tests += [(F.size(F.array_except(ids("calls"), ids("results"))) > 0).alias("pending"), unsolved.alias("unsolved")]
+    held = messages.groupBy("session_id").agg(*tests).where("NOT broken AND last = 'assistant'")
+    return (held.where("NOT pending AND NOT unsolved") if "pending" in held.columns else held).select("session_id")
 
 
 def prune(messages: DataFrame, min_size: int = 2048, keep_last: int = 25) -> tuple[DataFrame, DataFrame]:
@@ -49,17 +68,35 @@ def retrieve(pruned: DataFrame, sidecar: DataFrame) -> DataFrame:
 
 
 def splice(messages: DataFrame, spans: DataFrame) -> DataFrame:
-    """Windows of sessions one after another (spans: ord, session_id, start, stop), renumbered, with their origin."""
-    parts = messages.join(F.broadcast(spans), "session_id").where((F.col("msg_idx") >= F.col("start")) & (F.col("msg_idx") < F.col("stop")))
-    at = F.row_number().over(Window.orderBy("ord", "msg_idx")) - 1
-    return parts.select(at.cast("long").alias("new_idx"), F.col("session_id").alias("from_session"), F.col("msg_idx").alias("from_idx"), "role", "text")
+    """Windows of sessions one after another (spans: ord, session_id, start, stop), renumbered, with their origin.
+
+    A message's new number is its place in its span and the sizes of the spans before it, so only the
+    sizes, one row a span, are ordered together.
+    """
+    parts = messages.join(spans, "session_id").where((F.col("msg_idx") >= F.col("start")) & (F.col("msg_idx") < F.col("stop")))
+    sizes = parts.groupBy("ord").agg(F.count("*").alias("n"))
+    before = sizes.select("ord", (F.sum("n").over(Window.orderBy("ord")) - F.col("n")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("ord").orderBy("msg_idx")) - 1
+    placed = parts.withColumn("at", at).join(before, "ord")
+    return placed.select((F.col("before") + F.col("at")).cast("long").alias("new_idx"), F.col("session_id").alias("from_session"), F.col("msg_idx").alias("from_idx"), "role", "text")
 
 
 def rewind(messages: DataFrame, cut: int, boundary) -> DataFrame:
-    """Messages of each session from its last boundary at or before ``cut`` through ``cut``."""
-    last = F.max(F.when(boundary & (F.col("msg_idx") <= cut), F.col("msg_idx"))).over(Window.partitionBy("session_id"))
+    """Messages of each session from its last boundary at or before ``cut`` through ``cut``.
+
+    With columns calls and results the end moves on to the message that answers the last call made by then.
+    """
+    own = Window.partitionBy("session_id")
+    last = F.max(F.when(boundary & (F.col("msg_idx") <= cut), F.col("msg_idx"))).over(own)
     kept = messages.withColumn("_from", F.coalesce(last, F.lit(0)))
-    return kept.where((F.col("msg_idx") >= F.col("_from")) & (F.col("msg_idx") <= cut)).drop("_from")
+    end = F.lit(cut)
+    if {"calls", "results"} <= set(messages.columns):
+        made = messages.where(F.col("msg_idx") <= cut).select("session_id", F.explode("calls").alias("call")).distinct()
+        answered = messages.select("session_id", "msg_idx", F.explode("results").alias("call"))
+        closed = answered.join(made, ["session_id", "call"]).groupBy("session_id").agg(F.max("msg_idx").alias("_closed"))
+        kept = kept.join(closed, "session_id", "left")
+        end = F.greatest(F.lit(cut), F.coalesce("_closed", F.lit(cut)))
+    return kept.where((F.col("msg_idx") >= F.col("_from")) & (F.col("msg_idx") <= end)).select(*messages.columns)
 
 
 def prompts_and_answers(messages: DataFrame) -> DataFrame:
@@ -71,9 +108,25 @@ def prompts_and_answers(messages: DataFrame) -> DataFrame:
 
 
 def threads(messages: DataFrame) -> DataFrame:
-    """Depth of each message below its root by parent id, as iterated joins."""
-    from threadloom.operators.graphs import descendants
+    """(id, depth) of each message below its root by parent id; a message whose parent is absent is a root, those of a cycle have no depth."""
+    from threadloom.operators.graphs import depths
+
+    return depths(messages).select("id", "depth")
+
+
+def restamped(messages: DataFrame, session: str) -> DataFrame:
+    """``messages`` (session_id, id, parent_id, ...) as another session's: new ids from the old ones, links kept, the origin noted."""
+    renamed = lambda c: F.when(F.col(c).isNotNull(), F.substring(F.sha2(F.concat(F.lit(session + "/"), F.col(c)), 256), 1, 32))
+    return messages.withColumns({"origin_session": F.col("session_id"), "session_id": F.lit(session), "id": renamed("id"), "parent_id": renamed("parent_id")})
+
 
-    edges = messages.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))
-    roots = messages.where("parent_id IS NULL").select("id")
-    return descendants(edges, roots).select("id", "depth")
+def thinking(messages: DataFrame, policy: str = "drop") -> DataFrame:
+    """Reasoning texts (column thinking) dropped, kept, or put before the text in tags."""
+    if policy not in ("drop", "keep", "inline"):
+        raise ValueError(f"no thinking policy: {policy!r}")
+    if policy == "keep":
+        return messages
+    if policy == "inline":
+        said = F.coalesce(F.trim("thinking"), F.lit("")) != ""
+        messages = messages.withColumn("text", F.when(said, F.concat(F.lit("<think>"), F.col("thinking"), F.lit("</think>\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    return messages.drop("thinking")

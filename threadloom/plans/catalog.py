@@ -184,11 +184,11 @@ def p03_truncate(t):
     return t.documents.select("doc_id", X.truncate(F.col("text"), 60).alias("head"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars * n_chars < 1024 THEN CAST(n_chars * n_chars AS VARCHAR) || ' B' WHEN n_chars * n_chars < 1048576 THEN printf('%.1f KB', n_chars * n_chars / 1024.0)
-  WHEN n_chars * n_chars < 1073741824 THEN printf('%.1f MB', n_chars * n_chars / 1048576.0) ELSE printf('%.1f GB', n_chars * n_chars / 1073741824.0) END AS size FROM documents WHERE n_chars * n_chars < 1024 OR n_chars % 2 = 1""")
+@query("""WITH d AS (SELECT doc_id, CAST(n_chars AS BIGINT) * n_chars AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10)
+  WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(n / 1073741824.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM d""")
 def p04_human_bytes(t):
-    n = F.col("n_chars") * F.col("n_chars")
-    return t.documents.where((n < 1024) | (F.col("n_chars") % 2 == 1)).select("doc_id", X.human_bytes(n).alias("size"))
+    n = F.col("n_chars").cast("long") * F.col("n_chars")
+    return t.documents.select("doc_id", X.human_bytes(n).alias("size"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS last_part, CASE WHEN starts_with(url, 'https://') THEN '~' || url[7:] ELSE url END AS home FROM pages""")
@@ -233,12 +233,15 @@ def p11_cost(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", K.estimated_cost(model_of(F.col("l_partkey")), reported, tokens).alias("cost"))
 
 
-@query("""SELECT doc_id, regexp_matches(cmd, '\\bgit(?:\\s+(?:-[Cc]\\s+\\S+|--?[\\w-]+(?:=\\S+)?))*\\s+commit\\b') AS commits,
-  regexp_matches(cmd, '\\bgit(?:\\s+(?:-[Cc]\\s+\\S+|--?[\\w-]+(?:=\\S+)?))*\\s+push\\b') AS pushes FROM (
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'git -C /x commit -m y' WHEN 1 THEN 'git commit -a && git --no-pager push' WHEN 2 THEN 'digit pushed' ELSE text[1:40] END AS cmd FROM documents)""")
+GIT = r"(^|[\s;&|])git(?:\s+-[Cc]\s+[^\s;&|]+|\s+-[^\s;&|]+)*\s+{}($|[\s;&|])"
+
+
+@query(f"""SELECT doc_id, regexp_matches(cmd, '{GIT.format("commit")}') AS commits, regexp_matches(cmd, '{GIT.format("push")}') AS pushes FROM (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'cd x; git -C /x commit -m ' WHEN 1 THEN 'git commit -a && git --no-pager push ' WHEN 2 THEN 'digit pushed ' ELSE '' END || text AS cmd FROM documents)""")
 def p17_git_verbs(t):
     i = F.col("doc_id") % 4
-    cmd = F.when(i == 0, "git -C /x commit -m y").when(i == 1, "git commit -a && git --no-pager push").when(i == 2, "digit pushed").otherwise(F.substring("text", 1, 40))
+    head = F.when(i == 0, "cd x; git -C /x commit -m ").when(i == 1, "git commit -a && git --no-pager push ").when(i == 2, "digit pushed ").otherwise("")
+    cmd = F.concat(head, F.col("text"))
     return t.documents.select("doc_id", X.git_verb(cmd, "commit").alias("commits"), X.git_verb(cmd, "push").alias("pushes"))
 
 

@@ -41,10 +41,10 @@ def j04_membership(t):
     return t.part.join(t.lineitem.where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
 
 
-@query("SELECT page_id FROM pages WHERE ends_with(url, '/en/25') OR url = 'en/25' OR ends_with(url, '/173.html')")
+@query("SELECT page_id FROM pages WHERE ends_with(url, '/index.html') OR url = 'index.html' OR contains(url, '/en/')")
 def j05_path_suffix(t):
     pages = t.pages.select("page_id", F.col("url").alias("target"))
-    return V.ends_with_path(pages, "en/25").unionByName(V.ends_with_path(pages, "173.html")).select("page_id").distinct()
+    return V.ends_with_path(pages, "index.html").unionByName(pages.where(F.contains("target", F.lit("/en/")))).select("page_id").distinct()
 
 
 TIMED = f"""WITH {EVENTS}, e AS (SELECT event_id AS edit_id, CAST(epoch(ts) AS BIGINT) AS edit_ts, session_id, msg_idx FROM ev WHERE kind = 'file_edit'),
@@ -73,11 +73,11 @@ def j07_spanned(t):
     return V.spanned(spans, edits_commits(t)[1])
 
 
-@query("""WITH a AS (SELECT DISTINCT l_orderkey AS edit_id, l_partkey AS p FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT DISTINCT l_suppkey AS commit_id, l_partkey AS p FROM lineitem WHERE l_orderkey % 20 = 1)
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS edit_id, l_partkey AS p FROM lineitem), b AS (SELECT DISTINCT l_suppkey AS commit_id, l_partkey AS p FROM lineitem)
 SELECT edit_id, commit_id, count(*) AS matched FROM a JOIN b USING (p) GROUP BY edit_id, commit_id HAVING count(*) > 1""")
 def j08_shared_prints(t):
-    edits = t.lineitem.where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("edit_id")).agg(F.collect_list("l_partkey").alias("prints"))
-    commits = t.lineitem.where("l_orderkey % 20 = 1").groupBy(F.col("l_suppkey").alias("commit_id")).agg(F.collect_set("l_partkey").alias("prints"))
+    edits = t.lineitem.groupBy(F.col("l_orderkey").alias("edit_id")).agg(F.collect_list("l_partkey").alias("prints"))
+    commits = t.lineitem.groupBy(F.col("l_suppkey").alias("commit_id")).agg(F.collect_set("l_partkey").alias("prints"))
     return V.shared_prints(edits, commits).where("matched > 1")
 
 

@@ -33,8 +33,8 @@ def t03_private_hosts(t):
 
 @query()
 def t04_redact_stats(t):
-    counts = R.counts(R.redact(F.col("text")))
-    return t.documents.select([c.alias(k) for k, c in counts.items()]).agg(*[F.sum(k).alias(k) for k in counts])
+    counts = R.counts(F.col("text"), F.col("redacted"))
+    return t.documents.select("text", R.redact(F.col("text")).alias("redacted")).select([c.alias(k) for k, c in counts.items()]).agg(*[F.sum(k).alias(k) for k in counts])
 
 
 @query(f"""WITH {MESSAGES} SELECT session_id, CAST(to_json({{'messages': list({{'role': role, 'content': text}} ORDER BY msg_idx)}}) AS VARCHAR) AS record FROM messages GROUP BY session_id""")
@@ -86,11 +86,10 @@ def t07_t17_prompts(t):
     return T.prompts_and_answers(messages(t))
 
 
-@query("""WITH d AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS id FROM part) SELECT id, CASE WHEN p_partkey < 3 THEN 0 WHEN p_partkey < 9 THEN 1 WHEN p_partkey < 27 THEN 2 WHEN p_partkey < 81 THEN 3 ELSE 4 END AS depth FROM d WHERE p_partkey BETWEEN 1 AND 200""")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey < 3 THEN 0 ELSE CAST(floor(ln(p_partkey) / ln(3) + 1e-9) AS BIGINT) END AS depth FROM part")
 def t19_threads(t):
-    parts = t.part.where("p_partkey BETWEEN 1 AND 200")
     parent = F.when(F.col("p_partkey") >= 3, F.floor(F.col("p_partkey") / 3).cast("string"))
-    return T.threads(parts.select(F.col("p_partkey").cast("string").alias("id"), parent.alias("parent_id")))
+    return T.threads(t.part.select(F.col("p_partkey").cast("string").alias("id"), parent.alias("parent_id")))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id DESC) AS rn FROM documents) SELECT doc_id FROM r WHERE rn = 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -68,3 +68,16 @@ def merged(current: DataFrame, batch: DataFrame, key: str = "session_id", at: st
     first = batch.groupBy(key).agg(F.min(at).alias("_first"))
     kept = current.join(first, key, "left").where(F.col("_first").isNull() | (F.col(at) < F.col("_first"))).drop("_first")
     return kept.unionByName(batch)
+
+
+def encoded_cursor(session: Column, kind: Column, mark: Column) -> Column:
+    """A follower's mark as text: version, session, ``m`` for messages or ``b`` for bytes, count."""
+    return F.concat_ws(":", F.lit("1"), F.base64(session.cast("binary")), kind, mark.cast("string"))
+
+
+def decoded_cursor(text: Column) -> Column:
+    """struct(session, kind, mark) of a cursor; null for another version or a broken one."""
+    parts = F.split(text, ":")
+    right = (F.size(parts) == 4) & (F.get(parts, F.lit(0)) == "1") & F.get(parts, F.lit(2)).isin("m", "b") & F.get(parts, F.lit(3)).rlike("^[0-9]{1,18}$")
+    held = F.struct(F.unbase64(F.get(parts, F.lit(1))).cast("string").alias("session"), F.get(parts, F.lit(2)).alias("kind"), F.get(parts, F.lit(3)).try_cast("long").alias("mark"))
+    return F.when(right, held)
