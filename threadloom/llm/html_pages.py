@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,14 +21,16 @@ CLOSES = {
 }
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "nav", "aside", "blockquote", "td", "th"}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: elements deeper than this count as the element at this depth, so that a page's paths stay in proportion to it
+DEEPEST = 64
+
+
 class Block(NamedTuple):
     path: tuple  # element keys from the outside in
     text: str
@@ -56,38 +59,95 @@ def element_key(tag: str, attributes: str) -> str:
     return tag + "".join("." + p for p in sorted(parts))
 
 
+class Tags:
+    """The markup of one page in order, found in one pass whatever quotes or brackets are unbalanced."""
+
+    def __init__(self, page: str):
+        self.page = page
+        #: where to go on
+        self.at = 0
+        #: behind these there is no further one to look for
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.last |= {end: page.rfind(end) for end in ("-->", "]]>")}
+
+    def until(self, end: str, at: int) -> int:
+        """Behind the next ``end``, or the end of the page."""
+        return self.page.index(end, at) + len(end) if self.last[end] >= at else len(self.page)
+
+    def tag_end(self, at: int) -> int:
+        """The index of the ``>`` that ends the tag whose name stands before ``at``, quoted ones apart; -1 if there is none."""
+        page, start = self.page, at
+        while at < len(page):
+            at = PLAIN.match(page, at).end()
+            if at == len(page):
+                break
+            if page[at] == ">":
+                return at
+            at = page.index(page[at], at + 1) + 1 if self.last[page[at]] > at else at + 1
+        return page.index(">", start) if self.last[">"] >= start else -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name or "!" or "[", whether it closes, attributes) of each tag, comment ("!") and CDATA section ("[")."""
+        page = self.page
+        while (start := page.find("<", self.at)) >= 0:
+            m = NAME.match(page, start + 1)
+            if m:
+                end = self.tag_end(m.end())
+                if end < 0:
+                    return
+                self.at = end + 1
+                yield start, self.at, m[1].lower(), page[start + 1] == "/", page[m.end() : end]
+            elif page.startswith("<!--", start):
+                self.at = self.until("-->", start + 4)
+                yield start, self.at, "!", False, ""
+            elif page.startswith("<![CDATA[", start):
+                self.at = self.until("]]>", start + 9)
+                yield start, self.at, "[", False, page[start + 9 : self.at].removesuffix("]]>")
+            elif page.startswith(("<!", "<?"), start):
+                self.at = self.until(">", start)
+                yield start, self.at, "!", False, ""
+            else:
+                self.at = start + 1
+
+
+def raw_end(page: str, tag: str, at: int) -> int:
+    """Behind the end tag of an element whose content is no markup."""
+    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
 def walk(page: str) -> Iterator[tuple[str, tuple, str, bool]]:
     """("open", path, "", False) for each block element and ("text", path, text, in_link) for each run of text."""
     stack: list[tuple[str, tuple]] = [("", ())]
+    opened: Counter = Counter()
     links, at, n = 0, 0, len(page)
-    find = TOKEN.search
-    while at < n:
-        m = find(page, at)
-        if m is None:
-            yield "text", stack[-1][1], page[at:], links > 0
-            return
-        if m.start() > at:
-            yield "text", stack[-1][1], page[at : m.start()], links > 0
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if page.startswith("<![CDATA[", m.start()):
-                yield "text", stack[-1][1], html.escape(m[0][9:].removesuffix("]]>")), links > 0
+
+    def close(k: int) -> None:
+        opened.subtract(tag for tag, _ in stack[k:])
+        del stack[k:]
+
+    tags = Tags(page)
+    for start, end, tag, closes, attributes in tags:
+        if start > at:
+            yield "text", stack[-1][1], page[at:start], links > 0
+        at = end
+        if tag in "![":
+            if tag == "[":
+                yield "text", stack[-1][1], html.escape(attributes), links > 0
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m[1] else 1
+                links = 0 if closes else 1
             continue
         if tag in VOID:
             yield "text", stack[-1][1], " ", False
             if tag == "hr":
                 yield "open", stack[-1][1], "", False
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        if closes:
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     links = 0
                     break
                 if tag not in SCOPES and stack[k][0] in SCOPES:
@@ -95,24 +155,26 @@ def walk(page: str) -> Iterator[tuple[str, tuple, str, bool]]:
             yield "open", stack[-1][1], "", False
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attributes.rstrip().endswith("/"):
+                tags.at = at = raw_end(page, tag, at)
             continue
         links = 0
         if stack[-1][0] == "p":
-            stack.pop()
-        closes = CLOSES.get(tag)
-        if closes:
+            close(len(stack) - 1)
+        ends = CLOSES.get(tag)
+        if ends and any(opened[t] for t in ends):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
+                if stack[k][0] in ends:
+                    close(k)
                     break
-                if stack[k][0] in SCOPES and stack[k][0] not in closes:
+                if stack[k][0] in SCOPES and stack[k][0] not in ends:
                     break
-        path = (*stack[-1][1], element_key(tag, m[3]))
+        path = stack[-1][1] if len(stack[-1][1]) >= DEEPEST else (*stack[-1][1], element_key(tag, attributes))
         stack.append((tag, path))
+        opened[tag] += 1
         yield "open", path, "", False
+    if at < n:
+        yield "text", stack[-1][1], page[at:], links > 0
 
 
 def blocks(page: str) -> Iterator[Block]:
