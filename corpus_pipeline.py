@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.jaccard_join import jaccard_join
 from threadloom.llm.line_dedup import line_dedup
+from threadloom.llm.marks import marks, slot, with_mark
 from threadloom.llm.mix_sources import mix_sources
 from threadloom.llm.packing import pack
 from threadloom.llm.quality_rules import quality_rules
-from threadloom.llm.small import small
 from threadloom.session import written
 
-#: ids of dropped near-duplicates up to this many are sent to the scan instead of shuffling the texts
-MAX_BROADCAST_IDS = 1_000_000
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the perplexity bands reject go."""
@@ -29,15 +26,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line equals or nearly equals go; a document stays, if need be with an empty text."""
-    return line_dedup(docs).select(*docs.columns)
+    """Lines that an earlier line equals or nearly equals go, and with them documents that have no word left."""
+    found = line_dedup(docs)
+    emptied = (F.col("n_exact") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
     found = jaccard_join(docs)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone, MAX_BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    # only rows in a slot of a lost id are shuffled
+    rows = with_mark(docs.withColumn("_slot", slot(F.col("doc_id"))), marks(gone.select(slot(F.col("doc_id")).alias("_slot"))))
+    stay = rows.where("NOT _mark").select(*docs.columns)
+    return stay.unionByName(rows.where("_mark").join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't express the perplexity model; tests hold run() against a plain version.
+#: SQL can't express the perplexity model; a test holds run() against plain versions of the stages.
 ORACLE_SQL = None
 
 

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.html_pages import blocks
-from threadloom.llm.small import small
 from threadloom.llm.wrappers import Slot, Wrapper, choose
 from threadloom.session import written
 
@@ -104,7 +103,7 @@ def unpack_slots(data: bytes) -> dict[tuple, Slot]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html)."""
     named = with_host(pages.select("page_id", "url", "html"))
-    slots = small(written(slots_of(wrappers(named.where("host <> ''"))), "slots").withColumnRenamed("host", "of"))
+    slots = written(slots_of(wrappers(named.where("host <> ''"))), "slots").withColumnRenamed("host", "of")
     joined = named.join(slots, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "host", "slots")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

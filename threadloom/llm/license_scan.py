@@ -31,7 +31,6 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.small import small
 from threadloom.session import written
 
 # Header phrases by which files state their licence.
@@ -154,7 +153,7 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     parent = F.regexp_replace("path", r"/?[^/]*$", "")
     licensed = own.where("licence_file").withColumnRenamed("of", "path")
     by_dir = licensed.select(parent.alias("dir"), F.struct("path", "own", "own_cosine").alias("l")).groupBy("dir").agg(F.min("l").alias("l"))
-    by_dir = small(written(by_dir, "dirs"))
+    by_dir = written(by_dir, "dirs")
 
     bare = files.select("path").where("path IS NOT NULL").distinct().join(own.select(F.col("of").alias("path")), "path", "left_anti")
     parts = F.split(parent, "/")

@@ -20,14 +20,14 @@ def slot(*values: Column) -> Column:
 
 
 def marks(slots: DataFrame) -> DataFrame:
-    """(bucket, marks) of ``slots`` (slot): at most 2**SLOT_BITS bits, one row for each 32,768 of them."""
-    bucket, at = F.call_function("bitmap_bucket_number", F.col("slot")), F.call_function("bitmap_bit_position", F.col("slot"))
-    return written(slots.groupBy(bucket.alias("bucket")).agg(F.call_function("bitmap_construct_agg", at).alias("marks")), "marks")
+    """(bucket, marks) of ``slots`` (_slot): at most 2**SLOT_BITS bits, one row for each 32,768 of them."""
+    bucket, at = F.call_function("bitmap_bucket_number", F.col("_slot")), F.call_function("bitmap_bit_position", F.col("_slot"))
+    return written(slots.groupBy(bucket.alias("_bucket")).agg(F.call_function("bitmap_construct_agg", at).alias("_marks")), "marks")
 
 
 def with_mark(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """``rows`` (slot, ...) with ``mark``, whether their slot is in ``marked``. Broadcasts 2**SLOT_BITS bits (8 MB) at most."""
-    bucket, at = F.call_function("bitmap_bucket_number", F.col("slot")), F.call_function("bitmap_bit_position", F.col("slot"))
-    byte = F.conv(F.hex(F.substring("marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("bucket", bucket).join(F.broadcast(marked), "bucket", "left")
-    return found.withColumn("mark", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "marks")
+    """``rows`` (_slot, ...) with ``_mark``, whether their slot is in ``marked``. Broadcasts 2**SLOT_BITS bits (8 MB) at most."""
+    bucket, at = F.call_function("bitmap_bucket_number", F.col("_slot")), F.call_function("bitmap_bit_position", F.col("_slot"))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_bucket", bucket).join(F.broadcast(marked), "_bucket", "left")
+    return found.withColumn("_mark", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_marks")

@@ -26,7 +26,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.small import small
 from threadloom.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,7 +80,7 @@ def source_cuts(slim: DataFrame, targets: DataFrame) -> DataFrame:
     for digits in DIGITS:
         at = open_.select(F.col("source").alias("s"), F.col("head").alias("h"), F.col("due").alias("d"))
         head = F.substring("key", 1, digits)
-        inside = slim.join(small(at), F.col("source").eqNullSafe(F.col("s")) & F.col("key").startswith(F.col("h")))
+        inside = slim.join(at, F.col("source").eqNullSafe(F.col("s")) & F.col("key").startswith(F.col("h")))
         sums = inside.groupBy("source", "d", head.alias("head")).agg(F.sum("size").alias("own"))
         upto = F.sum("own").over(Window.partitionBy("source").orderBy("head"))
         open_ = written(
@@ -108,7 +107,7 @@ def mix_sources(
     docs = docs.drop(*OUTPUTS)
     slim = written(docs.select("source", random_key(seed).alias("key"), n_words(F.col("text")).alias("size")), "sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cuts = small(written(source_cuts(slim, source_targets(sizes, weights, share, max_epochs)), "cuts"))
+    cuts = written(source_cuts(slim, source_targets(sizes, weights, share, max_epochs)), "cuts")
     key, size = F.col("_key"), F.col("size")
     part = F.floor(size * F.col("_part") / F.col("_own")).cast("long")
     more = F.when(key < F.col("_cut"), size).when(key == F.col("_cut"), part).otherwise(F.lit(0))
