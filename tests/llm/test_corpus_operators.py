@@ -1,7 +1,9 @@
 """Quality rules, line dedup, Jaccard join, mixing, packing and the pipeline against plain versions."""
 
 import collections
+import hashlib
 import math
+import pickle
 import random
 import zlib
 
@@ -14,7 +16,8 @@ from threadloom.llm.jaccard_join import jaccard_join
 from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mix_sources import mix_sources
 from threadloom.llm.packing import cuts, pack
-from threadloom.llm.quality_rules import _CLASSES, BITS, ORDER, kneser_ney, quality_rules
+from threadloom.llm.kneser_ney import ORDER, HashArrays, probabilities, stored
+from threadloom.llm.quality_rules import quality_rules
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -37,16 +40,16 @@ def plain_counts(text):
 
 
 def plain_perplexity(texts):
-    """Interpolated modified Kneser-Ney over character classes, by dictionaries."""
+    """Interpolated modified Kneser-Ney over the code points of one language's texts, by dictionaries."""
     def grams(text):
-        padded = (0,) * (ORDER - 1) + tuple(int(_CLASSES[ord(c) & 0xFFFF]) for c in text)
+        padded = (0,) * (ORDER - 1) + tuple(map(ord, text))
         return [padded[i : i + ORDER] for i in range(len(text))]
 
     counts = collections.Counter(g for t in texts for g in grams(t))
     levels = [counts]
     for k in range(ORDER - 1, 0, -1):
-        levels.insert(0, collections.Counter(g[-k:] for g in {c[-k - 1 :] if k < ORDER - 1 else c for c in counts} if True))
-    prob = {(): 1 / (1 << BITS)}
+        levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
+    prob = {(): 1 / (len(levels[0]) + 1)}
     for level in levels:
         of = [sum(v == i for v in level.values()) for i in (1, 2, 3, 4)]
         cut = [0.5] * 3
@@ -65,9 +68,10 @@ def test_quality_rules_counts_and_perplexity(spark):
     rng = random.Random(3)
     rows = awkward(corpus(2, 20) + [" ".join(words(200, rng, 12)) for _ in range(6)])
     got = {(r.doc_id, r.text): r for r in quality_rules(frame(spark, rows)).collect()}
-    texts = [r[1] or "" for r in rows]
-    for row, ppl in zip(rows, plain_perplexity(texts)):
-        r = got[row[0], row[1]]
+    texts = {lang: sorted({r[1] or "" for r in rows if r[2] == lang}) for lang in {r[2] for r in rows}}
+    plain = {lang: dict(zip(own, plain_perplexity(own))) for lang, own in texts.items()}
+    for row in rows:
+        r, ppl = got[row[0], row[1]], plain[row[2]][row[1] or ""]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_counts(row[1] or "")
         assert (ppl is None and r.perplexity is None) or abs(math.log(r.perplexity / ppl)) < 1e-3
         assert r.kept == (not r.base_failed and (ppl is None or r.low <= r.perplexity <= r.high))
@@ -83,11 +87,27 @@ def test_perplexity_band_rejects_only_the_odd_language_text(spark):
     assert kept == set(range(60))
 
 
-def test_kneser_ney_sums_to_at_most_one():
-    rng = np.random.default_rng(1)
-    keys, counts = np.unique(rng.integers(0, 1 << 8, 4000), return_counts=True)
-    _, logs = kneser_ney(keys.astype(np.int32), counts)
-    assert np.bincount(keys >> BITS, np.exp(logs)).max() <= 1 + 1e-6
+def test_copies_and_rare_languages_keep_their_band(spark):
+    rng = random.Random(6)
+    plain = lambda: " ".join("".join(rng.choice(("ba", "ne", "to", "ri", "lo")) for _ in range(rng.randrange(1, 4))) for _ in range(80))
+    texts = [("en", plain()) for _ in range(60)]
+    texts += [texts[0]] * 100 + [("xx", plain()), (None, plain())]
+    rows = [(i, t, lang, "a", 0, "", "", "", "") for i, (lang, t) in enumerate(texts)]
+    assert quality_rules(frame(spark, rows)).where("kept").count() == len(rows)
+
+
+def test_kneser_ney_is_a_distribution_and_is_found_in_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("threadloom.llm.kneser_ney.FILE_ENTRIES", 150)
+    rows = awkward(corpus(3, 12))
+    found = probabilities(frame(spark, rows)).selectExpr("lang", "gram", "key", "p", "cast(ln(p) as float) log_p").persist()
+    sums = found.groupBy("lang", found.gram.substr(1, ORDER - 1)).agg({"p": "sum"}).collect()
+    assert max(r[2] for r in sums) <= 1 + 1e-9
+    arrays = pickle.loads(pickle.dumps(stored(found.select("key", "log_p"), str(tmp_path))))
+    want = {r.key: r.log_p for r in found.collect()}
+    assert len(arrays.files) > 3
+    keys = np.array([*want, 5], np.int64)
+    assert np.allclose(arrays.find(keys)[:-1], np.array(list(want.values()), np.float32)) and arrays.find(keys)[-1] < -20
+    assert isinstance(arrays, HashArrays)
 
 
 # line dedup
@@ -180,7 +200,6 @@ def plain_components(rows, size=5, percent=80):
 def test_jaccard_components_match_all_pairs(spark, monkeypatch, seed, bucket):
     monkeypatch.setattr("threadloom.llm.jaccard_join.PAIR_BUCKET", bucket)
     monkeypatch.setattr("threadloom.llm.jaccard_join.ROUNDS", 2)
-    monkeypatch.setattr("threadloom.llm.jaccard_join.FIRST_MATES", 1)
     rng = random.Random(seed)
     texts = [t.replace("w1", "W1") for t in corpus(seed, 40)]
     base = words(60, rng)
@@ -188,6 +207,12 @@ def test_jaccard_components_match_all_pairs(spark, monkeypatch, seed, bucket):
         base = list(base)
         base[rng.randrange(60)] = f"c{rng.randrange(99)}"
         texts.append(" ".join(base))
+    middle = words(90, rng)
+    for k in range(40):  # copies about one middle, each with more edits of its own; many link with a few others only
+        copy, edits = list(middle), k % 8
+        for at in rng.sample(range(90), edits):
+            copy[at : at + rng.randrange(2)] = [f"e{rng.randrange(30)}"]
+        texts.append(" ".join(copy[rng.randrange(3) :]))
     rows = awkward(texts)
     got = jaccard_join(frame(spark, rows)).collect()
     want = plain_components(rows)
@@ -234,7 +259,11 @@ def test_mixing_takes_each_target_exactly(spark):
 # packing
 
 
-def check_packing(got, texts):
+def check_piece(r, ids):
+    assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
+def check_packing(got, texts, copies=None):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
@@ -246,6 +275,9 @@ def check_packing(got, texts):
     assert set(by_doc) == set(texts)
     for i, own in by_doc.items():
         ids = np.array([*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        if copies:
+            assert sum(r.length for r in own) == copies[i] * len(ids)
+            own = list({r.start: r for r in own if not check_piece(r, ids)}.values())
         at = 0
         for r in sorted(own, key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
@@ -305,6 +337,89 @@ def test_pipeline_stages_keep_columns_and_count(spark):
             docs = spark.createDataFrame(kept[name], docs.schema)
     assert {r.doc_id for r in kept["quality_rules"]} == set(range(42))
     by_id = {r.doc_id: r.text for r in kept["line_dedup"]}
-    assert by_id[40] == "" and by_id[41] == "" and all(by_id[i] == clean[i] for i in range(40))
-    assert {r.doc_id for r in kept["jaccard_join"]} == set(range(42))
+    assert set(by_id) == set(range(40)) and all(by_id[i] == clean[i] for i in range(40))
+    assert {r.doc_id for r in kept["jaccard_join"]} == set(range(40))
     assert {r.doc_id for r in kept["packing"]} == {r.doc_id for r in kept["mix_sources"]}
+
+
+def plain_bands(rows, lower=8.0, upper=3.5, floor=0.5, prior=30.0):
+    """Rows that the base rules and the bands of their language keep."""
+    logs = {}
+    for lang in {r[2] for r in rows}:
+        own = sorted({r[1] or "" for r in rows if r[2] == lang})
+        logs[lang] = {t: math.log(p) for t, p in zip(own, plain_perplexity(own)) if p and not plain_counts(t)[5]}
+    mark = lambda xs, q: sorted(xs)[math.ceil(q * len(xs)) - 1]
+    spread = lambda xs: (mark(xs, 0.75) - mark(xs, 0.25)) / 1.349
+    every = spread([x for own in logs.values() for x in own.values()])
+    kept = []
+    for r in rows:
+        own = logs[r[2]]
+        if (r[1] or "") in own:
+            xs = list(own.values())
+            s = max(spread(xs), floor * every) * (1 + prior / len(xs))
+            if -lower * s - 1e-6 <= own[r[1]] - mark(xs, 0.5) <= upper * s + 1e-6:
+                kept.append(r)
+    return kept
+
+
+def plain_copies(rows):
+    """How often the mix emits each document."""
+    sizes, by_key = collections.Counter(), collections.defaultdict(lambda: collections.defaultdict(list))
+    for i, text, source in rows:
+        n = len(WORD.findall(text or ""))
+        sizes[source] += n
+        by_key[source][hashlib.md5(f"{i}:mix".encode()).hexdigest()].append((i, n))
+    out = {}
+    for source, target in plain_targets(sizes).items():
+        whole = math.floor(target + 1e-9)
+        epochs = whole // sizes[source] if sizes[source] else 0
+        due = whole - epochs * sizes[source]
+        for key in sorted(by_key[source]):
+            own = sum(n for _, n in by_key[source][key])
+            for i, n in by_key[source][key]:
+                part = n * due // own if own and due > 0 else 0
+                out[i] = epochs + (due > 0 and (due >= own or 2 * part >= n))
+            due -= own
+    return out
+
+
+def test_pipeline_run_matches_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    syllables = ("ba", "ne", "to", "ri", "lu", "ka")
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    texts = ["\n".join(" ".join(word() for _ in range(rng.randrange(50, 80))) for _ in range(rng.randrange(2, 5))) for _ in range(60)]
+    for k in range(12):  # near copies with two words changed in every line, and exact ones
+        lines = [line.split(" ") for line in texts[k].split("\n")]
+        for line in lines if k % 3 else ():
+            line[20:22] = "new0", "new1"
+        texts.append("\n".join(" ".join(line) for line in lines))
+    texts += [" ".join(rng.choice("XQ#|9%") * 3 for _ in range(80)), " ".join(word() for _ in range(6000)), texts[5] + " more", "one two"]
+    rows = [(i, t, ("en", None)[i % 40 == 39], ("a", "b", None)[i % 3], len(t)) for i, t in enumerate(texts)]
+    n = len(rows)
+    rows += [(n, None, "en", "a", None), (n + 1, "", None, None, 0), (n + 2, " \n ", "en", "b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    kept = plain_bands(rows)
+    assert 60 < len(kept) < len(texts)
+    gone = plain_lines(kept, 8)
+    left = []
+    for r in kept:
+        text = "\n".join(x for no, x in enumerate(r[1].split("\n")) if (r[0], no) not in gone)
+        if WORD.search(text):
+            left.append((r[0], text, r[3]))
+    label = plain_components(left)
+    alone = [r for r in left if label[r[0]][1] == r[0]]
+    assert len(kept) - len(left) >= 4 and len(left) - len(alone) >= 4
+    copies = {i: n for i, n in plain_copies(alone).items() if n}
+    check_packing(got, {i: t for i, t, _ in alone if i in copies}, copies)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
