@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,19 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 
+#: what a worker process keeps between tasks of one operator, by name
+held: dict[str, object] = {}
+
+
+def only(name: str) -> None:
+    """Drops what the worker keeps for other operators; workers serve one after another."""
+    others = [k for k in held if k != name]
+    for k in others:
+        del held[k]
+    if others:
+        gc.collect()
+        give_back()
+
 
 def give_back() -> None:
     """Returns freed memory of this worker to the system; workers stay, and so would what they once held."""

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import Texts, mix, windows
-from threadloom.llm.batches import slices
+from threadloom.llm.batches import only, slices
 from threadloom.llm.components import components
 from threadloom.llm.marks import marks, slot, with_mark
 from threadloom.session import written
@@ -81,6 +81,7 @@ def slot_counts(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        only("shingles")
         total = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -126,6 +127,7 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("shingles")
         rank = held.value
         for batch in batches:
             for part in slices(batch, "text"):

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import MULTIPLIER, Texts, mix
-from threadloom.llm.batches import slices
+from threadloom.llm.batches import only, slices
 from threadloom.llm.marks import marks, slot, with_mark
 from threadloom.session import shared_dir, written
 
 ORDER = 5
-#: n-grams that a task holds before it sends them on; entries in one file
-HELD, FILE_ENTRIES = 1 << 20, 4_000_000
+#: n-grams that a task merges at once, and those that it holds before it sends them on; entries in one file
+MERGED, HELD, FILE_ENTRIES = 3 << 18, 1 << 19, 4_000_000
 #: log probability of a gram that no text had
 UNKNOWN = np.float32(np.log(1e-9))
 #: bounds on a discount for counts of 1, 2, and 3 or more, and where counts of counts don't tell one
@@ -74,14 +74,13 @@ class Counter:
         names = pa.array(grams.langs, pa.string()).take(pa.array(grams.lang_of_row[grams.rows[first]]))
         self.parts.append((keys, n, grams.of(first), names))
         self.size += len(keys)
-        if self.size > 2 * HELD:
+        if self.size > MERGED:
             self.merge()
 
     def merge(self) -> None:
         if len(self.parts) > 1:
             keys, first, same = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, same, np.concatenate([p[1] for p in self.parts]))
+            n = np.bincount(same, np.concatenate([p[1] for p in self.parts])).astype(np.int64)
             names = pa.concat_arrays([p[3] for p in self.parts]).take(pa.array(first))
             self.parts = [(keys, n, np.concatenate([p[2] for p in self.parts])[first], names)]
             self.size = len(keys)
@@ -104,10 +103,10 @@ def different_texts(docs: DataFrame) -> DataFrame:
     Texts are counted in hash slots; only those whose slot has more than one row are shuffled to
     be told apart, all others pass as they are.
     """
-    found = docs.where("text IS NOT NULL").select("lang", "text", slot(F.col("lang"), F.col("text")).alias("slot"))
-    placed = with_mark(found, marks(found.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")))
-    once = placed.where("NOT mark").select("lang", "text")
-    shared = placed.where("mark").groupBy("lang", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.first("text").alias("text"))
+    found = docs.where("text IS NOT NULL").select("lang", "text", slot(F.col("lang"), F.col("text")).alias("_slot"))
+    placed = with_mark(found, marks(found.groupBy("_slot").agg(F.count("*").alias("n")).where("n > 1")))
+    once = placed.where("NOT _mark").select("lang", "text")
+    shared = placed.where("_mark").groupBy("lang", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.first("text").alias("text"))
     return once.unionByName(shared.select("lang", "text"))
 
 
@@ -115,6 +114,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, key, n) over all code points of the different texts, summed in each task before the shuffle; a gram starts with as many NULs as it has empty places."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("grams")
         total = Counter()
         for batch in batches:
             for part in slices(batch, "text"):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import Texts
-from threadloom.llm.batches import slices
+from threadloom.llm.batches import held, only, slices
 from threadloom.session import written
 
 CAPACITY = 4096
@@ -44,7 +44,6 @@ SPAN = 8192
 #: new words encoded as one text
 JOINED = 500
 
-_caches: dict[str, tuple] = {}
 
 
 def cuts(n: int, capacity: int, slack: float) -> list[tuple[int, int]]:
@@ -160,10 +159,11 @@ _MARK[list(b".,!?;:*%$&#()[]{}=+@/\\\"~^`-_")] = True
 
 
 def word_ids(path: str) -> WordIds:
-    """One for each worker process and tokenizer file."""
-    if path not in _caches:
-        _caches[path] = WordIds(path)
-    return _caches[path]
+    """One for each worker process, of the last tokenizer file."""
+    only(f"words of {path}")
+    if not held:
+        held[f"words of {path}"] = WordIds(path)
+    return held[f"words of {path}"]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, slack: float) -> DataFrame:

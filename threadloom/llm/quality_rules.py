@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.arrays import Texts, mix, windows
-from threadloom.llm.batches import slices
+from threadloom.llm.batches import only, slices
 from threadloom.llm.kneser_ney import Grams, HashArrays, fit
 from threadloom.session import written
 
@@ -82,6 +82,7 @@ def scored(docs: DataFrame, model: HashArrays, keep: list[str]) -> DataFrame:
     inputs = list(dict.fromkeys([*keep, "lang", "text"]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("scores")
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"))
