@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import terms
@@ -17,9 +17,9 @@ def postings(docs: DataFrame) -> DataFrame:
     return held.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def uses(words: str, term: str):
-    """How often an array column holds a term."""
-    return F.size(F.filter(words, lambda t: t == term))
+def uses(lower: Column, term: str) -> Column:
+    """How often a lower-case text holds a term of letters and digits; matched in place, no array of words is made."""
+    return F.regexp_count(lower, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
 
 
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -28,10 +28,8 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) ->
     Only the query's terms are counted, inside the scan; the corpus statistics are
     one aggregate row, so ranking shuffles nothing but that row.
     """
-    words = terms(F.coalesce("text", F.lit("")))
-    held = docs.select("doc_id", words.alias("words")).select(
-        "doc_id", F.size("words").alias("dl"), *[uses("words", q).alias(f"tf{k}") for k, q in enumerate(query)]
-    )
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    held = docs.select("doc_id", F.regexp_count(lower, F.lit("[a-z0-9]+")).alias("dl"), *[uses(lower, q).alias(f"tf{k}") for k, q in enumerate(query)])
     stats = held.agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"),
         *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(query))],
@@ -57,8 +55,7 @@ def exact(docs: DataFrame, literal: str, case_sensitive: bool = False) -> DataFr
 
 def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
     """Rows that hold the words one after another."""
-    joined = F.concat(F.lit(" "), F.array_join(terms(F.coalesce("text", F.lit(""))), " "), F.lit(" "))
-    return docs.where(F.contains(joined, F.lit(f" {' '.join(words)} ")))
+    return docs.where(F.lower("text").rlike(f"(?<![a-z0-9]){'[^a-z0-9]+'.join(words)}(?![a-z0-9])"))
 
 
 def batch(docs: DataFrame, queries: DataFrame) -> DataFrame:
