@@ -8,7 +8,7 @@ the term)) + 1``, or times 1 for a few words of ordinary prose, so it is positiv
 in every corpus: what other files hold changes no file's licence. Terms outside the templates count in a candidate's length with
 the weight of a term that no template has, so that a long line that merely mentions a licence
 stays far from it. One shared word is no header ("mit" is also German). A cosine is at most the norm of the shared terms in the template's unit vector;
-hence candidates with none of the terms that are needed to reach the threshold are left out first.
+hence candidates are left out first that have none of the terms needed to reach the threshold, or no other term of its template.
 
 A file's own licence is that of its best candidate with a cosine of ``threshold`` or more. A file named like
 a licence file gives its licence to its directory. A file without one of its own inherits
@@ -93,10 +93,35 @@ def needed(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(out)
 
 
-def candidates(files: DataFrame, anchors: str) -> DataFrame:
-    """(key, line_no, phrase), once each: the lines, windows and whole licence files that may match."""
-    has = lambda c: F.lower(c).rlike(anchors)
-    named = files.where(F.col("text").isNotNull() & has(F.col("text")))
+def any_term(terms: list[str]) -> str:
+    """A pattern for any of the terms that branches by letter, so that few are tried at each place."""
+    heads = sorted({t[:1] for t in terms})
+    if heads in ([], [""]):
+        return ""
+    parts = [re.escape(h) + any_term([t[1:] for t in terms if t[:1] == h]) for h in heads if h]
+    return parts[0] if len(parts) == 1 and heads[0] else f"(?:{'|'.join(parts)}){'?' if heads[0] == '' else ''}"
+
+
+def may_match(vectors: list[dict[str, float]], threshold: float):
+    """A test of text columns that holds wherever two terms of one template, one of them needed, stand."""
+    wanted = needed(vectors, threshold)
+    whole = lambda terms: rf"(?<![a-z0-9])({any_term(sorted(terms))})(?![a-z0-9])"
+    others = {t: whole({o for v in vectors if t in v for o in v if o != t} or {t}) for t in wanted}
+    pairs = F.create_map(*[F.lit(x) for kv in others.items() for x in kv])
+    anchors = whole(wanted)
+
+    def test(text: Column) -> Column:
+        lower = F.lower(text)
+        found = F.array_distinct(F.regexp_extract_all(lower, F.lit(anchors), 1))
+        return lower.rlike(anchors) & F.exists(found, lambda t: F.rlike(lower, F.element_at(pairs, t)))
+
+    return test
+
+
+def candidates(files: DataFrame, has) -> DataFrame:
+    """(key, line_no, phrase), once each: the lines, windows and whole licence files that pass ``has``."""
+    named = files.select("key", "text", "licence_file").where(F.col("text").isNotNull() & has(F.col("text")))
+    named = written(named, "named")
     filled = F.filter(F.split("text", "\n"), lambda line: line.rlike("[A-Za-z0-9]"))
     lines = named.select("key", filled.alias("lines"))
     alone = lines.select("key", F.posexplode("lines").alias("line_no", "phrase")).where(has(F.col("phrase"))).distinct()
@@ -126,8 +151,7 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     licence_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     keyed = files.select("path", "text", licence_file.alias("licence_file"))
     keyed = keyed.withColumn("key", F.concat(F.sha2("text", 256), F.col("licence_file").cast("string")))
-    anchors = f"(?<![a-z0-9])(?:{'|'.join(re.escape(t) for t in needed(vectors, threshold))})(?![a-z0-9])"
-    parts = candidates(keyed, anchors).withColumn("terms", F.transform(terms_of(F.col("phrase")), clean))
+    parts = candidates(keyed, may_match(vectors, threshold)).withColumn("terms", F.transform(terms_of(F.col("phrase")), clean))
     parts = parts.select("key", "line_no", "n", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     found = parts.join(known, "term").groupBy("key", "line_no", "n", "n_terms", "term").agg(F.count("*").alias("uses"), F.first("idf").alias("idf"))
     per_part = found.withColumn("w", F.col("uses") * F.col("idf")).groupBy("key", "line_no", "n").agg(
