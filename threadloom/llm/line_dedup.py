@@ -26,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.marks import marks, slot, with_mark
 from threadloom.session import written
 
 SPACES = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 #: hashes that are summed over a line stay below this, so that 2**27 words fit a long
 MODULUS = 1 << 36
 
@@ -40,7 +42,7 @@ def words_of(line: Column) -> Column:
 def each_line(docs: DataFrame) -> DataFrame:
     """(doc_id, no, line) of the lines that hold a word."""
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.where(F.col("line").rlike(WORD))
 
 
 def half_keys(n: Column, hashes: Column) -> Column:
@@ -56,7 +58,8 @@ def half_keys(n: Column, hashes: Column) -> Column:
 def first_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """Earliest (doc_id, no) of each distinct line, with its half keys (null under ``min_words`` words)."""
     n = F.size("hashes")
-    keyed = each_line(docs).withColumn("hashes", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)))
+    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    keyed = lines.withColumn("hashes", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).where(F.size("hashes") > 0)
     keyed = keyed.select(
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
         F.struct("doc_id", "no", F.when(n >= min_words, half_keys(n, F.col("hashes"))).alias("halves")).alias("at"),
@@ -113,7 +116,7 @@ def variants(lines: DataFrame) -> DataFrame:
 
 def near_pairs(lines: DataFrame) -> DataFrame:
     """(doc_id, no, other_doc, other_no): lines under an S key with that key's earliest, D lines with the whole lines of their key."""
-    keyed = variants(lines)
+    keyed = written(variants(lines), "variants")
     at = F.struct("doc_id", "no")
     groups = keyed.groupBy("key", "kind").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     first = groups.where("kind = 'S' AND n > 1").select("key", F.col("first").alias("mate"))
@@ -153,8 +156,10 @@ def dropped_lines(docs: DataFrame, min_words: int = 8, max_edits: int = 1) -> Da
     if not max_edits:
         return repeated
     found = candidates(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("no", "in_tail", "in_head")).alias("found"))
-    # one plan at every size: the candidates grow with the texts
-    held = docs.where("doc_id IS NOT NULL").join(written(found, "candidates").hint("merge"), "doc_id")
+    found = written(found, "candidates")
+    # one plan at every size: the candidates grow with the texts; only texts in a slot of one are shuffled
+    near = with_mark(docs.where("doc_id IS NOT NULL").withColumn("_slot", slot(F.col("doc_id"))), marks(found.select(slot(F.col("doc_id")).alias("_slot"))))
+    held = near.where("_mark").select("doc_id", "text").join(found.hint("merge"), "doc_id")
     held = held.select("doc_id", F.split("text", "\n").alias("lines"), "found")
     words = lambda f: words_of(F.get("lines", f["no"])).alias("words")
     texts = held.select("doc_id", F.inline(F.transform("found", lambda f: F.struct(f["no"].alias("no"), f["in_tail"].alias("in_tail"), f["in_head"].alias("in_head"), words(f)))))
@@ -184,8 +189,9 @@ def line_dedup(docs: DataFrame, min_words: int = 8, max_edits: int = 1) -> DataF
     out = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc["_of"], "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
     columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     zero = F.lit(0).cast("long")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     return out.select(
-        *columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        *columns, F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("_exact", zero).alias("n_exact"), F.coalesce("_near", zero).alias("n_near"),
     )
 
