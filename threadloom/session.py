@@ -24,9 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; ``clear`` removes it."""
+    return f"{shared_dir(spark).rstrip('/')}/threadloom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what ``written`` has kept for this application. Frames that read from it end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/threadloom-{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
