@@ -62,15 +62,22 @@ def attribute(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str
     if rule == "start":
         np.add.at(out, slot(first[crossing]), 1)
         return out
-    for t in crossing:
-        cells = np.arange(first[t], last[t] + 1)
-        low = np.maximum(begins[t], np.concatenate([[0], edges])[cells])
-        high = np.minimum(ends[t], np.concatenate([edges, [ends[t]]])[cells])
-        share = np.maximum(high - low, 0)
-        if rule == "majority":
-            out[slot(cells[[int(np.argmax(share))]])] += 1
-        else:
-            np.add.at(out, slot(cells), share / share.sum())
+    if not len(crossing):
+        return out
+    # one row for each crossing token and cell that it touches
+    n = last[crossing] - first[crossing] + 1
+    heads = np.cumsum(n) - n
+    of = np.repeat(np.arange(len(crossing)), n)
+    cells = first[crossing][of] + np.arange(len(of)) - heads[of]
+    low = np.maximum(begins[crossing][of], np.concatenate([[0], edges])[cells])
+    high = np.minimum(ends[crossing][of], np.concatenate([edges, ends[-1:]])[cells])
+    share = np.maximum(high - low, 0)
+    if rule == "majority":
+        largest = np.flatnonzero(share == np.maximum.reduceat(share, heads)[of])
+        _, earliest = np.unique(of[largest], return_index=True)
+        np.add.at(out, slot(cells[largest[earliest]]), 1)
+    else:
+        np.add.at(out, slot(cells), share / np.add.reduceat(share, heads)[of])
     return out
 
 
