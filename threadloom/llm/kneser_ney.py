@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.arrays import MULTIPLIER, Texts, mix
 from threadloom.llm.batches import only, slices
 from threadloom.llm.marks import marks, slot, with_mark
-from threadloom.session import shared_dir, written
+from threadloom.session import run_dir, written
 
 ORDER = 5
 #: n-grams that a task merges at once, and those that it holds before it sends them on; entries in one file
@@ -240,4 +240,4 @@ def stored(table: DataFrame, folder: str) -> HashArrays:
 def fit(docs: DataFrame) -> HashArrays:
     """The models of all languages of ``docs`` (lang, text)."""
     found = written(probabilities(docs).select("key", F.log("p").cast("float").alias("log_p")), "model")
-    return stored(found, f"{shared_dir(docs.sparkSession).rstrip('/')}/threadloom-arrays-{uuid.uuid4().hex}")
+    return stored(found, f"{run_dir(docs.sparkSession)}/arrays-{uuid.uuid4().hex}")
