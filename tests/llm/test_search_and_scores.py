@@ -1,5 +1,6 @@
 """Nearest neighbours, token counts, licences, quality ranking and HTML extraction against plain versions."""
 
+import collections
 import random
 
 import numpy as np
@@ -92,29 +93,30 @@ def test_token_counts_match_single_tokens(spark, rule):
     got = {(r.doc_id, r.section): r.n_tokens for r in token_counts(docs, RANKS, PATTERN, rule).collect()}
     for i, text, sections in rows:
         text = text or ""
-        of_byte = []
+        of_byte, of_cell, names, before = [], [], [], ()
         for k, c in enumerate(text):
-            name = next((s[0] for s in sections or [] if s[1] is not None and s[1] <= k < s[2]), None)
-            of_byte += [name] * len(c.encode())
+            at = next((j for j, s in enumerate(sections or []) if s[1] is not None and s[1] <= k < s[2]), None)
+            names += [sections[at][0] if at is not None else None] if at != before else []
+            before = at
+            of_byte += [names[-1]] * len(c.encode())
+            of_cell += [len(names) - 1] * len(c.encode())
         want, at = {}, 0
         for t in enc.encode_ordinary(text):
             size = len(enc.decode_single_token_bytes(t))
-            held = of_byte[at : at + size]
+            held, cells = of_byte[at : at + size], of_cell[at : at + size]
             at += size
             if rule == "start":
                 want[held[0]] = want.get(held[0], 0) + 1
             elif rule == "split":
                 for h in held:
                     want[h] = want.get(h, 0) + 1 / size
-            else:  # by interval, so two intervals of one name count apart
-                want.setdefault("all", 0)
-                want["all"] += 1
+            else:  # by interval, so two intervals of one name count apart; ties to the earlier
+                most = max(sorted(set(cells)), key=cells.count)
+                want[names[most]] = want.get(names[most], 0) + 1
         assert {s for d, s in got if d == i} >= {s[0] for s in sections or []}
         mine = {s: v for (d, s), v in got.items() if d == i and v}
-        if rule == "majority":
-            assert sum(mine.values()) == want.get("all", 0)
-        else:
-            assert mine.keys() == want.keys() and all(abs(mine[s] - want[s]) < 1e-6 for s in want)
+        assert mine.keys() == want.keys() and all(abs(mine[s] - want[s]) < 1e-6 for s in want)
+    assert token_counts(docs.limit(0), RANKS, PATTERN, rule).count() == 0
 
 
 def test_head_body_tail_cover_text(spark):
@@ -263,3 +265,44 @@ def test_extract_mixed_layouts(spark):
 def test_extract_repeated_pages(spark, copies):
     page = "<body><div class=c><h1>Title</h1><p>the one paragraph</p></div></body>"
     assert extracted(spark, [(f"http://r.example/{i}", page) for i in range(copies)]) == ["Title\nthe one paragraph"] * copies
+
+
+def drawn_site(rng, host, layout, n):
+    """(url, html, text) of pages of one layout: menus, notices, adverts, related links, readers' comments and a footer about an article."""
+    words = lambda k: " ".join(f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.randrange(500)}" for _ in range(k))
+    out = []
+    for i in range(n):
+        title, paragraphs = words(6), [words(rng.randrange(8, 60)) for _ in range(rng.randrange(2, 9))]
+        links = "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(8))
+        said = "".join(f"<div class={layout['said']}><b>{words(1)}</b><p>{words(rng.randrange(5, 30))}</p></div>" for _ in range(rng.randrange(4)))
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+        tag = layout["tag"]
+        html = (
+            f"<html><head><title>{title} | {host}</title></head><body><div class={layout['top']}><ul>{links}</ul></div><div class={layout['ad']}>buy {words(3)} now</div>"
+            f"<{tag}>{body}</{tag.split(' ')[0]}>" + (f"<div class={layout['more']}>{said}</div>" if said else "") + f"<div class={layout['end']}>about us, terms, {host} since 1999</div></body></html>"
+        )
+        out.append((f"http://{host}/{i}", html, "\n".join([title, *paragraphs])))
+    return out
+
+
+def test_extract_precision_and_recall(spark):
+    """By words over five layouts, two of which name nothing; the README states these figures."""
+    rng = random.Random(7)
+    named = {"top": "nav", "ad": "advert", "more": "comments", "said": "comment", "end": "footer"}
+    blank = {"top": "a1x", "ad": "qqb", "more": "zzv", "said": "kkw", "end": "ttu"}
+    layouts = [{"tag": "article", **named}, {"tag": "main", **blank}, {"tag": "div class=post", **named}, {"tag": "div class=xyzzy", **blank}, {"tag": "div id=content", **blank}]
+    pages = [p for k, layout in enumerate(layouts) for p in drawn_site(rng, f"site{k}.example", layout, 30)]
+    got = extracted(spark, [p[:2] for p in pages])
+    right = sum((collections.Counter(g.split()) & collections.Counter(w.split())).total() for g, (_, _, w) in zip(got, pages))
+    precision, recall = right / sum(len(g.split()) for g in got), right / sum(len(w.split()) for _, _, w in pages)
+    print("precision", round(precision, 4), "recall", round(recall, 4))
+    assert precision > 0.95 and recall > 0.99
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 30_000, '<a href="x ' * 30_000 + "<p>end", '<p title=">' * 30_001 + "end", "<section><div>" * 20_000 + "<p>end" + "</b></p>" * 20_000])
+def test_blocks_of_odd_markup_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    list(blocks(page))
+    assert time.process_time() - began < 5
