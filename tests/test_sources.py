@@ -3,6 +3,8 @@
 import json
 import sqlite3
 
+from threadloom.sources import discover as S
+from threadloom.sources import documents as D
 from threadloom.sources import jsonl as J
 from threadloom.sources.sqlite import SqliteSource
 
@@ -107,3 +109,71 @@ def test_event_rows_and_affordances(spark, tmp_path):
     tree = [("s", 0, "a", None), ("s", 1, "b", "a"), ("s", 2, "c", "a"), ("s", 3, "d", "c")]
     branch = O.active_branch(spark.createDataFrame(tree, "session_id string, msg_idx int, id string, parent_id string")).collect()
     assert {r.id for r in branch} == {"a", "c", "d"}
+
+
+def said(messages):
+    return [(r.session_id, r.role, r.kind, [(b.type, b.text, b.name, b.tool_use_id or b.id) for b in r.content]) for r in messages.orderBy("session_id", "msg_idx").collect()]
+
+
+def test_gemini_and_qwen(spark, tmp_path):
+    doc = {"sessionId": "g", "messages": [
+        {"id": "1", "type": "user", "content": "hi", "timestamp": "2025-01-01T00:00:00Z"},
+        {"id": "2", "type": "gemini", "content": [{"text": "ok"}], "model": "m", "thoughts": [{"subject": "s", "description": "d"}],
+         "toolCalls": [{"id": "c", "name": "run", "args": {"a": 1}, "result": [{"x": 1}], "status": "error"}], "tokens": {"input": 10, "output": 2, "cached": 4}},
+    ]}
+    (tmp_path / "g.json").write_text(json.dumps(doc))
+    (tmp_path / "bad.json").write_text("{")
+    got = D.read_gemini(spark, str(tmp_path))
+    assert said(got) == [("g", "user", "prompt", [("text", "hi", None, None)]), ("g", "assistant", "reply", [("thinking", "s: d", None, None), ("text", "ok", None, None), ("tool_use", None, "run", "c"), ("tool_result", '[{"x":1}]', None, "c")])]
+    assert [r.usage.input for r in got.where("usage IS NOT NULL").collect()] == [6]
+    assert [r.failed for r in J.tool_events(got).collect()] == [True]
+    lines = [{"uuid": "1", "sessionId": "q", "type": "user", "message": {"parts": [{"text": "do"}]}}, {"uuid": "2", "parentUuid": "1", "sessionId": "q", "type": "assistant", "message": {"parts": [{"text": "hm", "thought": True}, {"functionCall": {"id": "f", "name": "ls", "args": {}}}]}},
+             {"uuid": "3", "parentUuid": "2", "sessionId": "q", "type": "tool_result", "message": {"parts": [{"functionResponse": {"id": "f", "name": "ls", "response": {"o": "x"}}}]}}]
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n[1]\nnone")
+    got = D.read_qwen(spark, str(tmp_path / "q.jsonl"))
+    assert [(r[1], r[3]) for r in said(got)] == [("user", [("text", "do", None, None)]), ("assistant", [("thinking", "hm", None, None), ("tool_use", None, "ls", "f")]), ("tool", [("tool_result", '{"o":"x"}', None, "f")])]
+    assert [r.parent_id for r in got.orderBy("msg_idx").collect()] == [None, "1", "2"]
+
+
+def test_pi_kimi_cline(spark, tmp_path):
+    lines = [{"type": "session", "id": "p"}, {"type": "message", "id": "1", "message": {"role": "user", "content": [{"type": "text", "text": "go"}]}},
+             {"type": "message", "id": "2", "parentId": "1", "message": {"role": "assistant", "content": [{"type": "toolCall", "id": "t", "name": "sh", "arguments": {}}], "usage": {"input": 3, "output": 1}}},
+             {"type": "message", "id": "3", "parentId": "2", "message": {"role": "toolResult", "toolCallId": "t", "content": "out", "isError": False}}, {"type": "compaction", "id": "4", "parentId": "3", "summary": "so far"}, {"type": "model_change", "id": "5"}]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = said(D.read_pi(spark, str(tmp_path / "p.jsonl")))
+    assert [(r[1], r[2]) for r in got] == [("user", "prompt"), ("assistant", "reply"), ("tool", "tool_result"), ("system", "compaction_summary")] and {r[0] for r in got} == {"p"}
+    assert got[2][3] == [("tool_result", "out", None, "t")] and got[3][3] == [("text", "so far", None, None)]
+    (tmp_path / "k").mkdir()
+    lines = [{"role": "_system_prompt", "content": "be"}, {"role": "user", "content": "x"}, {"role": "assistant", "content": [{"type": "text", "text": "y"}], "tool_calls": [{"id": "a", "function": {"name": "f", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "a", "content": "z"}, {"role": "_checkpoint", "id": 1}]
+    (tmp_path / "k" / "context.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = said(D.read_kimi(spark, str(tmp_path / "k" / "context.jsonl")))
+    assert {r[0] for r in got} == {"k"} and [r[2] for r in got] == ["system_prompt", "prompt", "reply", "tool_result", "notice"]
+    assert got[2][3] == [("text", "y", None, None), ("tool_use", None, "f", "a")] and got[4][3] == []
+    (tmp_path / "17").mkdir()
+    (tmp_path / "17" / "api_conversation_history.json").write_text(json.dumps([{"role": "user", "content": "a"}, {"role": "assistant", "content": [{"type": "tool_use", "id": "u", "name": "n", "input": {}}]}, {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "u", "content": [{"type": "text", "text": "r"}], "is_error": True}]}]))
+    got = said(D.read_cline(spark, str(tmp_path / "17")))
+    assert [r[1] for r in got] == ["user", "assistant", "tool"] and got[2][3] == [("tool_result", "r", None, "u")] and got[0][0] == "17"
+
+
+def test_exports_continue_lmstudio_and_discovery(spark, tmp_path):
+    node = lambda parent, role, text, to="all": {"parent": parent, "message": {"id": "m", "author": {"role": role}, "content": {"parts": [text]}, "recipient": to, "create_time": 1.5}}
+    talk = {"conversation_id": "c", "current_node": "d", "default_model_slug": "s", "mapping": {"a": {"parent": None}, "b": node("a", "user", "q"), "x": node("b", "assistant", "dropped branch"), "c": node("b", "assistant", "ls", "python"), "d": node("c", "assistant", "done")}}
+    (tmp_path / "gpt.json").write_text(json.dumps([talk]))
+    got = said(D.read_chatgpt_export(spark, str(tmp_path / "gpt.json")))
+    assert [(r[1], r[3][0][:3]) for r in got] == [("user", ("text", "q", None)), ("assistant", ("tool_use", None, "python")), ("assistant", ("text", "done", None))]
+    (tmp_path / "cl.json").write_text(json.dumps([{"uuid": "e", "chat_messages": [{"uuid": "1", "sender": "human", "text": "t", "content": []}, {"uuid": "2", "sender": "assistant", "content": [{"type": "text", "text": "u"}], "created_at": "2025-01-02T00:00:00Z"}]}]))
+    assert [(r[1], r[3][0][1]) for r in said(D.read_claude_export(spark, str(tmp_path / "cl.json")))] == [("user", "t"), ("assistant", "u")]
+    item = {"message": {"role": "assistant", "content": "w", "toolCalls": [{"id": "1", "function": {"name": "f", "arguments": "{}"}}]}, "toolCallStates": [{"toolCallId": "1", "status": "errored", "output": []}]}
+    (tmp_path / "co.json").write_text(json.dumps({"sessionId": "h", "history": [{"message": {"role": "user", "content": [{"type": "text", "text": "v"}]}}, item]}))
+    got = said(D.read_continue(spark, str(tmp_path / "co.json")))
+    assert [b[0] for b in got[1][3]] == ["text", "tool_use", "tool_result"] and got[0][3][0][1] == "v"
+    steps = [{"type": "contentBlock", "style": {"type": "thinking"}, "content": [{"type": "text", "text": "hm"}]}, {"type": "status"}, {"type": "contentBlock", "content": [{"type": "text", "text": "yes"}], "genInfo": {"identifier": "m", "stats": {"promptTokensCount": 5, "predictedTokensCount": 2}}}]
+    turns = [{"versions": [{"type": "singleStep", "role": "user", "content": [{"type": "text", "text": "old"}]}, {"type": "singleStep", "role": "user", "content": [{"type": "text", "text": "new"}]}], "currentlySelected": 1}, {"versions": [{"type": "multiStep", "role": "assistant", "steps": steps}]}]
+    (tmp_path / "9.conversation.json").write_text(json.dumps({"messages": turns}))
+    got = D.read_lmstudio(spark, str(tmp_path / "9.conversation.json"))
+    assert [[b[1] for b in r[3]] for r in said(got)] == [["new"], ["hm", "yes"]] and got.where("model = 'm'").count() == 1
+    stores = [("lmstudio", str(tmp_path / "9.conversation.json")), ("continue", str(tmp_path / "co.json")), ("nope", "x"), ("qwen", str(tmp_path / "absent"))]
+    found, failed = S.discover_all(spark, stores)
+    assert set(failed) == {"x", str(tmp_path / "absent")}
+    got = {r.session_id: (r.harness, r.title, r.models, r.n_messages, r.input) for r in S.session_rows(found).collect()}
+    assert got == {"9": ("lmstudio", "new", ["m"], 2, 5), "h": ("continue", "v", [], 2, None)}
