@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import aggregates as A
 from threadloom.operators import sessions as S
+from threadloom.operators import sets as Z
+from threadloom.operators import windows as O
 from threadloom.plans.catalog import MESSAGES, SESSIONS, catalog
 from threadloom.plans.registry import query
 from threadloom.sources.conversations import messages_from_conversations
@@ -170,16 +172,12 @@ def w01_message_index(t):
 @query(f"""WITH {EVENTS}, s AS (SELECT *, sum(CASE WHEN tool = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY msg_idx) AS span FROM ev)
 SELECT session_id, CAST(span AS BIGINT) AS span, min(msg_idx) AS first, max(msg_idx) AS last, arg_min(tool, msg_idx) AS opened_by, arg_max(tool, msg_idx) AS closed_by FROM s GROUP BY session_id, span""")
 def w02_cycles(t):
-    span = F.sum(F.when(F.col("tool") == "signup", 1).otherwise(0)).over(Window.partitionBy("session_id").orderBy("msg_idx"))
-    return events(t).withColumn("span", span).groupBy("session_id", "span").agg(
-        F.min("msg_idx").alias("first"), F.max("msg_idx").alias("last"), F.min_by("tool", "msg_idx").alias("opened_by"), F.max_by("tool", "msg_idx").alias("closed_by")
-    )
+    return O.cycles(events(t), "session_id", "msg_idx", F.col("tool") == "signup", "tool")
 
 
 @query(f"""WITH {EVENTS} SELECT event_id FROM (SELECT event_id, tool, lag(tool) OVER (PARTITION BY session_id ORDER BY msg_idx) AS before FROM ev) WHERE before IS NULL OR before <> tool""")
 def w03_w12_skip_repeats(t):
-    before = F.lag("tool").over(Window.partitionBy("session_id").orderBy("msg_idx"))
-    return events(t).withColumn("before", before).where("before IS NULL OR before <> tool").select("event_id")
+    return O.changes(events(t), "session_id", "msg_idx", "tool").select("event_id")
 
 
 @query(f"""WITH {EVENTS}, l AS (SELECT event_id, session_id, msg_idx, CASE WHEN event_id % 3 = 0 THEN floor(value / 20) END AS lim FROM ev),
@@ -187,14 +185,12 @@ p AS (SELECT *, last_value(lim IGNORE NULLS) OVER (PARTITION BY session_id ORDER
 SELECT event_id, CAST(lim AS BIGINT) AS lim FROM p WHERE lim IS NOT NULL AND before IS DISTINCT FROM lim""")
 def w04_limit_changes(t):
     lim = F.when(F.col("event_id") % 3 == 0, F.floor(F.col("value") / 20))
-    w = Window.partitionBy("session_id").orderBy("msg_idx").rowsBetween(Window.unboundedPreceding, -1)
-    p = events(t).select("event_id", "session_id", "msg_idx", lim.alias("lim")).withColumn("before", F.last("lim", ignorenulls=True).over(w))
-    return p.where(F.col("lim").isNotNull() & ~F.col("before").eqNullSafe(F.col("lim"))).select("event_id", "lim")
+    return O.changes(events(t).withColumn("lim", lim), "session_id", "msg_idx", "lim").select("event_id", "lim")
 
 
 @query(f"""WITH {EVENTS} SELECT event_id, round(value - lag(value) OVER (PARTITION BY session_id ORDER BY msg_idx), 4) AS burn FROM ev""")
 def w05_deltas(t):
-    return events(t).select("event_id", F.round(F.col("value") - F.lag("value").over(Window.partitionBy("session_id").orderBy("msg_idx")), 4).alias("burn"))
+    return O.deltas(events(t), "session_id", ["msg_idx"], "value", "burn").select("event_id", F.round("burn", 4).alias("burn"))
 
 
 @query(f"""WITH {MESSAGES}, h AS (SELECT session_id, msg_idx, sum(length(text)) OVER (PARTITION BY session_id ORDER BY msg_idx DESC) AS total, row_number() OVER (PARTITION BY session_id ORDER BY msg_idx DESC) AS rn FROM messages)
@@ -206,18 +202,17 @@ def w08_newest_within_budget(t):
 
 @query(f"""WITH {EVENTS} SELECT event_id, CAST(count(*) FILTER (kind = 'error') OVER (PARTITION BY session_id ORDER BY msg_idx) AS BIGINT) AS window_id FROM ev""")
 def w09_window_ids(t):
-    return events(t).select("event_id", F.count_if(F.col("kind") == "error").over(Window.partitionBy("session_id").orderBy("msg_idx")).alias("window_id"))
+    return O.spans(events(t), "session_id", "msg_idx", F.col("kind") == "error").select("event_id", F.col("span").alias("window_id"))
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rn FROM lineitem) WHERE rn <= 3""")
 def w10_top_per_group(t):
-    rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), "l_linenumber"))
-    return t.lineitem.withColumn("rn", rn).where("rn <= 3").select("l_orderkey", "l_linenumber")
+    return O.top_per_group(t.lineitem, "l_orderkey", [F.col("l_extendedprice").desc(), F.col("l_linenumber")], 3).select("l_orderkey", "l_linenumber")
 
 
 @query("""SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, count(*) AS revisions FROM orders GROUP BY o_custkey""")
 def w11_latest_status(t):
-    return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"), F.count("*").alias("revisions"))
+    return O.latest(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderstatus", "status")
 
 
 @query(f"""WITH {MESSAGES}, h AS (SELECT session_id, msg_idx, sum(length(text)) OVER (PARTITION BY session_id ORDER BY msg_idx) AS total FROM messages) SELECT session_id, msg_idx FROM h WHERE total <= 1000 OR msg_idx = 0""")
@@ -230,7 +225,7 @@ def u01_live_over_index(t):
     """Rows re-read live shadow their indexed revision."""
     live = t.events.where("event_id % 10 = 0").select("event_id", F.lit("live").alias("via"))
     index = t.events.where("user_id % 2 = 0").select("event_id", F.lit("index").alias("via"))
-    return index.join(live.select("event_id"), "event_id", "left_anti").unionByName(live)
+    return Z.shadowed(index, live, "event_id")
 
 
 @query("""(SELECT doc_id FROM documents WHERE contains(text, 'the') INTERSECT SELECT doc_id FROM documents WHERE contains(text, 'and')) EXCEPT SELECT doc_id FROM documents WHERE contains(text, 'idiot')""")
@@ -238,20 +233,17 @@ def u02_postings(t):
     def having(w):
         return t.documents.where(F.contains("text", F.lit(w))).select("doc_id")
 
-    return having("the").join(having("and"), "doc_id", "left_semi").join(having("idiot"), "doc_id", "left_anti")
+    return Z.matching([having("the"), having("and")], [having("idiot")], "doc_id")
 
 
 @query("""WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS rn FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY rn) AS seen FROM f GROUP BY user_id""")
 def u03_first_seen(t):
-    once = t.events.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("rn"))
-    ordered = F.sort_array(F.collect_list(F.struct("rn", "event_type")))
-    return once.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("seen"))
+    return Z.first_seen(t.events, "user_id", "event_type", ["ts", "event_id"]).select("user_id", F.array_join("seen", ",").alias("seen"))
 
 
 @query(f"""WITH {SESSIONS} SELECT session_id FROM (SELECT session_id, title, row_number() OVER (PARTITION BY lower(title) ORDER BY n_chars DESC, session_id) AS rn FROM titled) WHERE rn = 1 OR title IS NULL""")
 def u04_title_duplicates(t):
-    rn = F.row_number().over(Window.partitionBy(F.lower("title")).orderBy(F.col("n_chars").desc(), "session_id"))
-    return catalog(t).withColumn("rn", rn).where("rn = 1 OR title IS NULL").select("session_id")
+    return Z.best_of_duplicates(catalog(t), F.lower("title"), [F.col("n_chars").desc(), F.col("session_id")]).select("session_id")
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
@@ -259,6 +251,8 @@ def u05_union(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0) AND c_nationkey <> 3")
 def u06_vanished(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Known customers that a thin inventory misses; nation 3's part of it failed, so none of its customers goes."""
+    found = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return Z.vanished(t.customer, found, "c_custkey", F.col("c_nationkey") != 3).select("c_custkey")

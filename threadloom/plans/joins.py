@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import graphs as G
 from threadloom.operators import provenance as V
+from threadloom.operators import sets as Z
+from threadloom.operators import windows as O
 from threadloom.plans.aggregates import EVENTS, events
 from threadloom.plans.registry import query
 
@@ -27,13 +28,13 @@ def j02_calls_results(t):
     k = F.get_json_object("props", "$.k")
     calls = t.events.where("event_type = 'click'").select("user_id", k.alias("k"), F.col("event_id").alias("call_id"))
     results = t.events.where("event_type = 'view'").select("user_id", k.alias("k"), F.col("event_id").alias("result_id"))
-    return calls.join(results, ["user_id", "k"]).select("call_id", "result_id")
+    return Z.answered(calls, results, ["user_id", "k"]).select("call_id", "result_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def j03_unanswered(t):
-    returned = t.lineitem.where("l_returnflag = 'R'")
-    return t.orders.join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    returned = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return Z.unanswered(t.orders, returned, ["o_orderkey"]).select("o_orderkey")
 
 
 @query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
@@ -132,24 +133,20 @@ def j17_w13_alignment(t):
     """Two conversations side by side, and how far they agree from the start."""
     a = t.conversations.where("conv_id = 1").select("turn", F.col("role").alias("left_role"))
     b = t.conversations.where("conv_id = 2").select("turn", F.col("role").alias("right_role"))
-    both = a.join(b, "turn", "full").withColumnRenamed("turn", "idx")
-    same = F.coalesce(F.col("left_role") == F.col("right_role"), F.lit(False))
-    # two conversations, so one window
-    return both.withColumn("common", F.bool_and(same).over(Window.orderBy("idx")))
+    return O.alignment(a, b, "turn").withColumnRenamed("turn", "idx")
 
 
 @query("""SELECT event_id, value FROM events WHERE event_id % 10 <> 3 UNION ALL SELECT event_id, value + 1 FROM events WHERE event_id % 10 = 3""")
 def r04_upsert(t):
     """A batch of revised rows replaces their old revisions."""
     batch = t.events.where("event_id % 10 = 3").select("event_id", (F.col("value") + 1).alias("value"))
-    return t.events.select("event_id", "value").join(batch.select("event_id"), "event_id", "left_anti").unionByName(batch)
+    return Z.shadowed(t.events.select("event_id", "value"), batch, "event_id")
 
 
 @query("""SELECT user_id, count(*) AS n, count(DISTINCT props) > 1 AS conflict FROM events WHERE event_type = 'signup' GROUP BY user_id""")
 def r06_redelivered(t):
     """Deliveries of one id: equal ones are one, different ones a conflict."""
-    signups = t.events.where("event_type = 'signup'")
-    return signups.groupBy("user_id").agg(F.count("*").alias("n"), (F.countDistinct("props") > 1).alias("conflict"))
+    return Z.redelivered(t.events.where("event_type = 'signup'"), "user_id", "props")
 
 
 @query("""WITH v AS (SELECT l_partkey AS p, l_suppkey AS epoch, l_linenumber AS seq, CASE WHEN l_orderkey % 3 > 0 THEN l_orderkey END AS ts, l_returnflag = 'R' AS gone, l_orderkey FROM lineitem),
@@ -159,11 +156,8 @@ SELECT p AS l_partkey, l_orderkey FROM w WHERE NOT gone""")
 def r09_winning_revision(t):
     """Per key the greatest (effective time, epoch, sequence); a row without time inherits the greatest so far; a winning delete removes it."""
     ts = F.when(F.col("l_orderkey") % 3 > 0, F.col("l_orderkey"))
-    order = ["l_suppkey", "l_linenumber", "l_orderkey"]
-    so_far = F.max("ts").over(Window.partitionBy("l_partkey").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = t.lineitem.withColumn("ts", ts).withColumn("eff", F.coalesce("ts", so_far, F.lit(-1)))
-    rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy(*[F.col(c).desc() for c in ("eff", *order)]))
-    return rows.withColumn("rn", rn).where("rn = 1 AND l_returnflag <> 'R'").select("l_partkey", "l_orderkey")
+    found = Z.winning_revisions(t.lineitem, "l_partkey", ["l_suppkey", "l_linenumber", "l_orderkey"], ts, F.col("l_returnflag") == "R")
+    return found.select("l_partkey", "l_orderkey")
 
 
 @query("SELECT event_id FROM events WHERE event_id > 700 AND event_type IN ('click', 'error') AND user_id % 5 <> 0")
@@ -173,9 +167,7 @@ def r10_e11_cursor(t):
 
 @query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id FROM l WHERE last <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND""")
 def r13_quiet(t):
-    last = t.events.groupBy("user_id").agg(F.max("ts").alias("last"))
-    now = last.agg(F.max("last").alias("now"))
-    return last.join(F.broadcast(now)).where(F.col("last") <= F.col("now") - F.expr("INTERVAL 600 SECOND")).select("user_id")
+    return Z.quiet(t.events, "user_id", "ts", 600).select("user_id")
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
@@ -188,9 +180,8 @@ def r_hourly_windows(t):
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderstatus = 'P' THEN 'decision' WHEN o_orderpriority = '1-URGENT' THEN 'urgent' WHEN o_totalprice > 200000 THEN 'large' END AS reason FROM orders)
 SELECT o_orderkey, reason FROM o WHERE reason IS NOT NULL ORDER BY CASE reason WHEN 'decision' THEN 0 WHEN 'urgent' THEN 1 ELSE 2 END, o_orderdate, o_orderkey LIMIT 50""")
 def e06_inbox(t):
-    reason = F.when(F.col("o_orderstatus") == "P", "decision").when(F.col("o_orderpriority") == "1-URGENT", "urgent").when(F.col("o_totalprice") > 200000, "large")
-    first = F.when(F.col("reason") == "decision", 0).when(F.col("reason") == "urgent", 1).otherwise(2)
-    return t.orders.withColumn("reason", reason).where("reason IS NOT NULL").orderBy(first, "o_orderdate", "o_orderkey").limit(50).select("o_orderkey", "reason")
+    reasons = [("decision", F.col("o_orderstatus") == "P"), ("urgent", F.col("o_orderpriority") == "1-URGENT"), ("large", F.col("o_totalprice") > 200000)]
+    return Z.inbox(t.orders, reasons, ["o_orderdate", "o_orderkey"], 50).select("o_orderkey", "reason")
 
 
 @query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS closed, count(*) FILTER (o_orderstatus = 'O') AS open, max(o_orderdate) AS last FROM orders GROUP BY o_orderpriority""")
@@ -218,6 +209,5 @@ def j14_actors(t):
 SELECT l_suppkey, round(median(used / est), 4) AS scale FROM d WHERE used > 0 AND est > 0 GROUP BY l_suppkey""")
 def p10_calibrated_scale(t):
     """Median ratio of reported to estimated growth over the steps where both grow."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    d = t.lineitem.select("l_suppkey", (F.col("l_extendedprice") - F.lag("l_extendedprice").over(w)).alias("used"), (F.col("l_quantity") - F.lag("l_quantity").over(w)).alias("est"))
-    return d.where("used > 0 AND est > 0").groupBy("l_suppkey").agg(F.round(F.median(F.col("used") / F.col("est")), 4).alias("scale"))
+    found = O.calibrated_scale(t.lineitem, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_extendedprice", "l_quantity")
+    return found.select("l_suppkey", F.round("scale", 4).alias("scale"))

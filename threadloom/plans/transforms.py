@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import redaction as R
 from threadloom.operators import transforms as T
+from threadloom.operators.sets import missing
 from threadloom.plans.catalog import MESSAGES
 from threadloom.plans.registry import query
 from threadloom.sources.conversations import messages_from_conversations
@@ -103,4 +104,4 @@ def k06_pack_dedup(t):
 def k07_archive_sync(t):
     """Rows whose digest the archive doesn't hold yet."""
     archived = t.documents.where("doc_id < 100").select(F.md5("text").alias("digest"))
-    return t.documents.withColumn("digest", F.md5("text")).join(archived, "digest", "left_anti").select("doc_id")
+    return missing(t.documents.withColumn("digest", F.md5("text")), archived, "digest").select("doc_id")
