@@ -2,8 +2,8 @@
 
 Candidates are every line, every window of 2 to ``LINES`` consecutive lines (lines without
 terms don't count) of at most ``WINDOW_TERMS`` terms together, and the whole of each file
-named like a licence file. Each is compared with short licence templates by the cosine of sparse
-TF-IDF vectors. A term's weight is its count times ``ln((1 + templates) / (1 + templates with
+named like a licence file. Each is compared with short licence headers, and whole licence files also with
+whole licence texts, by the cosine of sparse TF-IDF vectors. A term's weight is its count times ``ln((1 + templates) / (1 + templates with
 the term)) + 1``, or times 1 for a few words of ordinary prose, so it is positive and the same
 in every corpus: what other files hold changes no file's licence. Terms outside the templates count in a candidate's length with
 the weight of a term that no template has, so that a long line that merely mentions a licence
@@ -31,6 +31,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.license_texts import TEXTS
 from threadloom.session import written
 
 # Header phrases by which files state their licence.
@@ -138,20 +139,16 @@ def candidates(files: DataFrame, has) -> DataFrame:
     return windows.unionByName(whole)
 
 
-def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
-    """``files`` (path, text, ...) with license, how (own, inherited or null), cosine and license_path."""
-    spark: SparkSession = files.sparkSession
-    files = files.drop(*OUTPUTS)
+def rated(candidates: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key, line_no, license, cosine) of the ``candidates`` (key, line_no, n, phrase) that reach the threshold with two terms or more."""
+    spark: SparkSession = candidates.sparkSession
     vectors, unseen = weights(templates)
     df = Counter(t for v in vectors for t in v)
     rows = [(k, templates[k][0], t, idf(t, len(templates), df[t]), w) for k, v in enumerate(vectors) for t, w in v.items()]
     target = spark.createDataFrame(rows, "template int, license string, term string, idf double, t double")
     known = F.broadcast(target.select("term", "idf").distinct())
 
-    licence_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    keyed = files.select("path", "text", licence_file.alias("licence_file"))
-    keyed = keyed.withColumn("key", F.concat(F.sha2("text", 256), F.col("licence_file").cast("string")))
-    parts = candidates(keyed, may_match(vectors, threshold)).withColumn("terms", F.transform(terms_of(F.col("phrase")), clean))
+    parts = candidates.withColumn("terms", F.transform(terms_of(F.col("phrase")), clean))
     parts = parts.select("key", "line_no", "n", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     found = parts.join(known, "term").groupBy("key", "line_no", "n", "n_terms", "term").agg(F.count("*").alias("uses"), F.first("idf").alias("idf"))
     per_part = found.withColumn("w", F.col("uses") * F.col("idf")).groupBy("key", "line_no", "n").agg(
@@ -159,14 +156,29 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         F.collect_list(F.struct("term", "w")).alias("vector"),
     )
     length = F.sqrt(F.col("known") + F.col("others") * unseen * unseen)
-    rated = (
+    return (
         per_part.select("key", "line_no", "n", length.alias("length"), F.inline("vector"))
         .join(F.broadcast(target.drop("idf")), "term")
         .groupBy("key", "line_no", "n", "length", "template", "license")
         .agg((F.sum(F.col("w") * F.col("t")) / F.first("length")).alias("cosine"), F.count("*").alias("shared"))
         .where((F.col("cosine") >= threshold) & (F.col("shared") > 1))
+        .select("key", "line_no", "license", "cosine")
     )
-    best = rated.groupBy("key").agg(F.min(F.struct((-F.round("cosine", 6)).alias("far"), "license", "line_no")).alias("b"))
+
+
+def license_scan(
+    files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, texts: list[tuple[str, str]] = TEXTS, threshold: float = 0.6
+) -> DataFrame:
+    """``files`` (path, text, ...) with license, how (own, inherited or null), cosine and license_path."""
+    files = files.drop(*OUTPUTS)
+    licence_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    keyed = files.select("path", "text", licence_file.alias("licence_file"))
+    keyed = keyed.withColumn("key", F.concat(F.sha2("text", 256), F.col("licence_file").cast("string")))
+    headers = rated(candidates(keyed, may_match(weights(templates)[0], threshold)), templates, threshold)
+    whole = keyed.where(F.col("licence_file") & F.col("text").isNotNull())
+    whole = whole.select("key", F.lit(0).alias("line_no"), F.lit(0).alias("n"), F.col("text").alias("phrase")).distinct()
+    matched = headers.unionByName(rated(whole, texts, threshold))
+    best = matched.groupBy("key").agg(F.min(F.struct((-F.round("cosine", 6)).alias("far"), "license", "line_no")).alias("b"))
     best = written(best, "own")
 
     # a file's best candidate goes to its path; rows without a path are told apart by their texts
