@@ -1,7 +1,9 @@
 """Nearest neighbours, token counts, licences, quality ranking and HTML extraction against plain versions."""
 
 import collections
+import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +15,8 @@ from threadloom.llm.ann import search
 from threadloom.llm.hilbert import hilbert_keys
 from threadloom.llm.html_extract import extract
 from threadloom.llm.html_pages import blocks
-from threadloom.llm.license_scan import license_scan
+from threadloom.llm.license_scan import LINES, PROSE, TEMPLATES, WINDOW_TERMS, license_scan
+from threadloom.llm.license_texts import TEXTS
 from threadloom.llm.quality_ranker import fit, rank_quality
 from threadloom.llm.token_counts import head_body_tail, token_counts
 from threadloom.llm.wrappers import Wrapper
@@ -169,6 +172,52 @@ def test_license_common_header_and_windows(spark):
     assert found[None, True][:2] == ("Apache-2.0", "own") and found[None, False] == (None, None, None)
 
 
+def plain_cosines(phrase, templates):
+    """license -> cosine of one phrase with each template, by dictionaries."""
+    terms = lambda text: [t.strip(".") for t in re.split(r"[^a-z0-9.]+", text.lower()) if t.strip(".")]
+    n, df = len(templates), collections.Counter(t for _, p in templates for t in set(terms(p)))
+    weight = lambda t: 1.0 if t in PROSE else math.log((1 + n) / (1 + df[t])) + 1
+    own = collections.Counter(terms(phrase))
+    mine = {t: k * (weight(t) if df[t] else math.log(1 + n) + 1) for t, k in own.items()}
+    # terms that no template has are each a term of its own in the length
+    length = math.sqrt(sum(v * v for t, v in mine.items() if df[t]) + sum(k for t, k in own.items() if not df[t]) * (math.log(1 + n) + 1) ** 2)
+    out = {}
+    for name, p in templates:
+        other = {t: k * weight(t) for t, k in collections.Counter(terms(p)).items()}
+        shared = [t for t in other if t in mine]
+        if len(shared) > 1:
+            cosine = sum(other[t] * mine[t] for t in shared) / length / math.sqrt(sum(v * v for v in other.values()))
+            out[name] = max(out.get(name, 0), round(cosine, 6))
+    return out
+
+
+def plain_license(text, licence_file):
+    lines = [x for x in text.split("\n") if re.search("[A-Za-z0-9]", x)]
+    short = lambda part: len(re.findall(r"[a-z0-9.]*[a-z0-9][a-z0-9.]*", "\n".join(part).lower())) <= WINDOW_TERMS
+    parts = lines + ["\n".join(lines[i : i + k]) for i in range(len(lines)) for k in range(2, LINES + 1) if i + k <= len(lines) and short(lines[i : i + k])]
+    found = [c for p in parts + [text] * licence_file for c in plain_cosines(p, TEMPLATES).items()] + [c for p in [text] * licence_file for c in plain_cosines(p, TEXTS).items()]
+    return min(((-c, name) for name, c in found if c >= 0.6), default=(None, None))[::-1]
+
+
+def test_license_matches_plain_cosines(spark):
+    """Headers whole, cut, wrapped and mixed with other words; licence files with whole texts; every row against all templates."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = " ".join(rng.choice([*TEMPLATES])[1] for _ in range(rng.randrange(1, 3))).split(" ")
+        words = [w for w in words if rng.random() < 0.85] + [rng.choice(["the", "hill", "of", "version", "shop"]) for _ in range(rng.randrange(4))]
+        text = "".join(w + rng.choice([" ", " ", " ", "\n", "\n\n"]) for w in words) + "\nthis is a file of the shop"
+        rows.append((f"d{i}/{'LICENSE' if i % 4 == 0 else 'x.py'}", text))
+    rows += [(f"t{i}/COPYING", f"Copyright 2020 Jo Doe\n\n{text[: len(text) if i % 2 else len(text) * 3 // 4]}") for i, (_, text) in enumerate(TEXTS)]
+    rows += [rows[0], rows[-1], rows[-1]]
+    got = license_scan(spark.createDataFrame(rows, "path string, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        name, far = plain_license(r.text, "x.py" not in r.path)
+        assert (r.license, r.cosine if r.license is None else round(r.cosine, 5)) == (name, None if far is None else round(-far, 5)), r.path
+    assert [next(r.license for r in got if r.path == f"t{i}/COPYING") for i in range(len(TEXTS))] == [name for name, _ in TEXTS]
+
+
 def test_license_empty(spark):
     assert license_scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
