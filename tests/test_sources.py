@@ -177,3 +177,31 @@ def test_exports_continue_lmstudio_and_discovery(spark, tmp_path):
     assert set(failed) == {"x", str(tmp_path / "absent")}
     got = {r.session_id: (r.harness, r.title, r.models, r.n_messages, r.input) for r in S.session_rows(found).collect()}
     assert got == {"9": ("lmstudio", "new", ["m"], 2, 5), "h": ("continue", "v", [], 2, None)}
+
+
+def test_emitters_read_back(spark, tmp_path):
+    from threadloom.sources import emit
+
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, CLAUDE)))
+    first = J.read_claude(spark, str(tmp_path / "c.jsonl"))
+    told = lambda m: [[(b.type, b.text, b.name, b.id or b.tool_use_id) for b in r.content] for r in m.orderBy("session_id", "msg_idx").collect()]
+    for name, out, read in (("o", emit.opensession_documents, J.read_opensession), ("g", emit.gemini_documents, D.read_gemini)):
+        out(first).select("value").write.text(str(tmp_path / name), lineSep="\n")
+        for k, r in enumerate(out(first).collect()):
+            (tmp_path / f"{name}{k}.json").write_text(r.value)
+        again = read(spark, str(tmp_path / f"{name}*.json"))
+        kinds = lambda m: [[b[0] for b in r] for r in told(m)]
+        assert kinds(again) == kinds(first)
+        if name == "o":
+            assert told(again) == told(first) and emit.field_fidelity(first, again).where("lost > 0").count() == 0
+            assert [r.usage for r in again.orderBy("session_id", "msg_idx").collect()][1].input == 3
+        else:
+            assert {r.field for r in emit.field_fidelity(first, again).where("lost > 0").collect()} <= {"parent_id", "usage", "ts"}
+    (tmp_path / "q.jsonl").write_text("\n".join(r.value for r in emit.qwen_lines(first).orderBy("session_id", "msg_idx").collect()))
+    again = D.read_qwen(spark, str(tmp_path / "q.jsonl"))
+    assert [[b[0] for b in r] for r in told(again)] == [[b[0] for b in r] for r in told(first)] and emit.field_fidelity(first, again, ("id", "parent_id", "ts")).where("lost > 0").count() == 0
+    for r in emit.cline_documents(first).collect():
+        (tmp_path / r.session_id).mkdir()
+        (tmp_path / r.session_id / "h.json").write_text(r.value)
+    again = D.read_cline(spark, str(tmp_path / "*" / "h.json"))
+    assert again.count() == first.where("role <> 'system'").count()

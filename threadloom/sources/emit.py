@@ -52,3 +52,71 @@ def fidelity(before: DataFrame, after: DataFrame) -> DataFrame:
 
     both = tally(before, "before").join(tally(after, "after"), "kind", "full").na.fill(0, ["before", "after"])
     return both.withColumn("lost", F.greatest(F.col("before") - F.col("after"), F.lit(0)))
+
+
+def in_sessions(messages: DataFrame, message: Column) -> DataFrame:
+    """(session_id, turns): each session's messages, given as structs, in order."""
+    ordered = F.sort_array(F.collect_list(F.struct("msg_idx", F.to_json(message).alias("m"))))
+    return messages.groupBy("session_id").agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["m"]), ","), F.lit("]")).alias("turns"))
+
+
+def instant() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def document(head: str, turns: str) -> Column:
+    """One JSON document: the session's id under ``head``, its messages under ``turns``."""
+    return F.concat(F.lit(f'{{"{head}":'), F.regexp_extract(json_field("session_id"), r'(?s)^\{"x":(.*)\}$', 1), F.lit(f',"{turns}":'), F.col("turns"), F.lit("}"))
+
+
+def opensession_documents(messages: DataFrame) -> DataFrame:
+    """(session_id, value): an interchange document for each session, which ``read_opensession`` reads back."""
+    usage = F.when(F.col("usage").isNotNull(), F.struct(
+        F.col("usage.input").alias("input_tokens"), F.col("usage.output").alias("output_tokens"), F.col("usage.cache_read").alias("cache_read_tokens"), F.col("usage.cache_creation").alias("cache_creation_tokens"),
+    ))
+    message = F.struct("id", "parent_id", "role", "kind", "origin", instant().alias("timestamp"), "model", F.transform("content", part).alias("content"), usage.alias("usage"))
+    return in_sessions(messages, message).select("session_id", document("id", "messages").alias("value"))
+
+
+def google_part(b: Column) -> Column:
+    kind = b["type"]
+    call = F.struct(b["id"].alias("id"), b["name"].alias("name"), F.try_parse_json(b["input"]).alias("args"))
+    answer = F.struct(b["tool_use_id"].alias("id"), F.coalesce(F.try_parse_json(b["text"]), F.parse_json(F.to_json(F.struct(b["text"].alias("output"))))).alias("response"))
+    return F.struct(
+        F.when(kind.isin("text", "thinking"), b["text"]).alias("text"), F.when(kind == "thinking", True).alias("thought"),
+        F.when(kind == "tool_use", call).alias("functionCall"), F.when(kind == "tool_result", answer).alias("functionResponse"),
+    )
+
+
+def gemini_documents(messages: DataFrame) -> DataFrame:
+    """(session_id, value): chat recordings. Results stand as parts of the message that holds them."""
+    kind = F.when(F.col("role") == "assistant", "gemini").when(F.col("role").isin("user", "tool"), "user").otherwise("info")
+    message = F.struct("id", instant().alias("timestamp"), kind.alias("type"), "model", F.transform("content", google_part).alias("content"))
+    return in_sessions(messages, message).select("session_id", document("sessionId", "messages").alias("value"))
+
+
+def qwen_lines(messages: DataFrame) -> DataFrame:
+    """(session_id, msg_idx, value): session lines."""
+    kind = F.when(F.col("role") == "tool", "tool_result").otherwise(F.col("role"))
+    record = F.struct(
+        F.col("id").alias("uuid"), F.col("parent_id").alias("parentUuid"), F.col("session_id").alias("sessionId"), instant().alias("timestamp"), kind.alias("type"), "model",
+        F.struct(F.transform("content", google_part).alias("parts")).alias("message"),
+    )
+    return messages.select("session_id", "msg_idx", F.to_json(record).alias("value"))
+
+
+def cline_documents(messages: DataFrame) -> DataFrame:
+    """(session_id, value): task histories; notices of the harness have no place there."""
+    role = F.when(F.col("role") == "assistant", "assistant").otherwise("user")
+    return in_sessions(messages.where("role <> 'system'"), F.struct(role.alias("role"), F.transform("content", part).alias("content"))).select("session_id", F.col("turns").alias("value"))
+
+
+def field_fidelity(before: DataFrame, after: DataFrame, fields: tuple[str, ...] = ("id", "parent_id", "ts", "model", "usage", "kind", "origin")) -> DataFrame:
+    """(field, before, after, lost): messages that hold each field on both sides of a conversion."""
+
+    def tally(df: DataFrame, name: str) -> DataFrame:
+        one = df.agg(*[F.count(f).alias(f) for f in fields])
+        return one.select(F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", name))
+
+    both = tally(before, "before").join(tally(after, "after"), "field")
+    return both.withColumn("lost", F.greatest(F.col("before") - F.col("after"), F.lit(0)))
