@@ -29,16 +29,32 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/threadloom-{spark.sparkContext.applicationId}"
 
 
+#: folders made in the application's, in order
+made: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder."""
+    made.append(f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that no frame still in use reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
-    """Deletes what ``written`` has kept for this application. Frames that read from it end with it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all that ``written`` has kept for this application. Frames that read from it end with it."""
+    delete(spark, [run_dir(spark)])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
