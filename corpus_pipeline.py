@@ -7,6 +7,8 @@ Rows that repeat a doc_id stay or go together.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +19,34 @@ from threadloom.llm.marks import marks, slot, with_mark
 from threadloom.llm.mix_sources import mix_sources
 from threadloom.llm.packing import pack
 from threadloom.llm.quality_rules import quality_rules
-from threadloom.session import written
+from threadloom.session import delete, made, written
+
+
+#: what the result of the stage before reads; that result is written when the next stage begins
+_held: list[str] = []
+
+
+def stage(f):
+    """Deletes the tables that the stage before worked with."""
+
+    @functools.wraps(f)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _held)
+        before = len(made)
+        out = f(spark, docs, sf_dir)
+        _held[:] = made[before:]
+        return out
+
+    return begin
 
 
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the perplexity bands reject go."""
     return quality_rules(docs).where("kept").select(*docs.columns)
 
 
+@stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals or nearly equals go, and with them documents that have no word left."""
     found = line_dedup(docs)
@@ -32,6 +54,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
+@stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
     found = jaccard_join(docs)
@@ -42,6 +65,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return stay.unionByName(rows.where("_mark").join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
+@stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix takes them: not at all, once, or once an epoch."""
     mixed = mix_sources(docs)
@@ -49,6 +73,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("time", F.explode(times)).select(*docs.columns)
 
 
+@stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -67,8 +92,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
     return docs

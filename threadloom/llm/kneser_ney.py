@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.arrays import MULTIPLIER, Texts, mix
 from threadloom.llm.batches import only, slices
 from threadloom.llm.marks import marks, slot, with_mark
-from threadloom.session import run_dir, written
+from threadloom.session import folder, written
 
 ORDER = 5
 #: n-grams that a task merges at once, and those that it holds before it sends them on; entries in one file
@@ -212,9 +212,9 @@ def buffer_of(path: str) -> pa.Buffer:
         return f.read_buffer()
 
 
-def stored(table: DataFrame, folder: str) -> HashArrays:
-    """Writes ``table`` (key, log_p) as sorted arrays under ``folder``; one row for each file reaches the driver."""
-    located(folder)[0].create_dir(located(folder)[1], recursive=True)
+def stored(table: DataFrame, where: str) -> HashArrays:
+    """Writes ``table`` (key, log_p) as sorted arrays under ``where``; one row for each file reaches the driver."""
+    located(where)[0].create_dir(located(where)[1], recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -223,13 +223,13 @@ def stored(table: DataFrame, folder: str) -> HashArrays:
         if got:
             keys = np.concatenate([b.column("key").to_numpy() for b in got])
             logs = np.concatenate([b.column("log_p").to_numpy() for b in got]).astype(np.float32)
-            path = f"{folder}/{TaskContext.get().partitionId():06d}"
-            where, inner = located(path)
+            path = f"{where}/{TaskContext.get().partitionId():06d}"
+            store, inner = located(path)
             attempt = f"{inner}.{uuid.uuid4().hex}"  # a task may run twice: the last whole file stands
-            with where.open_output_stream(attempt) as f:
+            with store.open_output_stream(attempt) as f:
                 f.write(keys.tobytes())
                 f.write(logs.tobytes())
-            where.move(attempt, inner)
+            store.move(attempt, inner)
             yield pa.record_batch({"least": keys[:1], "path": [path], "n": [len(keys)]})
 
     parts = max(1, -(-table.count() // FILE_ENTRIES))
@@ -240,4 +240,4 @@ def stored(table: DataFrame, folder: str) -> HashArrays:
 def fit(docs: DataFrame) -> HashArrays:
     """The models of all languages of ``docs`` (lang, text)."""
     found = written(probabilities(docs).select("key", F.log("p").cast("float").alias("log_p")), "model")
-    return stored(found, f"{run_dir(docs.sparkSession)}/arrays-{uuid.uuid4().hex}")
+    return stored(found, folder(docs.sparkSession, "arrays"))
