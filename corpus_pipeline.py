@@ -31,6 +31,8 @@ def stage(f):
 
     @functools.wraps(f)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if STAGES[0][1] is begin:
+            _held.clear()  # another run's result may still be read
         delete(spark, _held)
         before = len(made)
         out = f(spark, docs, sf_dir)
