@@ -11,7 +11,9 @@ vectors in double precision.
 How wide windows must be depends on the data: nearly isotropic vectors of 64 dimensions have
 no near order that a curve could keep, so the window is a share of the index and not a
 fixed number of rows. With 12 curves and a tenth of the ranks in each window the recall measured
-on such data is 0.913, and 16 curves are the default; clustered data need far less.
+on such data is 0.913, and 16 curves are the default. A query then meets 1.6 times as many vectors as
+an exact search compares, counting those that it meets on several curves: with such data this method saves
+nothing. Clustered data need far less (``share``). Tables under ``2 * least`` rows are searched exactly.
 
 Of equal vectors only the k + 1 with the smallest ids are indexed: no query can return
 another one. Defined results: rows with a null id, null vector, null or non-finite components,
