@@ -208,3 +208,15 @@ def test_batch_wants_all_words(spark):
     docs = spark.createDataFrame([(1, "The red fox"), (2, "a red hen"), (3, None)], "doc_id int, text string")
     asked = spark.createDataFrame([(1, "red"), (2, "fox RED"), (3, "red cow"), (4, "")], "item_id int, text string")
     assert sorted(tuple(r) for r in Q.batch(docs, asked).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_written_tables_go_when_asked(spark):
+    import os
+
+    from threadloom import session
+
+    kept = session.written(spark.range(3), "kept")
+    gone = session.written(spark.range(3), "gone")
+    assert kept.count() == gone.count() == 3 and all(os.path.isdir(p) for p in session.made[-2:])
+    session.delete(spark, session.made[-1:])
+    assert os.path.isdir(session.made[-2]) and not os.path.exists(session.made[-1]) and kept.count() == 3
