@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm import lexical_search
 from threadloom.llm.ann import search
+from threadloom.llm.chat_format import ORACLE as CHAT_SQL
+from threadloom.llm.chat_format import PROBE, format_turns, read_back, text_parts
+from threadloom.llm.conversation_repair import repaired_digests
 from threadloom.llm.html_extract import extract
 from threadloom.llm.jaccard_join import ORACLE as JACCARD_SQL
 from threadloom.llm.jaccard_join import jaccard_join
@@ -78,10 +82,28 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and two turns that hold another template's control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_turns(text_parts(rows.unionByName(spark.sql(f"SELECT * FROM {PROBE}")))))
+
+
 def queries() -> dict:
-    found = [op1_ann, op2_quality_rules, op3_token_counts, op4_mix_sources, op5_license_scan, op6_quality_ranker, op7_line_dedup, op8_jaccard_join, op9_packing, op10_html_extract]
+    found = [
+        op1_ann, op2_quality_rules, op3_token_counts, op4_mix_sources, op5_license_scan, op6_quality_ranker, op7_line_dedup, op8_jaccard_join,
+        op9_packing, op10_html_extract, op11_lexical_search, op12_conversation_repair, op13_chat_format,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": MIX_SQL, "op7_line_dedup": LINES_SQL, "op8_jaccard_join": JACCARD_SQL}
+    return {"op4_mix_sources": MIX_SQL, "op7_line_dedup": LINES_SQL, "op8_jaccard_join": JACCARD_SQL, "op11_lexical_search": lexical_search.ORACLE, "op13_chat_format": CHAT_SQL}
