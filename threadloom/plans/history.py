@@ -1,0 +1,81 @@
+"""Excerpts, line origins and receipts over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from threadloom.functions.canonical import canonical_json, receipt_hash
+from threadloom.operators.blame import blame
+from threadloom.operators.excerpts import K1, best_windows, task_words
+from threadloom.plans.catalog import MESSAGES
+from threadloom.plans.registry import query
+from threadloom.sources.conversations import messages_from_conversations
+
+TASK = "thre thtion lich erth"
+
+
+def _fit_sql(task: str) -> str:
+    """The score in SQL: counts of the task's words in the tokens, damped by their number."""
+    damp = "(1.2 * (0.25 + 0.75 * (len(tokens) / 40.0)))"
+    parts = []
+    for w in task_words(task):
+        n = f"len(list_filter(tokens, lambda t: t = '{w}'))"
+        part = f"CASE WHEN contains(low, '{w}') THEN 0.35 ELSE 0.0 END" if len(w) >= 4 else "0.0"
+        one = f"(CASE WHEN {n} > 0 THEN {n}::DOUBLE ELSE {part} END)"
+        parts.append(f"({one} * {K1 + 1}::DOUBLE / ({one} + {damp}))")
+    parts.append(f"CASE WHEN contains(low, '{task.lower()}') THEN (2.5 * {K1 + 1}::DOUBLE) / (1 + {damp}) ELSE 0.0 END")
+    return f"CASE WHEN len(tokens) = 0 THEN 0 ELSE CAST(round(({' + '.join(parts)}) * 10000) AS BIGINT) END"
+
+
+@query(f"""WITH {MESSAGES}, able AS (SELECT session_id, msg_idx, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS said FROM messages WHERE role <> 'tool'),
+words AS (SELECT session_id, msg_idx, lower(said) AS low, regexp_extract_all(lower(said), '[\\p{{L}}\\p{{N}}_]+') AS tokens FROM able WHERE said <> ''),
+scored AS (SELECT session_id, msg_idx, {_fit_sql(TASK)} AS score FROM words),
+near AS (SELECT *, coalesce(lag(msg_idx) OVER w, msg_idx) AS lo, coalesce(lead(msg_idx) OVER w, msg_idx) + 1 AS hi FROM scored WINDOW w AS (PARTITION BY session_id ORDER BY msg_idx))
+SELECT session_id, score, lo, hi FROM near QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, msg_idx) = 1""")
+def q13_best_windows(t):
+    return best_windows(messages_from_conversations(t.conversations), TASK, 1 << 20).select("session_id", "score", "lo", "hi")
+
+
+RECEIPTS = "threadloom-receipt"
+
+
+@query(f"""SELECT event_id, sha256('{RECEIPTS}' || chr(10) || prev || chr(10) || body) AS hash FROM (
+  SELECT event_id, coalesce(sha256(CAST(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS VARCHAR)), '') AS prev,
+    '{{{{"id":' || event_id || ',"props":' || replace(replace(props, ': ', ':'), ', ', ',') || ',"type":"' || event_type || '","value":[{{{{"a":true,"z":null}}}}]}}}}' AS body FROM events)""".replace("{{", "{").replace("}}", "}"))
+def p19_receipts(t):
+    """Bodies with their keys out of order and loose white space; the SQL writes them in canonical order itself."""
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    prev = F.coalesce(F.sha2(F.lag("event_id").over(own).cast("string"), 256), F.lit(""))
+    body = F.format_string('{ "value": [ {"z":null, "a": true} ], "type":"%s",  "props":%s, "id": %d }', "event_type", "props", "event_id")
+    return t.events.select("event_id", prev.alias("prev"), body.alias("body")).select("event_id", receipt_hash(RECEIPTS, F.col("prev"), F.col("body")).alias("hash"))
+
+
+@query("SELECT event_id, replace(replace(props, ': ', ':'), ', ', ',') AS body FROM events")
+def p19_canonical(t):
+    return t.events.select("event_id", canonical_json("props").alias("body"))
+
+
+# a file for each supplier, a commit for each of its lines with one hunk whose place and size come from the row
+HUNKS = """h AS (SELECT l_suppkey AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq, l_orderkey * 10 + l_linenumber AS commit_id,
+  1 + l_partkey % 300 AS start, CAST(l_quantity AS BIGINT) % 4 AS lines, l_linenumber % 3 AS gone FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {HUNKS}, top AS (SELECT file, max(seq) AS seq FROM h GROUP BY file),
+walk(file, line, seq, pos, commit_id) AS (
+  SELECT file, line, seq, line, NULL::BIGINT FROM top, (SELECT unnest(range(1, 101)) AS line)
+  UNION ALL
+  SELECT w.file, w.line, w.seq - 1, CASE WHEN w.pos >= h.start + h.lines THEN w.pos - h.lines + h.gone ELSE w.pos END,
+    CASE WHEN w.pos >= h.start AND w.pos < h.start + h.lines THEN h.commit_id END
+  FROM walk w JOIN h ON h.file = w.file AND h.seq = w.seq WHERE w.commit_id IS NULL)
+SELECT file, line, pos AS origin, CAST(commit_id AS VARCHAR) AS commit_id FROM walk WHERE commit_id IS NOT NULL OR seq = 0""")
+def s25_blame(t):
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    start, lines, gone = 1 + F.col("l_partkey") % 300, F.col("l_quantity").cast("long") % 4, (F.col("l_linenumber") % 3).cast("long")
+    # in a diff a hunk without new or old lines names the line before it
+    hunk = F.struct((start - F.when(gone == 0, 1).otherwise(0)).alias("old_start"), gone.alias("old_lines"), (start - F.when(lines == 0, 1).otherwise(0)).alias("new_start"), lines.alias("new_lines"))
+    file = F.col("l_suppkey").cast("string").alias("file")
+    commits = t.lineitem.select(file, F.row_number().over(order).alias("seq"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("commit_id"), F.array(hunk).alias("hunks"))
+    found = blame(commits, t.lineitem.select(file).distinct().select("file", F.lit(1).alias("first"), F.lit(100).alias("last")))
+    each = found.select("file", "commit_id", "first", "origin", F.posexplode(F.sequence("first", "last")).alias("k", "line"))
+    return each.select(F.col("file").cast("long").alias("file"), F.col("line").cast("long").alias("line"), (F.col("origin") + F.col("k")).alias("origin"), "commit_id")
