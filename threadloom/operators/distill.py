@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.aggregates import merged_ranges
 from threadloom.operators.tools import first_of, operation
+from threadloom.session import written
 
 CALLS = "array<struct<id: string, name: string, input: string>>"
 RESULTS = "array<struct<id: string, content: string, failed: boolean>>"
@@ -138,9 +139,7 @@ def facts(calls: DataFrame, results: DataFrame) -> DataFrame:
     branch = both.where(command).select("session_id", "msg_idx", each("content", ON_BRANCH).alias("v"))
     host = calls.where(command).select("session_id", "msg_idx", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("target", F.lit(SSH), 1), F.when(F.col("target").rlike(r"\b(?:scp|rsync)\b"), F.regexp_extract_all("target", F.lit(REMOTE), 1)).otherwise(F.array().cast("array<string>"))))).alias("v"))
     lines = F.split("content", "\r?\n")
-    verdict = both.where(command & F.col("target").rlike(GATE)).withColumn("v", F.element_at(F.filter(lines, lambda x: x.rlike(VERDICT)), F.lit(-1))) if False else both.where(
-        command & F.col("target").rlike(GATE)
-    ).withColumn("v", F.try_element_at(F.filter(lines, lambda x: x.rlike(VERDICT)), F.lit(-1)))
+    verdict = both.where(command & F.col("target").rlike(GATE)).withColumn("v", F.try_element_at(F.filter(lines, lambda x: x.rlike(VERDICT)), F.lit(-1)))
     error = both.where("failed").withColumn("v", F.coalesce(F.get(F.filter(lines, lambda x: x.rlike(ERROR_LINE)), F.lit(0)), F.get(lines, F.lit(0))))
     none = F.lit(None).cast("string")
     rows = found(commit, "commit", F.col("c.sha"), F.concat(F.col("c.branch"), F.lit(" "), F.col("c.subject")))
@@ -178,7 +177,7 @@ def distill(messages: DataFrame, keep_last: int = 12, tail_result_max: int = 600
         "session_id", "msg_idx", "role", "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("calls", F.array()).cast(CALLS).alias("calls"),
         F.coalesce("results", F.array()).cast(RESULTS).alias("results"),
     )
-    at = cuts(rows, keep_last)
+    at = written(cuts(rows, keep_last), "cuts")  # a row a session, which every part reads
     placed = rows.join(at.select("session_id", "prompt", "start"), "session_id")
     before = placed.where("msg_idx < start")
     calls, results = calls_of(rows).join(at.select("session_id", "start"), "session_id"), results_of(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.canonical import canonical_json, receipt_hash
 from threadloom.operators.blame import blame
+from threadloom.operators.distill import CALLS, RESULTS, distill
 from threadloom.operators.excerpts import K1, best_windows, task_words
 from threadloom.plans.catalog import MESSAGES
 from threadloom.plans.registry import query
@@ -79,3 +80,15 @@ def s25_blame(t):
     found = blame(commits, t.lineitem.select(file).distinct().select("file", F.lit(1).alias("first"), F.lit(100).alias("last")))
     each = found.select("file", "commit_id", "first", "origin", F.posexplode(F.sequence("first", "last")).alias("k", "line"))
     return each.select(F.col("file").cast("long").alias("file"), F.col("line").cast("long").alias("line"), (F.col("origin") + F.col("k")).alias("origin"), "commit_id")
+
+
+@query(f"""WITH {MESSAGES}, cut AS (SELECT session_id, min(msg_idx) FILTER (role = 'user') AS prompt, coalesce(max(msg_idx) FILTER (role <> 'assistant') + 1, 0) AS start FROM messages GROUP BY session_id)
+SELECT session_id, any_value(start) AS tail_start, count(*) AS messages, count(*) FILTER (msg_idx < start AND trim(text) <> '' AND msg_idx IS DISTINCT FROM prompt AND role IN ('user', 'assistant')) AS timeline_entries,
+  coalesce(sum(strlen(text)) FILTER (msg_idx >= start), 0)::BIGINT AS tail_bytes, sum(strlen(text))::BIGINT AS source_bytes, max(text) FILTER (msg_idx = prompt) AS brief
+FROM messages JOIN cut USING (session_id) GROUP BY session_id""")
+def t11_distill(t):
+    """Conversations have no tool calls, so the tail is the agent's last run of messages; the fold of calls is held against a plain one in tests."""
+    none = [F.array().cast(CALLS).alias("calls"), F.array().cast(RESULTS).alias("results")]
+    done = distill(messages_from_conversations(t.conversations).select("session_id", F.col("msg_idx").cast("int").alias("msg_idx"), "role", "kind", "text", *none))
+    counts = done.stats.select("session_id", "tail_start", "messages", "timeline_entries", "tail_bytes", "source_bytes")
+    return counts.join(done.brief.select("session_id", F.col("text").alias("brief")), "session_id", "left")
