@@ -51,17 +51,89 @@ class Slot(NamedTuple):
     linked: bool
 
 
+class Order:
+    """Child keys in order. A key goes in behind another one in constant time: labels leave gaps and are dealt anew when one is used up."""
+
+    GAP = 1 << 512
+
+    def __init__(self):
+        self.labels: dict[str, int] = {}
+        self.after: dict[str | None, str | None] = {None: None}
+
+    def put(self, key: str, behind: str | None) -> None:
+        behind_label, following = self.labels.get(behind, 0), self.after[behind]
+        label = behind_label + self.GAP if following is None else (behind_label + self.labels[following]) // 2
+        if label == behind_label:
+            for k, known in enumerate(self, 1):
+                self.labels[known] = k * self.GAP
+            return self.put(key, behind)
+        self.labels[key] = label
+        self.after[behind], self.after[key] = key, following
+
+    def __iter__(self):
+        key = self.after[None]
+        while key is not None:
+            yield key
+            key = self.after[key]
+
+
+class Together:
+    """Which keys came together on a page: as pairs while there are few keys, else as the pages' sets, the same of which count once."""
+
+    FEW = 256
+
+    def __init__(self):
+        self.keys: set[str] = set()
+        self.pairs: set[tuple[str, str]] = set()
+        self.sets: set[frozenset] = set()
+
+    def add(self, keys: frozenset) -> None:
+        self.keys |= keys
+        if len(self.keys) <= self.FEW:
+            self.pairs.update(combinations(sorted(keys), 2))
+        else:
+            self.sets.add(keys)
+
+    def merge(self, other: "Together") -> None:
+        self.keys |= other.keys
+        self.pairs |= other.pairs
+        self.sets |= other.sets
+
+    def covered(self, among: dict[str, int]) -> dict[str, int]:
+        """For each key the sum of ``among`` over the keys of it that never came with that key, the key left out."""
+        beside: dict[str, set[str]] = {}
+        for a, b in self.pairs:
+            beside.setdefault(a, set()).add(b)
+            beside.setdefault(b, set()).add(a)
+        within: dict[str, list[int]] = {}
+        sets = list(self.sets)
+        for k, one in enumerate(sets):
+            for key in one:
+                within.setdefault(key, []).append(k)
+        total, out = sum(among.values()), {}
+        shared: dict[tuple, tuple[frozenset, int]] = {}  # keys of the same sets have them in common
+        for key, own in among.items():
+            member = tuple(within.get(key, ()))
+            if member not in shared:
+                union = frozenset().union(*(sets[k] for k in member))
+                shared[member] = union, sum(among.get(k, 0) for k in union)
+            union, held = shared[member]
+            more = sum(among.get(k, 0) for k in beside.get(key, ()) if k not in union and k != key)
+            out[key] = total - held - more - (0 if key in union else own)
+        return out
+
+
 class Wrapper:
     """The expression of some pages and what its text slots held."""
 
     def __init__(self):
         self.pages = 0
-        #: path -> child keys in order; path -> pages with it; paths that repeat; path -> pairs of child containers of one page
-        self.children: dict[tuple, list[str]] = {}
+        #: path -> child keys in order; path -> pages with it; paths that repeat; path -> child containers of one page
+        self.children: dict[tuple, Order] = {}
         self.seen: Counter = Counter()
         self.repeated: set[tuple] = set()
-        self.together: dict[tuple, set[tuple[str, str]]] = {}
-        self.groups: dict[tuple, list[tuple[str, str]]] = {}
+        self.together: dict[tuple, Together] = {}
+        self.groups: dict[tuple, dict[tuple[str, str], None]] = {}
         #: path -> [pages, blocks, characters, linked characters, the one text or None if it varies, up to TEMPLATE_PAGES different pages with it]
         self.slots: dict[tuple, list] = {}
 
@@ -80,11 +152,11 @@ class Wrapper:
         self.seen[()] += 1
         for path, keys in seen.items():
             self._align(path, keys)
-            present = sorted(set(keys))
+            present = set(keys)
             self.seen.update((*path, key) for key in present)
-            holders = [key for key in present if container(key)]
+            holders = frozenset(key for key in present if container(key))
             if len(holders) > 1:
-                self.together.setdefault(path, set()).update(combinations(holders, 2))
+                self.together.setdefault(path, Together()).add(holders)
         last: Counter = Counter()
         before: tuple | None = None
         for block in page:
@@ -103,32 +175,25 @@ class Wrapper:
             elif len(slot[5]) < TEMPLATE_PAGES:
                 slot[5].add(own_page)
 
-    def _align(self, path: tuple, keys: list[str]) -> None:
-        known = self.children.setdefault(path, [])
-        place = -1
+    def _align(self, path: tuple, keys: Iterable[str]) -> None:
+        known = self.children.setdefault(path, Order())
+        place: str | None = None
         for key in keys:
-            if key in known:
-                at = known.index(key)
-                if at <= place:  # comes again: all from here to the last place repeats
-                    group = (key, known[place])
-                    own = self.groups.setdefault(path, [])
-                    if group not in own:
-                        own.append(group)
-            else:
-                at = place + 1
-                known.insert(at, key)
-            place = at
+            if key not in known.labels:
+                known.put(key, place)
+            elif place is not None and known.labels[key] <= known.labels[place]:  # comes again: all from here to the last place repeats
+                self.groups.setdefault(path, {})[key, place] = None
+            place = key
 
     def merge(self, other: "Wrapper") -> "Wrapper":
         for path, keys in other.children.items():
             self._align(path, keys)
         self.seen.update(other.seen)
         self.repeated |= other.repeated
-        for path, pairs in other.together.items():
-            self.together.setdefault(path, set()).update(pairs)
+        for path, together in other.together.items():
+            self.together.setdefault(path, Together()).merge(together)
         for path, groups in other.groups.items():
-            own = self.groups.setdefault(path, [])
-            own += [g for g in groups if g not in own]
+            self.groups.setdefault(path, {}).update(groups)
         for path, slot in other.slots.items():
             mine = self.slots.get(path)
             if mine is None:
@@ -148,38 +213,40 @@ class Wrapper:
     def expression(self, path: tuple = ()) -> str:
         """The inferred expression as text: ``?`` optional, ``+`` or ``{...}+`` repeated, ``#`` a text slot."""
         out = "#" if path in self.slots else ""
-        ends = Counter(b for _, b in self.groups.get(path, []))
-        starts = Counter(a for a, _ in self.groups.get(path, []))
-        for key in self.children.get(path, []):
+        ends = Counter(b for _, b in self.groups.get(path, ()))
+        starts = Counter(a for a, _ in self.groups.get(path, ()))
+        for key in self.children.get(path, ()):
             inner = f"{key}({self.expression((*path, key))})"
             repeated, own = (*path, key) in self.repeated, bool(starts[key] and ends[key])
             out += "{" * starts[key] + inner + "+" * (repeated and not own) + "?" * self.optional((*path, key)) + "}+" * ends[key]
         return out
 
-    def _loose(self, path: tuple) -> bool:
+    def _loose(self, path: tuple, apart: dict[tuple, dict[str, int]]) -> bool:
         """Whether the container ``path`` is optional and no alternative: it and the siblings never seen with it don't cover all pages."""
         if not self.optional(path):
             return False
         parent, key = path[:-1], path[-1]
-        pairs = self.together.get(parent, ())
-        apart = [k for k in self.children[parent] if k != key and container(k) and (min(k, key), max(k, key)) not in pairs]
-        return self.seen[path] + sum(self.seen[(*parent, k)] for k in apart) < self.seen[parent]
+        if parent not in apart:
+            apart[parent] = self.together.get(parent, Together()).covered({k: self.seen[(*parent, k)] for k in self.children[parent] if container(k)})
+        return self.seen[path] + apart[parent][key] < self.seen[parent]
 
     def _grouped(self, path: tuple) -> bool:
         """Whether ``path`` repeats or stands in a repeated group of its parent."""
         if path in self.repeated:
             return True
-        order = self.children.get(path[:-1], [])
-        return any(order.index(a) <= order.index(path[-1]) <= order.index(b) for a, b in self.groups.get(path[:-1], []))
+        groups = self.groups.get(path[:-1])
+        labels = self.children[path[:-1]].labels if groups else {}
+        return any(labels[a] <= labels[path[-1]] <= labels[b] for a, b in groups or ())
 
     def status(self) -> dict[tuple, Slot]:
         """What the expression tells of each slot."""
         loose: dict[tuple, bool] = {(): False}
+        apart: dict[tuple, dict[str, int]] = {}
         out = {}
         for path, (pages, _, chars, linked, constant, different) in self.slots.items():
             for k in range(1, len(path) + 1):
                 if path[:k] not in loose:
-                    loose[path[:k]] = loose[path[: k - 1]] or container(path[k - 1]) and self._loose(path[:k])
+                    loose[path[:k]] = loose[path[: k - 1]] or container(path[k - 1]) and self._loose(path[:k], apart)
             mean, firm = chars / pages, not loose[path]
             weight = mean * (1 if firm else OPTIONAL) * (1 if path and self._grouped(path) else SINGLE)
             template = constant is not None and len(different) >= TEMPLATE_PAGES and not in_article(path)
