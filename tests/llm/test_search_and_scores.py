@@ -68,6 +68,35 @@ def test_search_recall_on_isotropic_vectors(spark):
     assert hits >= 0.9 * 400
 
 
+def crowded(kind):
+    """2,400 vectors of which some crowd: a third within 1e-5 of a point, one far off all, or a third near copies of a few."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 32))
+    if kind == "tight third":
+        x[::3] = x[1] + 1e-5 * rng.normal(size=x[::3].shape)
+    elif kind == "outlier":
+        x[7] *= 1e6
+    else:
+        x[::3] = x[rng.integers(1, 9, 800)] + 1e-7 * rng.normal(size=x[::3].shape)
+    return x
+
+
+@pytest.mark.parametrize("kind", ["tight third", "outlier", "near copies"])
+def test_search_recall_where_vectors_crowd(spark, kind):
+    x = crowded(kind)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = search(spark.createDataFrame(rows, "vec_id long, vector array<double>"), F.col("vec_id") % 60 < 2, least=60).collect()
+    found = collections.defaultdict(set)
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    hits = collections.Counter()
+    for own in (i for i in range(2400) if i % 60 < 2):
+        far = ((x - x[own]) ** 2).sum(1)
+        far[own] = np.inf
+        hits[own % 3 == 0] += len(found[own] & set(np.argsort(far)[:10].tolist()))
+    assert min(hits[True], hits[False]) >= 0.9 * 400, hits  # as many queries in the crowd as outside
+
+
 def test_search_empty_and_single(spark):
     schema = "vec_id long, vector array<float>"
     assert search(spark.createDataFrame([], schema), F.lit(True)).count() == 0

@@ -1,7 +1,8 @@
 """Operator 1: approximate nearest neighbours on shifted space-filling curves.
 
 Every vector is projected on several random orthonormal bases of few dimensions, shifted,
-and placed on the Hilbert curve of each. Spark range-partitions the curve positions, and a
+and placed on the Hilbert curve of each. Coordinates are shares of vectors below (quantiles, fitted on a bounded
+sample), so that a tight group and an outlier take the room of their number and not of their distance. Spark range-partitions the curve positions, and a
 vector's rank on a curve follows from the counts of the partitions before it. A query looks
 at the window of ranks around its own on every curve; the windows are cut into blocks of
 ``block`` ranks, each block compares its vectors with the queries whose windows reach it,
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from threadloom.llm.hilbert import hilbert_keys
 from threadloom.session import written
 
-SEED, DIMS, BITS = 20, 4, 10
+SEED, DIMS, BITS = 20, 4, 15
+#: vectors that the axes' quantiles are fitted on, those of the smallest hashes, and quantiles of an axis
+SAMPLE, KNOTS = 20_000, 1025
 QUERIES_IN_GROUP = 2000
 
 
@@ -53,24 +56,22 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def axis_quantiles(vectors: DataFrame, base: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each projected axis increasing values and the shares of vectors below them, from a bounded sample."""
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
+    at = np.concatenate([matrix(sample.column("vector").combine_chunks()) @ b for b in base], axis=1)
+    out = []
+    for values in np.quantile(at, np.linspace(0, 1, KNOTS), axis=0).T:
+        known, first, times = np.unique(values, return_index=True, return_counts=True)
+        out.append((known, (first + (times - 1) / 2) / (KNOTS - 1)))
+    return out
+
+
 def curve_keys(vectors: DataFrame, length: int, curves: int) -> DataFrame:
     """(curve, key, vec_id) of every row of ``vectors`` on every curve."""
     base = bases(length, curves)
     dims = base[0].shape[1]
-
-    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = np.full(curves * dims, np.inf), np.full(curves * dims, -np.inf)
-        for batch in batches:
-            if batch.num_rows:
-                at = np.concatenate([matrix(batch.column("vector")) @ b for b in base], axis=1)
-                low, high = np.minimum(low, at.min(0)), np.maximum(high, at.max(0))
-        if np.isfinite(low).all():
-            yield pa.record_batch({"axis": pa.array(range(len(low)), pa.int32()), "low": low, "high": high})
-
-    found = vectors.select("vector").mapInArrow(limits, "axis int, low double, high double")
-    rows = found.groupBy("axis").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("axis").collect()
-    low, high = np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
-    span = np.where(high > low, high - low, 1.0)
+    axes = axis_quantiles(vectors, base)
     shift = np.random.default_rng(SEED + 1).random(curves * dims)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +80,10 @@ def curve_keys(vectors: DataFrame, length: int, curves: int) -> DataFrame:
                 continue
             vector = matrix(batch.column("vector"))
             for c in range(curves):
-                own = slice(c * dims, (c + 1) * dims)
-                unit = np.clip((vector @ base[c] - low[own]) / span[own], 0, 1)
-                cells = ((unit + shift[own]) / 2 * ((1 << BITS) - 1)).astype(np.int64)
+                own = range(c * dims, (c + 1) * dims)
+                at = vector @ base[c]
+                unit = np.stack([np.interp(at[:, d], *axes[a]) for d, a in enumerate(own)], axis=1)
+                cells = ((unit + shift[own.start : own.stop]) / 2 * ((1 << BITS) - 1)).astype(np.int64)
                 yield pa.record_batch({"curve": pa.array([c] * len(cells), pa.int32()), "key": hilbert_keys(cells, BITS), "vec_id": batch.column("vec_id")})
 
     id_type = vectors.schema["vec_id"].dataType.simpleString()
@@ -89,14 +91,17 @@ def curve_keys(vectors: DataFrame, length: int, curves: int) -> DataFrame:
 
 
 def ranked(keys: DataFrame, rows: int) -> DataFrame:
-    """``keys`` with each row's rank on its curve, from 0: place in its range and the counts of the ranges before."""
+    """``keys`` with each row's rank on its curve, from 0: place in its range and the counts of the ranges before.
+
+    Vectors of one cell stand in another order on every curve.
+    """
     ranges = max(1, rows // 20_000)
-    dealt = keys.repartitionByRange(ranges, "curve", "key", "vec_id").withColumn("range", F.spark_partition_id())
+    dealt = keys.withColumn("tie", F.xxhash64("vec_id", "curve")).repartitionByRange(ranges, "curve", "key", "tie", "vec_id").withColumn("range", F.spark_partition_id())
     dealt = written(dealt, "curves")
     counts = dealt.groupBy("curve", "range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("curve").orderBy("range")) - F.col("n")
     offsets = written(counts.select("curve", "range", before.alias("before")), "ranges")
-    place = F.row_number().over(Window.partitionBy("curve", "range").orderBy("key", "vec_id")) - 1
+    place = F.row_number().over(Window.partitionBy("curve", "range").orderBy("key", "tie", "vec_id")) - 1
     return dealt.withColumn("place", place).join(offsets, ["curve", "range"]).select("curve", "vec_id", (F.col("before") + F.col("place")).alias("rank"))
 
 
