@@ -30,7 +30,9 @@ from threadloom.session import folder, written
 
 ORDER = 5
 #: n-grams that a task merges at once, and those that it holds before it sends them on; entries in one file
-MERGED, HELD, FILE_ENTRIES = 3 << 18, 1 << 19, 4_000_000
+MERGED, HELD, FILE_ENTRIES = 5 << 17, 1 << 19, 4_000_000
+#: text bytes whose n-grams are made at a time: a task holds some 60 bytes for each
+COUNTED = 1 << 17
 #: log probability of a gram that no text had
 UNKNOWN = np.float32(np.log(1e-9))
 #: bounds on a discount for counts of 1, 2, and 3 or more, and where counts of counts don't tell one
@@ -117,7 +119,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         only("grams")
         total = Counter()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", COUNTED):
                 total.add(Grams(Texts(part.column("text")), part.column("lang")))
                 if total.size > HELD and len(total.parts) == 1:
                     yield from total.rows()
