@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 AFTER, BEFORE = 15 * 60, 6 * 3600
 
 
-def timed(edits: DataFrame, commits: DataFrame, after: int = AFTER, before: int = BEFORE) -> DataFrame:
+def timed(edits: DataFrame, commits: DataFrame, after: int = AFTER, before: int = BEFORE, by: tuple[str, ...] = ()) -> DataFrame:
     """(edit_id, commit_id, delta): edits from ``before`` seconds ahead of a commit to ``after`` behind it.
 
-    Both sides are cut into buckets of the window's width; an edit's commits lie in its own
+    Columns ``by`` of both sides, a repository or a file, must agree; they keep a busy hour of many repositories apart. Both sides are cut into buckets of the window's width; an edit's commits lie in its own
     bucket or the next one or the one before, so the range join is an equi-join.
     """
     width = max(after, before)
@@ -20,24 +20,27 @@ def timed(edits: DataFrame, commits: DataFrame, after: int = AFTER, before: int
     edit_bucket = F.floor(F.col("edit_ts") / width)
     spread = edits.withColumn("_bucket", F.explode(F.array(edit_bucket - 1, edit_bucket, edit_bucket + 1)))
     delta = F.col("commit_ts") - F.col("edit_ts")
-    both = spread.join(commits.withColumn("_bucket", bucket), "_bucket")
+    both = spread.join(commits.withColumn("_bucket", bucket), [*by, "_bucket"])
     return both.where((delta >= -after) & (delta <= before)).select("edit_id", "commit_id", delta.alias("delta"))
 
 
-def spanned(spans: DataFrame, commits: DataFrame, after: int = AFTER) -> DataFrame:
-    """(session_id, commit_id) of commits within a session's life and ``after`` seconds more; days make it an equi-join."""
+def spanned(spans: DataFrame, commits: DataFrame, after: int = AFTER, by: tuple[str, ...] = ()) -> DataFrame:
+    """(session_id, commit_id) of commits within a session's life and ``after`` seconds more, with the same ``by``; days make it an equi-join."""
     day = 86_400
     days = F.sequence(F.floor(F.col("created") / day), F.floor((F.col("updated") + after) / day))
     spread = spans.withColumn("_day", F.explode(days))
-    both = spread.join(commits.withColumn("_day", F.floor(F.col("commit_ts") / day)), "_day")
+    both = spread.join(commits.withColumn("_day", F.floor(F.col("commit_ts") / day)), [*by, "_day"])
     return both.where((F.col("commit_ts") >= F.col("created")) & (F.col("commit_ts") <= F.col("updated") + after)).select("session_id", "commit_id")
 
 
-def shared_prints(edits: DataFrame, commits: DataFrame) -> DataFrame:
-    """(edit_id, commit_id, matched): common fingerprints of each edit and commit that have any."""
-    a = edits.select("edit_id", F.explode(F.array_distinct("prints")).alias("print"))
-    b = commits.select("commit_id", F.explode(F.array_distinct("prints")).alias("print"))
-    return a.join(b, "print").groupBy("edit_id", "commit_id").agg(F.count("*").alias("matched"))
+def shared_prints(edits: DataFrame, commits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(edit_id, commit_id, matched): common fingerprints of each edit and commit that have any, within the same ``by``.
+
+    Without ``by`` a print that many files have (a lone brace) pairs all their edits and commits; a repository or file keeps them apart.
+    """
+    a = edits.select("edit_id", *by, F.explode(F.array_distinct("prints")).alias("print"))
+    b = commits.select("commit_id", *by, F.explode(F.array_distinct("prints")).alias("print"))
+    return a.join(b, [*by, "print"]).groupBy("edit_id", "commit_id").agg(F.count("*").alias("matched"))
 
 
 def best_matches(candidates: DataFrame, per_commit: int = 3) -> DataFrame:
