@@ -41,6 +41,7 @@ SECRETS = {
     "Authorization: Bearer sk-abcdefghij1234 a@b.com": "Authorization: [REDACTED:api_key]",
     "u:sk-abcdefghij1234@mail.example.com": "u:[REDACTED:api_key]@mail.example.com",
     "[REDACTED:email] password: [REDACTED:secret]": "[REDACTED:email] password: [REDACTED:secret]",
+    "\ufdd3~ \ufdd0\ufdd1": "\ufdd3~ \ufdd0\ufdd1",
     "\ufdd0 a@b.com \ufdd1\ufdd2 \ufdd3^ ~": "\ufdd0 [REDACTED:email] \ufdd1\ufdd2 \ufdd3^ ~",
 }
 

@@ -77,8 +77,11 @@ def candidates() -> list[tuple[str, str, str, str]]:
     ]
 
 
-#: literals of which a text needs one before a class is looked for; none: always
-LITERALS = {"private_key": ["PRIVATE KEY"], "assignment": ["=", ":"], "api_key": [], "jwt": ["eyJ"], "email": ["@"], "blob": []}
+#: what a text needs one of before a class is looked for, as it stands or in lower case; each is part of every match or of its hint
+LITERALS = {
+    "private_key": ["PRIVATE KEY"], "assignment": ["=", ":"], "api_key": ["AKIA", *dict.fromkeys(p[:3] for p, _, _ in PREFIXES)], "jwt": ["eyJ"], "email": ["@"], "blob": [],
+}
+LOWER_LITERALS = {"api_key": ["authorization", "bearer"], "blob": HINTS}
 
 
 def pattern(classes: list[str]) -> tuple[str, str]:
@@ -107,20 +110,23 @@ def marked(text: Column, classes: list[str] | None = None) -> Column:
     """``text`` with every redacted stretch between marks."""
     found = _classes(classes)
     expression, replacement = pattern(found)
-    literals = [s for c in found for s in LITERALS[c]]
+    plain = dict.fromkeys(s for c in found for s in LITERALS[c])
+    lower = dict.fromkeys(s for c in found for s in LOWER_LITERALS.get(c, []))
 
-    def search(x: Column) -> Column:
+    def search(held: Column) -> Column:
+        x = held["text"]
         own = x
         for mark, sign in _SIGNS:
             own = F.replace(own, F.lit(mark), F.lit(QUOTE + sign))
-        changed = F.regexp_replace(F.when(x.rlike(f"[{OPEN}-{QUOTE}]"), own).otherwise(x), expression, replacement)
-        if not all(LITERALS[c] for c in found):
-            return changed
+        base = F.when(x.rlike(f"[{OPEN}-{QUOTE}]"), own).otherwise(x)
+        changed = F.regexp_replace(base, expression, replacement)
         wanted = F.lit(False)
-        for literal in dict.fromkeys(literals):
-            wanted = wanted | F.contains(x, F.lit(literal))
-        return F.when(wanted, changed).otherwise(x)
+        for where, literals in (("text", plain), ("lower", lower)):
+            for literal in literals:
+                wanted = wanted | F.contains(held[where], F.lit(literal))
+        return F.when(wanted, changed).otherwise(base)
 
+    text = F.struct(text.alias("text"), (F.lower(text) if lower else F.lit(None).cast("string")).alias("lower"))
     return _once(text, search)
 
 
