@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from threadloom.sources.jsonl import BLOCK, MESSAGE_COLUMNS, USAGE, blocks, get, lines, numbered, stem, text_of
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, v): each whole file's parsed JSON."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+def documents(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(file, v): each whole file's parsed JSON; rows (file, value) may stand in place of a path."""
+    whole = path if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = whole.select("file", F.try_parse_json("value").alias("v"))
     return files.where("v IS NOT NULL")
 
 

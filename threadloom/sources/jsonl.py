@@ -16,11 +16,14 @@ BLOCK = "struct<type:string,text:string,id:string,name:string,input:string,tool_
 USAGE = "struct<response_id:string,input:bigint,output:bigint,cache_read:bigint,cache_creation:bigint>"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, at, value, v): each line, where it stands and its parsed value (null if it isn't a JSON object)."""
-    raw = spark.read.text(path).select(
+def lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """(file, block, at, value, v): each line, where it stands and its parsed value (null if it isn't a JSON object).
+
+    In place of a path, lines that are rows already (file, block, at, value) may be given.
+    """
+    raw = path if isinstance(path, DataFrame) else spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
-    )
+    )
     v = F.try_parse_json("value")
     return raw.where(F.trim("value") != "").withColumn("v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
@@ -126,9 +129,10 @@ def read_codex(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("origin", origin))
 
 
-def read_opensession(spark: SparkSession, path: str) -> DataFrame:
+def read_opensession(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Interchange documents, one JSON document a file."""
-    files = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    whole = path if isinstance(path, DataFrame) else spark.read.text(path, wholetext=True)
+    files = whole.select(F.try_parse_json("value").alias("v"))
     v, m = F.col("v"), F.col("m")
     turns = files.select(get(v, "$.id").alias("session_id"), F.posexplode(get(v, "$.messages", "array<variant>")).alias("msg_idx", "m"))
     names = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
