@@ -64,11 +64,14 @@ def within_budget(messages: DataFrame, size, budget: int, newest: bool = False)
     return held.where((F.col("_sum") <= budget) | (F.col("_at") == 1)).drop("_sum", "_at")
 
 
-#: flags by the event kinds or tool affordances that set them
+#: flags by the event kinds, affordances or message kinds that set them
 FLAGS = {
     "errors": ["error"], "edits": ["file_edit"], "reads": ["file_read"], "commands": ["command"], "searches": ["search"], "subagents": ["subagent_spawn"],
     "messages": ["agent_message"], "background": ["background", "background_job"], "plan": ["plan"], "skills": ["skill"], "questions": ["question"],
     "schedules": ["schedule"], "compactions": ["compaction_boundary", "compaction_summary"], "images": ["image"], "workflows": ["workflow"],
+    "compacted": ["compaction_boundary", "compaction_summary"], "goal": ["goal"], "schedule": ["schedule"], "background_job": ["background_job"],
+    "subagent_spawn": ["subagent_spawn"], "subagent_return": ["subagent_return"], "skill": ["skill"], "hook": ["hook"], "question": ["question"], "approval": ["approval"],
+    "checkpoint": ["checkpoint"], "branch": ["branch"], "fork": ["fork"], "model_change": ["model_change"],
 }
 
 

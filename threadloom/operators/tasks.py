@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.ids import actor
+
 # States, and event tags that are read but change nothing.
 OPEN, CLAIMED, DONE, ABANDONED, SUPERSEDED, RESOLVED = "open", "claimed", "done", "abandoned", "superseded", "resolved"
 TERMINAL = {DONE, ABANDONED, SUPERSEDED, RESOLVED}
@@ -135,3 +137,74 @@ def listed(tasks: DataFrame, states: list[str] | None = None, assignee: str | No
     if since is not None:
         test = test & since
     return tasks.where(F.coalesce(test, F.lit(False)))
+
+
+#: why a task is in an inbox, the most urgent first
+REASONS = ("decision_owed", "discussing", "provisional", "assigned_open", "claimed")
+DISCUSS = "discuss"
+
+
+def _waiting() -> tuple[Column, Column]:
+    """(whether a provisional choice awaits its veto, whether the task is closed for good) of a task."""
+    veto = F.coalesce((F.col("state") == RESOLVED) & F.col("provisional"), F.lit(False))
+    return veto, F.col("state").isin(*sorted(TERMINAL)) & ~veto
+
+
+def inbox_reason() -> Column:
+    """struct(reason, since) of a task for its assignee: one of ``REASONS`` and when the wait began; null if nothing is owed."""
+    state = F.col("state")
+    veto, _ = _waiting()
+    live = ~state.isin(*sorted(TERMINAL))
+    decision = live & (F.coalesce(F.size("options"), F.lit(0)) > 0)
+    parked = F.coalesce(F.array_contains("tags", DISCUSS), F.lit(False))
+
+    def owed(reason: str, since: str) -> Column:
+        return F.struct(F.lit(reason).alias("reason"), F.coalesce(F.col(since), F.col("last_ts")).alias("since"))
+
+    return (
+        F.when(veto, owed("provisional", "resolved_at")).when(decision & parked, owed("discussing", "last_ts")).when(decision, owed("decision_owed", "posed_at"))
+        .when(state == OPEN, owed("assigned_open", "last_ts")).when(state == CLAIMED, owed("claimed", "last_ts"))
+    )
+
+
+def inboxes(tasks: DataFrame, since: Column | None = None, caller: str | None = None, unread_only: bool = False) -> DataFrame:
+    """What each assignee has before them: (who, task_id, section, reason, since, unread, title) of tasks
+    (task_id, title, state, assignee, tags, options, provisional, last_by, last_ts, posed_at, resolved_at).
+
+    ``section`` is open, hidden (older than ``since`` and not the caller's affair) or closed; ``web:x`` and ``x`` are one actor. A task is unread if
+    another wrote its last event. All inboxes come from one pass without a shuffle; sort open ones by ``since``, closed ones by it in reverse.
+    """
+    who = actor(F.col("assignee"))
+    _, closed = _waiting()
+    owed = F.when(~closed, inbox_reason())
+    by = F.coalesce(actor(F.col("last_by")), F.lit(""))
+    concerns = F.coalesce((who == caller) | (by == caller), F.lit(False)) if caller is not None else F.lit(False)
+    current = F.coalesce(F.col("last_ts") >= since, F.lit(False)) | concerns if since is not None else F.lit(True)
+    section = F.when(closed & current, "closed").when(owed.isNotNull() & current, "open").when(owed.isNotNull(), "hidden")
+    found = tasks.where("assignee IS NOT NULL").select(who.alias("who"), "task_id", "title", section.alias("section"), owed["reason"].alias("reason"), F.coalesce(owed["since"], F.col("last_ts")).alias("since"), (by != who).alias("unread"))
+    kept = F.col("section").isNotNull()
+    return found.where(kept & ((F.col("section") != "open") | F.col("unread")) if unread_only else kept)
+
+
+def inbox_counts(items: DataFrame) -> DataFrame:
+    """(who, a column for each of ``REASONS``, unread, closed, hidden, oldest) of ``inboxes``; only open items count for reasons and unread."""
+    open_ = F.col("section") == "open"
+    return items.groupBy("who").agg(
+        *[F.count_if(open_ & F.coalesce(F.col("reason") == r, F.lit(False))).alias(r) for r in REASONS], F.count_if(open_ & F.col("unread")).alias("unread"),
+        F.count_if(F.col("section") == "closed").alias("closed"), F.count_if(F.col("section") == "hidden").alias("hidden"), F.min(F.when(open_, F.col("since"))).alias("oldest"),
+    )
+
+
+def inbox_page(items: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` items of each section of each inbox, with their ``place``: open and hidden ones the longest waiting first, closed ones the newest first; ties by id.
+
+    Each task's own candidates are cut to ``n`` before one order is made, so an inbox that holds a third of all tasks isn't sorted in one task.
+    """
+    from pyspark.sql import Window
+
+    at = F.unix_micros(F.col("since").cast("timestamp"))
+    held = items.withColumn("_key", F.when(F.col("section") == "closed", -at).otherwise(at)).withColumn("_part", F.pmod(F.xxhash64("task_id"), F.lit(64)))
+    order = [F.col("_key").asc_nulls_last(), "task_id"]
+    first = F.row_number().over(Window.partitionBy("who", "section", "_part").orderBy(*order))
+    cut = held.withColumn("_at", first).where(F.col("_at") <= n)
+    return cut.withColumn("place", F.row_number().over(Window.partitionBy("who", "section").orderBy(*order))).where(F.col("place") <= n).drop("_key", "_part", "_at")

@@ -19,10 +19,34 @@ PATCH_HEADER = r"(?m)^\*\*\* (?:Update File|Add File|Delete File|Move to): *(.+?
 
 # Affordances by tool name, (kind, action).
 AFFORDANCES = {
-    ("plan", "write"): ["TodoWrite", "todo_write", "todowrite", "write_todos", "SetTodoList", "update_plan"], ("plan", "read"): ["TodoRead", "todo_read", "todoread"],
-    ("background_job", "read"): ["BashOutput", "TaskOutput"], ("background_job", "stop"): ["KillShell", "KillBash", "TaskStop"],
-    ("subagent_spawn", "spawn"): ["Task", "Agent", "spawn_agent"], ("skill", "load"): ["Skill"], ("question", "ask"): ["AskUserQuestion", "ask_followup_question"],
-    ("schedule", "create"): ["CronCreate", "ScheduleWakeup"],
+    ("plan", "write"): ["TodoWrite", "todo_write", "todowrite", "write_todos", "todo__todo_write", "SetTodoList", "TodoList", "update_plan", "Checklist", "update_todo_list"],
+    ("plan", "read"): ["TodoRead", "todo_read", "todoread", "TaskList", "TaskGet", "tracker_list_tasks", "tracker_get_task", "tracker_visualize"],
+    ("plan", "create"): ["TaskCreate", "tracker_create_task"], ("plan", "update"): ["TaskUpdate", "tracker_update_task"],
+    ("plan", "enter"): ["EnterPlanMode", "enter_plan_mode"], ("plan", "exit"): ["ExitPlanMode", "exit_plan_mode"],
+    ("goal", "create"): ["CreateGoal", "create_goal"], ("goal", "update"): ["UpdateGoal", "update_goal", "SetGoalBudget"], ("goal", "read"): ["GetGoal", "get_goal"],
+    ("schedule", "create"): ["CronCreate", "cron_create", "scheduler_create", "ScheduleWakeup", "loop_wakeup"],
+    ("schedule", "delete"): ["CronDelete", "cron_delete", "scheduler_delete"], ("schedule", "list"): ["CronList", "cron_list", "scheduler_list"],
+    ("background_job", "start"): ["Monitor", "monitor"], ("background_job", "stop"): ["KillShell", "KillBash", "TaskStop", "kill_command_or_subagent"],
+    ("background_job", "read"): ["BashOutput", "TaskOutput", "get_command_or_subagent_output", "WaitFor", "CheckBackgroundJob", "command_status", "write_stdin"],
+    ("subagent_spawn", "spawn"): ["Task", "Agent", "spawn_agent"], ("skill", "load"): ["Skill", "activate_skill", "load_skill", "Skills"], ("skill", "manage"): ["skill_manage"],
+    ("question", "ask"): ["AskUserQuestion", "ask_user", "ask_user_question", "ask_followup_question", "ask_question", "AskQuestion", "request_user_input", "request_user_input_async"],
+}
+
+# Names that some agents use in a sense of their own.
+OWN_AFFORDANCES = {
+    "hermes": {("plan", "write"): ["todo"], ("plan", "read"): ["todo_list"], ("question", "ask"): ["clarify"]},
+    "qwen": {("plan", "create"): ["task_create"], ("plan", "update"): ["task_update"], ("plan", "read"): ["task_list", "task_get"], ("skill", "load"): ["skill"]},
+    "kimi": {("background_job", "read"): ["TaskList"], None: ["TaskGet"]},
+    "opencode": {("skill", "load"): ["skill"], ("question", "ask"): ["question"]},
+    "roo": {("skill", "load"): ["skill"]},
+    "antigravity": {("approval", "ask"): ["ask_permission"], ("schedule", "create"): ["schedule"]},
+}
+
+# Tools that start a background job if an input flag says so, and message kinds that are affordances by themselves.
+BACKGROUND_FLAGS = {"Bash": ["run_in_background"], "run_terminal_command": ["background", "is_background"], "run_shell_command": ["is_background"]}
+KIND_AFFORDANCES = {
+    "compaction_boundary": "compaction_boundary", "compaction_summary": "compaction_summary", "model_change": "model_change", "branch": "branch",
+    "subagent_spawn": "subagent_spawn", "subagent_return": "subagent_return",
 }
 
 
@@ -71,15 +95,44 @@ def event_rows(calls: DataFrame) -> DataFrame:
     return rows.unionByName(errors)
 
 
-def affordance(name: Column) -> Column:
-    """struct(kind, action) of a tool name, or null."""
+def affordance(name: Column, input_: Column | None = None, harness: Column | None = None) -> Column:
+    """struct(kind, action) of a tool call, or null; an agent's own sense of a name comes first, then flags of the input, then the common names."""
     bare = F.element_at(F.split(name, ":"), -1)
-    out = F.lit(None).cast("struct<kind:string,action:string>")
+    nothing = F.lit(None).cast("struct<kind:string,action:string>")
+
+    def struct(kind: str, action: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(action).alias("action"))
+
+    out = F.when(F.startswith(bare, F.lit("tracker_")), struct("plan", "update")).otherwise(nothing)
     for (kind, action), names in AFFORDANCES.items():
-        out = F.when(bare.isin(names), F.struct(F.lit(kind).alias("kind"), F.lit(action).alias("action"))).otherwise(out)
+        out = F.when(bare.isin(names), struct(kind, action)).otherwise(out)
+    if input_ is not None:
+        for tool, flags in BACKGROUND_FLAGS.items():
+            set_ = F.coalesce(*[F.when(F.get_json_object(input_, f"$.{f}") == "true", True) for f in flags], F.lit(False))
+            out = F.when((bare == tool) & set_, struct("background_job", "start")).otherwise(out)
+    if harness is not None:
+        for who, table in OWN_AFFORDANCES.items():
+            for key, names in table.items():
+                out = F.when((harness == who) & bare.isin(names), struct(*key) if key else nothing).otherwise(out)
     return out
 
 
+def affordances(messages: DataFrame) -> DataFrame:
+    """(session_id, msg_idx, kind, action) of ``messages`` (session_id, msg_idx, kind, content, and harness if known): by tool calls and by message kinds."""
+    harness = F.col("harness") if "harness" in messages.columns else None
+    calls = messages.withColumn("b", F.explode("content")).where("b.type = 'tool_use'").withColumn("a", affordance(F.col("b.name"), F.col("b.input"), harness))
+    named = calls.where("a IS NOT NULL").select("session_id", "msg_idx", F.col("a.kind").alias("kind"), F.col("a.action").alias("action"))
+    kinds = F.create_map(*[F.lit(x) for kv in KIND_AFFORDANCES.items() for x in kv])
+    marked = messages.withColumn("_kind", F.try_element_at(kinds, F.col("kind"))).where("_kind IS NOT NULL").select("session_id", "msg_idx", F.col("_kind").alias("kind"), F.lit("record").alias("action"))
+    images = messages.where(F.exists("content", lambda b: b["type"] == "image")).select("session_id", "msg_idx", F.lit("image").alias("kind"), F.lit("hold").alias("action"))
+    return named.unionByName(marked).unionByName(images)
+
+
+def affordance_counts(rows: DataFrame, by: str, kind: str, kinds: list[str]) -> DataFrame:
+    """(by, a column for each of ``kinds``): rows of each kind; the kinds are given, so no job looks for them."""
+    return rows.groupBy(by).agg(*[F.count_if(F.col(kind) == k).alias(k) for k in kinds])
+
+
 def names_commit(output: Column, sha: Column) -> Column:
     """Whether an output holds a commit id as a whole token of seven digits or more, either one a prefix of the other."""
     tokens = F.regexp_extract_all(F.lower(output), F.lit(r"(?<![0-9a-z])([0-9a-f]{7,64})(?![0-9a-z])"), 1)
