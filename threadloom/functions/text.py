@@ -74,3 +74,29 @@ def clean_path(path: Column, cwd: Column | str = "/") -> Column:
     none = F.array().cast("array<string>")
     kept = F.aggregate(parts, none, lambda out, p: F.when(p != "..", F.concat(out, F.array(p))).when(F.size(out) > 0, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out))
     return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def age_short(seconds: Column) -> Column:
+    """An age in its largest whole unit: now, minutes, hours or days."""
+    whole = lambda n, unit: F.concat(F.floor(seconds / n).cast("string"), F.lit(unit))
+    return F.when(seconds < 60, "now").when(seconds < 3600, whole(60, "m")).when(seconds < 86400, whole(3600, "h")).otherwise(whole(86400, "d"))
+
+
+def deadline_phrase(deadline: Column, now: Column) -> Column:
+    """How a deadline reads: its day, and how far off or overdue it is."""
+    left = F.unix_seconds(deadline) - F.unix_seconds(now)
+    day = F.date_format(deadline, "MM-dd")
+    return F.when(left >= 0, F.concat(F.lit("by "), day, F.lit(" (in "), age_short(left), F.lit(")"))).otherwise(F.concat(F.lit("by "), day, F.lit(" (OVERDUE "), age_short(-left), F.lit(")")))
+
+
+def json_at(text: Column, path: str, kind: str = "string") -> Column:
+    """The value at a path of a JSON text, null where the text isn't JSON or the value isn't of that kind."""
+    return F.try_variant_get(F.try_parse_json(text), path, kind)
+
+
+def holds_words(text: Column, words: list[str]) -> Column:
+    """Whether a text holds all words of letters and digits, wherever they stand."""
+    found = F.lit(True)
+    for w in words:
+        found = found & F.lower(text).rlike(f"(?<![a-z0-9]){w.lower()}(?![a-z0-9])")
+    return found

@@ -115,3 +115,42 @@ def compactions(rows: DataFrame) -> DataFrame:
         F.count_if(kind == "compaction_boundary").alias("boundaries"), F.count_if(kind == "compaction_summary").alias("summaries"),
         F.max(F.when(kind.isin("compaction_boundary", "compaction_summary"), F.col("msg_idx"))).alias("last"),
     )
+
+
+def tool_users(events: DataFrame, by: str = "tool", who: str = "session_id") -> DataFrame:
+    """(by, agents, used, first, last): how many sessions use each tool, how often, and from when to when.
+
+    Pairs are counted first, so a tool that all sessions use shuffles a row a session and task, not a row a call.
+    """
+    pairs = events.groupBy(by, who).agg(F.count("*").alias("used"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return pairs.groupBy(by).agg(F.count(who).alias("agents"), F.sum("used").cast("long").alias("used"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def lowered_values(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, values): the different lower-case values of each group in order; nulls don't count."""
+    once = rows.select(by, F.lower(value).alias("_value")).distinct()
+    return once.groupBy(by).agg(F.array_sort(F.collect_list("_value")).alias("values"))
+
+
+def file_totals(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """(target, edits, n_reads) over all sessions, the most used first, ties by name."""
+    kind = F.col("kind")
+    files = events.groupBy("target").agg(F.count_if(kind == "file_edit").alias("edits"), F.count_if(kind == "file_read").alias("n_reads"))
+    ordered = files.orderBy((F.col("edits") + F.col("n_reads")).desc(), "target")
+    return ordered.limit(limit) if limit is not None else ordered
+
+
+def projects(rows: DataFrame, by: str, member: str, when: str, tests: dict[str, Column]) -> DataFrame:
+    """(by, n, a column for each of ``tests``, first, last): different members of each group, rows that pass each test, first and last instant.
+
+    Members are counted from rows summed by member, so a project that holds a third of all rows isn't one task's work.
+    """
+    own = rows.groupBy(by, member).agg(*[F.count_if(test).alias(name) for name, test in tests.items()], F.min(when).alias("first"), F.max(when).alias("last"))
+    return own.groupBy(by).agg(F.count(member).alias("n"), *[F.sum(name).cast("long").alias(name) for name in tests], F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def tallied(rows: DataFrame, distinct: dict[str, str], sums: dict[str, Column], greatest: dict[str, str]) -> DataFrame:
+    """One row for many consumers of one pass: n_rows, different values, sums and greatest values, each by its name."""
+    return rows.agg(
+        F.count("*").alias("n_rows"), *[F.countDistinct(c).alias(n) for n, c in distinct.items()], *[F.sum(c).cast("long").alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in greatest.items()],
+    )

@@ -70,9 +70,9 @@ def batch(docs: DataFrame, queries: DataFrame) -> DataFrame:
     df = held.select(F.explode("words").alias("word")).join(terms_asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     # a word that no document has leaves its query without a hit
     rarest = asked.join(df, "word", "left").groupBy("item_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
-    keyed = wanted.join(rarest, "item_id")
-    found = held.select("doc_id", "words", F.explode("words").alias("word")).join(rarest.select("word").distinct(), "word", "left_semi")
-    return found.join(keyed, "word").where(F.size(F.array_except("wanted", "words")) == 0).select("item_id", "doc_id")
+    # words meet queries as single words; a document's array joins once for each of its candidates, not for each of its words
+    pairs = held.select("doc_id", F.explode("words").alias("word")).join(rarest, "word").select("item_id", "doc_id")
+    return pairs.join(held, "doc_id").join(wanted, "item_id").where(F.size(F.array_except("wanted", "words")) == 0).select("item_id", "doc_id")
 
 
 def best_of_session(hits: DataFrame, limit: int) -> DataFrame:

@@ -115,3 +115,35 @@ def newest_within(rows: DataFrame, when: str, size: str, budget: int) -> DataFra
     order = Window.partitionBy("_day").orderBy(F.col(when).desc_nulls_last(), "id")
     cut = last.withColumn("_at", F.col("_before") + F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_at") <= budget)
     return whole.select(*rows.columns).unionByName(cut.select(*rows.columns))
+
+
+def using(events: DataFrame, tool: Column, by: str = "session_id") -> DataFrame:
+    """(by) of the sessions with an event that passes the test."""
+    return events.where(F.coalesce(tool, F.lit(False))).select(by).distinct()
+
+
+def having(rows: DataFrame, facts: DataFrame, on: Column) -> DataFrame:
+    """``rows`` with at least one of ``facts``: membership, each row once."""
+    return rows.join(facts, on, "left_semi")
+
+
+def overview(messages: DataFrame, first: int, last: int) -> DataFrame:
+    """(session_id, msg_idx, omitted): the first and last rows of each session, and how many lie between.
+
+    Sessions are numbered from 0 without gaps, so their size is one row each and no window holds a long one.
+    """
+    sizes = messages.groupBy("session_id").agg(F.count("*").alias("_n"))
+    at = F.col("msg_idx")
+    kept = messages.join(sizes, "session_id").where((at < first) | (at >= F.col("_n") - last))
+    return kept.select("session_id", "msg_idx", F.greatest(F.col("_n") - first - last, F.lit(0)).alias("omitted"))
+
+
+def timeline(events: DataFrame, when: str, ties: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` events by time, then by ``ties``; those without a time come last."""
+    return events.orderBy(F.col(when).asc_nulls_last(), *ties).limit(limit)
+
+
+def top_of(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first ``limit`` rows in ``order`` with ``total``, how many there are."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).limit(limit).join(F.broadcast(total))

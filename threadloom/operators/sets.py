@@ -87,3 +87,25 @@ def answered(calls: DataFrame, results: DataFrame, on: list[str]) -> DataFrame:
 
 def unanswered(calls: DataFrame, results: DataFrame, on: list[str]) -> DataFrame:
     return calls.join(results.select(*on), on, "left_anti")
+
+
+def united(*tables: DataFrame) -> DataFrame:
+    """The different rows of all tables."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other)
+    return out.distinct()
+
+
+def different(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The different values of ``columns``; the shuffle spills, so memory doesn't bound it."""
+    return rows.select(*columns).distinct()
+
+
+def denormalized(facts: DataFrame, required: list[tuple[DataFrame, Column]], optional: list[tuple[DataFrame, Column]]) -> DataFrame:
+    """``facts`` with the tables that each row needs, then with those that it may lack."""
+    for table, on in required:
+        facts = facts.join(table, on)
+    for table, on in optional:
+        facts = facts.join(table, on, "left")
+    return facts

@@ -208,3 +208,13 @@ def inbox_page(items: DataFrame, n: int) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("who", "section", "_part").orderBy(*order))
     cut = held.withColumn("_at", first).where(F.col("_at") <= n)
     return cut.withColumn("place", F.row_number().over(Window.partitionBy("who", "section").orderBy(*order))).where(F.col("place") <= n).drop("_key", "_part", "_at")
+
+
+def selected_events(events: DataFrame, after: Column, kinds: list[str] | None = None, by: Column | None = None) -> DataFrame:
+    """Events behind an exclusive cursor (``after``, a test), of some kinds, by or not by some actors (``by``, a test); a test that is null fails."""
+    test = F.coalesce(after, F.lit(False))
+    if kinds is not None:
+        test = test & F.coalesce(F.col("event").isin(kinds), F.lit(False))
+    if by is not None:
+        test = test & F.coalesce(by, F.lit(False))
+    return events.where(test)

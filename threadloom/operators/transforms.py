@@ -23,10 +23,21 @@ def dataset(messages: DataFrame, fmt: str = "chatml") -> DataFrame:
 
 
 def open_calls(messages: DataFrame) -> DataFrame:
-    """``messages`` (session_id, msg_idx, calls and results: arrays of call ids, ...) with ``pending``, the calls up to each message without a result so far."""
-    upto = Window.partitionBy("session_id").orderBy("msg_idx")
-    called, answered = (F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))).over(upto)) for c in ("calls", "results"))
-    return messages.withColumn("pending", F.array_except(called, answered))
+    """``messages`` (session_id, msg_idx, calls and results: arrays of call ids, ...) with ``pending``, the calls up to each message without a result so far.
+
+    A call is open from its message to the one before its first result, so each is a range of places, and all
+    ranges together are as long as the arrays that come out. Calls stand in the order in which they were made.
+    """
+    places = lambda c: messages.select("session_id", "msg_idx", F.posexplode(c).alias("_at", "call"))
+    made = places("calls").groupBy("session_id", "call").agg(F.min(F.struct("msg_idx", "_at")).alias("_made"))
+    closed = places("results").groupBy("session_id", "call").agg(F.min("msg_idx").alias("_closed"))
+    ends = messages.groupBy("session_id").agg((F.max("msg_idx") + 1).alias("_end"))
+    ranges = made.join(closed, ["session_id", "call"], "left").join(ends, "session_id")
+    start, stop = F.col("_made.msg_idx"), F.coalesce("_closed", "_end") - 1
+    spread = ranges.where(start <= stop).select("session_id", "call", "_made", F.explode(F.sequence(start, stop)).alias("msg_idx"))
+    lists = spread.groupBy("session_id", "msg_idx").agg(F.sort_array(F.collect_list(F.struct("_made", "call"))).alias("_open"))
+    none = F.array().cast("array<string>")
+    return messages.join(lists, ["session_id", "msg_idx"], "left").withColumn("pending", F.coalesce(F.transform("_open", lambda x: x["call"]), none)).drop("_open")
 
 
 def clean_outcomes(messages: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import aggregates as A
+from threadloom.operators import context as C
+from threadloom.operators import lanes as L
 from threadloom.operators import sessions as S
 from threadloom.operators import sets as Z
+from threadloom.operators import tools as U
 from threadloom.operators import windows as O
 from threadloom.plans.catalog import MESSAGES, SESSIONS, catalog
 from threadloom.plans.registry import query
@@ -65,7 +68,7 @@ def a07_tool_histogram(t):
 
 @query(f"""WITH {EVENTS} SELECT tool, count(DISTINCT session_id) AS agents, count(*) AS used, min(ts) AS first, max(ts) AS last FROM ev GROUP BY tool""")
 def a09_agents_using(t):
-    return events(t).groupBy("tool").agg(F.countDistinct("session_id").alias("agents"), F.count("*").alias("used"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return A.tool_users(events(t))
 
 
 @query(f"""WITH {EVENTS} SELECT session_id, target, count(*) FILTER (kind = 'file_edit') AS edits, count(*) FILTER (kind = 'file_read') AS reads, max(ts) AS last
@@ -77,15 +80,16 @@ def a11_touched(t):
 @query(f"WITH {MESSAGES} SELECT role, CAST(sum(CAST(ceil(length(text) / 2.5::DOUBLE) AS BIGINT) + 12) AS BIGINT) AS tokens, count(*) AS blocks FROM messages GROUP BY role")
 def a13_context_by_role(t):
     tokens = F.ceil(F.char_length("text") / 2.5) + 12
-    return messages_from_conversations(t.conversations).groupBy("role").agg(F.sum(tokens).cast("long").alias("tokens"), F.count("*").alias("blocks"))
+    found = C.profile(messages_from_conversations(t.conversations).withColumn("tokens", tokens), ["role"], "tokens")
+    return found.select(F.col("name").alias("role"), "tokens", F.col("messages").alias("blocks"))
 
 
 @query(f"""WITH {EVENTS}, b AS (SELECT *, max(CASE WHEN kind = 'error' THEN msg_idx END) OVER (PARTITION BY session_id) AS cut FROM ev)
 SELECT session_id, count(*) AS n_rows, round(max(value), 4) AS peak, round(arg_min(value, msg_idx), 4) AS first, round(arg_max(value, msg_idx), 4) AS current
 FROM b WHERE cut IS NULL OR msg_idx > cut GROUP BY session_id""")
 def a14_active_window(t):
-    cut = F.max(F.when(F.col("kind") == "error", F.col("msg_idx"))).over(Window.partitionBy("session_id"))
-    live = events(t).withColumn("cut", cut).where("cut IS NULL OR msg_idx > cut")
+    kind = F.when(F.col("kind") == "error", "compaction_boundary").otherwise(F.col("kind"))
+    live = C.active_window(events(t).select("session_id", "msg_idx", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("parent_id"), kind.alias("kind"), "value"))
     return live.groupBy("session_id").agg(
         F.count("*").alias("n_rows"), F.round(F.max("value"), 4).alias("peak"), F.round(F.min_by("value", "msg_idx"), 4).alias("first"),
         F.round(F.max_by("value", "msg_idx"), 4).alias("current"),
@@ -100,34 +104,26 @@ def a14_median(t):
 @query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase,
   count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id""")
 def a16_affordance_counts(t):
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    return t.events.groupBy("user_id").pivot("event_type", kinds).count().na.fill(0, kinds)
+    return U.affordance_counts(t.events, "user_id", "event_type", ["click", "error", "purchase", "signup", "view"])
 
 
 @query("SELECT o_custkey, string_agg(DISTINCT lower(o_orderpriority), ',' ORDER BY lower(o_orderpriority)) AS models FROM orders GROUP BY o_custkey")
 def a17_models(t):
-    return t.orders.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.lower("o_orderpriority"))), ",").alias("models"))
+    return A.lowered_values(t.orders, "o_custkey", "o_orderpriority").select("o_custkey", F.array_join("values", ",").alias("models"))
 
 
 @query(f"""WITH {EVENTS}, l AS (SELECT session_id, min(ts) AS started, max(ts) AS last_turn, arg_max(tool, msg_idx) AS last_tool, count(*) FILTER (call) AS tool_calls, arg_max(kind, msg_idx) AS last_kind FROM ev GROUP BY session_id)
 SELECT session_id, started, last_turn, last_tool, tool_calls, CASE WHEN last_kind = 'error' THEN 'stranded' WHEN last_turn <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND THEN 'returned' ELSE 'running' END AS status FROM l""")
 def a18_a19_lanes(t):
-    e = events(t)
-    now = e.agg(F.max("ts").alias("now"))
-    lanes = e.groupBy("session_id").agg(
-        F.min("ts").alias("started"), F.max("ts").alias("last_turn"), F.max_by("tool", "msg_idx").alias("last_tool"),
-        F.count_if("call").alias("tool_calls"), F.max_by("kind", "msg_idx").alias("last_kind"),
-    )
-    quiet = F.col("last_turn") <= F.col("now") - F.expr("INTERVAL 600 SECOND")
-    status = F.when(F.col("last_kind") == "error", "stranded").when(quiet, "returned").otherwise("running")
-    return lanes.join(F.broadcast(now)).select("session_id", "started", "last_turn", "last_tool", "tool_calls", status.alias("status"))
+    facts = L.lane_facts(events(t))
+    silent = Z.quiet(facts, "session_id", "last_turn", 600).select("session_id", F.lit(True).alias("quiet"))
+    status = F.when(F.col("last_kind") == "error", "stranded").when(F.col("quiet"), "returned").otherwise("running")
+    return facts.join(silent, "session_id", "left").select("session_id", "started", "last_turn", "last_tool", "tool_calls", status.alias("status"))
 
 
 @query(f"""WITH {EVENTS} SELECT target, edits, n_reads FROM (SELECT target, count(*) FILTER (kind = 'file_edit') AS edits, count(*) FILTER (kind = 'file_read') AS n_reads FROM ev GROUP BY target) ORDER BY edits + n_reads DESC, target LIMIT 12""")
 def a21_files(t):
-    kind = F.col("kind")
-    files = events(t).groupBy("target").agg(F.count_if(kind == "file_edit").alias("edits"), F.count_if(kind == "file_read").alias("n_reads"))
-    return files.orderBy((F.col("edits") + F.col("n_reads")).desc(), "target").limit(12)
+    return A.file_totals(events(t), 12)
 
 
 @query("""WITH held AS (SELECT l_suppkey, l_linenumber + 7 * (l_orderkey % 5) AS seq FROM lineitem), once AS (SELECT DISTINCT * FROM held),
@@ -146,22 +142,18 @@ def a25_heatmap(t):
 @query("""SELECT c_mktsegment, count(DISTINCT c_custkey) AS n, count(*) FILTER (o_orderstatus = 'O') AS open, min(o_orderdate) AS first, max(o_orderdate) AS last FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment""")
 def a26_projects(t):
     both = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"))
-    return both.groupBy("c_mktsegment").agg(
-        F.countDistinct("c_custkey").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")
-    )
+    return A.projects(both, "c_mktsegment", "c_custkey", "o_orderdate", {"open": F.col("o_orderstatus") == "O"})
 
 
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
 def a27_distinct(t):
-    return t.lineitem.select("l_partkey", "l_suppkey").distinct()
+    return Z.different(t.lineitem, ["l_partkey", "l_suppkey"])
 
 
 @query(f"""WITH {EVENTS}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY msg_idx DESC) AS back, count(*) OVER (PARTITION BY session_id) AS n FROM ev)
 SELECT session_id, msg_idx, greatest(n - 4, 0) AS omitted FROM b WHERE msg_idx < 1 OR back <= 3""")
 def a28_overview(t):
-    w = Window.partitionBy("session_id")
-    b = events(t).withColumn("back", F.row_number().over(w.orderBy(F.col("msg_idx").desc()))).withColumn("n", F.count("*").over(w))
-    return b.where("msg_idx < 1 OR back <= 3").select("session_id", "msg_idx", F.greatest(F.col("n") - 4, F.lit(0)).alias("omitted"))
+    return S.overview(events(t), 1, 3)
 
 
 @query(f"WITH {EVENTS} SELECT event_id, session_id, msg_idx FROM ev")
@@ -248,7 +240,7 @@ def u04_title_duplicates(t):
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
 def u05_union(t):
-    return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
+    return Z.united(t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0) AND c_nationkey <> 3")

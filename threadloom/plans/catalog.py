@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import predicates as P
 from threadloom.functions import text as X
 from threadloom.functions import tokens as K
+from threadloom.operators import aggregates as A
 from threadloom.operators import sessions as S
 from threadloom.plans.registry import query
 from threadloom.sources.conversations import messages_from_conversations
@@ -52,7 +53,7 @@ def s33_range(t):
 @query(f"WITH {MESSAGES} SELECT count(*) AS n_rows, count(DISTINCT session_id) AS n_sessions, CAST(sum(length(text)) AS BIGINT) AS n_chars, max(msg_idx) AS last_idx FROM messages")
 def s34_tee(t):
     m = messages_from_conversations(t.conversations)
-    return m.agg(F.count("*").alias("n_rows"), F.countDistinct("session_id").alias("n_sessions"), F.sum(F.char_length("text")).cast("long").alias("n_chars"), F.max("msg_idx").alias("last_idx"))
+    return A.tallied(m, {"n_sessions": "session_id"}, {"n_chars": F.char_length("text")}, {"last_idx": "msg_idx"})
 
 
 @query(f"WITH {SESSIONS} SELECT * FROM titled WHERE session_id = '17'")
@@ -81,7 +82,7 @@ def s37_census(t):
 
 @query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error')")
 def f01_harness(t):
-    return t.events.where(F.col("event_type").isin("click", "error")).select("event_id", "event_type")
+    return t.events.where(P.any_of(F.col("event_type"), ["click", "error"], P.equals)).select("event_id", "event_type")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE NOT coalesce(contains(lower(p_name), '1'), false)")
@@ -112,14 +113,12 @@ def f08_updated(t):
 
 @query("SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), 'the') AND list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), 'and')")
 def f10_text(t):
-    words = F.split(F.lower("text"), "[^a-z0-9]+")
-    return t.documents.where(F.array_contains(words, "the") & F.array_contains(words, "and")).select("doc_id")
+    return t.documents.where(X.holds_words(F.col("text"), ["the", "and"])).select("doc_id")
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'")
 def f11_tool(t):
-    users = t.events.select("user_id").distinct()
-    return users.join(t.events.where("event_type = 'purchase'"), "user_id", "left_semi")
+    return S.using(t.events, F.col("event_type") == "purchase", "user_id")
 
 
 @query("""SELECT user_id, bool_or(event_type = 'error') AS has_errors, bool_or(event_type <> 'error') AS has_tools,
@@ -268,7 +267,7 @@ def p23_folded(t):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def p24_json(t):
-    return t.events.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
+    return t.events.select("event_id", X.json_at(F.col("props"), "$.k", "long").alias("k"))
 
 
 @query("""SELECT event_id, CASE WHEN s < 60 THEN 'now' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || 'h' ELSE CAST(s // 86400 AS VARCHAR) || 'd' END AS age FROM (
@@ -276,12 +275,7 @@ def p24_json(t):
 def p26_age(t):
     last = t.events.agg(F.max("ts").alias("last"))
     s = F.floor(F.col("last").cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")).cast("long")
-    dated = t.events.join(F.broadcast(last)).select("event_id", s.alias("s"))
-
-    def whole(n, unit):
-        return F.concat(F.floor(F.col("s") / n).cast("string"), F.lit(unit))
-
-    return dated.select("event_id", F.when(F.col("s") < 60, "now").when(F.col("s") < 3600, whole(60, "m")).when(F.col("s") < 86400, whole(3600, "h")).otherwise(whole(86400, "d")).alias("age"))
+    return t.events.join(F.broadcast(last)).select("event_id", X.age_short(s).alias("age"))
 
 
 @query(f"WITH {SESSIONS} SELECT session_id, n_chars FROM (SELECT * FROM titled ORDER BY n_chars DESC, session_id LIMIT 10)")
@@ -291,15 +285,13 @@ def o01_listing(t):
 
 @query("SELECT event_id, ts, user_id FROM events ORDER BY ts NULLS LAST, user_id, event_id LIMIT 50")
 def o04_timeline(t):
-    return t.events.orderBy(F.col("ts").asc_nulls_last(), "user_id", "event_id").limit(50).select("event_id", "ts", "user_id")
+    return S.timeline(t.events, "ts", ["user_id", "event_id"], 50).select("event_id", "ts", "user_id")
 
 
 @query("SELECT o_orderkey, CAST(count(*) OVER () AS BIGINT) AS total FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def o06_total(t):
     urgent = t.orders.where("o_orderpriority = '1-URGENT'")
-    total = urgent.agg(F.count("*").alias("total"))
-    top = urgent.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20)
-    return top.join(F.broadcast(total)).select("o_orderkey", "total")
+    return S.top_of(urgent, [F.col("o_totalprice").desc(), "o_orderkey"], 20).select("o_orderkey", "total")
 
 
 @query(f"WITH {SESSIONS} SELECT session_id AS id, 'conversation' AS harness, title, message_count FROM titled")

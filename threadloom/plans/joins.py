@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import graphs as G
 from threadloom.operators import provenance as V
+from threadloom.operators import sessions as S
 from threadloom.operators import sets as Z
+from threadloom.operators import tasks as K
 from threadloom.operators import windows as O
 from threadloom.plans.aggregates import EVENTS, events
 from threadloom.plans.registry import query
@@ -15,11 +17,10 @@ from threadloom.plans.registry import query
 @query("""SELECT l_orderkey, l_linenumber, o_custkey, c_mktsegment, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def j01_denormalized(t):
-    return (
-        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        .select("l_orderkey", "l_linenumber", "o_custkey", "c_mktsegment", "r_name")
-    )
+    c = F.col
+    customers = (t.customer, c("o_custkey") == c("c_custkey"))
+    places = [(t.nation, c("c_nationkey") == c("n_nationkey")), (t.region, c("n_regionkey") == c("r_regionkey"))]
+    return Z.denormalized(t.lineitem, [(t.orders, c("l_orderkey") == c("o_orderkey")), customers], places).select("l_orderkey", "l_linenumber", "o_custkey", "c_mktsegment", "r_name")
 
 
 @query("""SELECT a.event_id AS call_id, b.event_id AS result_id FROM events a JOIN events b ON a.user_id = b.user_id AND json_extract_string(a.props, '$.k') = json_extract_string(b.props, '$.k')
@@ -39,7 +40,7 @@ def j03_unanswered(t):
 
 @query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 def j04_membership(t):
-    return t.part.join(t.lineitem.where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
+    return S.having(t.part, t.lineitem.where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey")).select("p_partkey")
 
 
 @query("SELECT page_id FROM pages WHERE ends_with(url, '/index.html') OR url = 'index.html' OR contains(url, '/en/')")
@@ -162,7 +163,8 @@ def r09_winning_revision(t):
 
 @query("SELECT event_id FROM events WHERE event_id > 700 AND event_type IN ('click', 'error') AND user_id % 5 <> 0")
 def r10_e11_cursor(t):
-    return t.events.where((F.col("event_id") > 700) & F.col("event_type").isin("click", "error") & (F.col("user_id") % 5 != 0)).select("event_id")
+    log = t.events.withColumnRenamed("event_type", "event")
+    return K.selected_events(log, F.col("event_id") > 700, ["click", "error"], F.col("user_id") % 5 != 0).select("event_id")
 
 
 @query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id FROM l WHERE last <= (SELECT max(ts) FROM events) - INTERVAL 600 SECOND""")
