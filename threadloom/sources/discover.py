@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources import agents as A
 from threadloom.sources import documents as D
 from threadloom.sources import jsonl as J
 
 READERS = {
     "claude": J.read_claude, "codex": J.read_codex, "opensession": J.read_opensession, "gemini": D.read_gemini, "qwen": D.read_qwen, "pi": D.read_pi, "continue": D.read_continue,
     "lmstudio": D.read_lmstudio, "cline": D.read_cline, "roo": D.read_cline, "kimi": D.read_kimi, "claude-export": D.read_claude_export, "chatgpt-export": D.read_chatgpt_export,
+    "codex-2025": A.read_codex_document, "openclaw": A.read_openclaw, "grok": A.read_grok, "kimi-code": A.read_kimi_code,
 }
 
 

@@ -96,29 +96,35 @@ def read_claude(spark: SparkSession, path: str) -> DataFrame:
     ))
 
 
-def read_codex(spark: SparkSession, path: str) -> DataFrame:
-    """Rollout files. Cached input tokens are part of the input there and are made disjoint."""
-    v = F.col("v")
-    payload = "$.payload."
-    item = get(v, payload + "type")
+def codex_item(v: Column, base: str) -> tuple[Column, Column, Column]:
+    """(content, role, kind) of a response item whose fields stand under the path ``base``."""
+    item = get(v, base + "type")
     message, call, result = item == "message", item.isin("function_call", "custom_tool_call"), item.isin("function_call_output", "custom_tool_call_output")
-    role_of = get(v, payload + "role")
+    role_of = get(v, base + "role")
     nothing = F.lit(None).cast("string")
 
     def one(kind: str, text: Column, id_: Column, name: Column, input_: Column, use: Column) -> Column:
         return F.array(F.struct(F.lit(kind), text, id_, name, input_, use, F.lit(None).cast("boolean")).cast(BLOCK))
 
     content = (
-        F.when(message, one("text", text_of(get(v, payload + "content", "variant")), nothing, nothing, nothing, nothing))
-        .when(call, one("tool_use", nothing, get(v, payload + "call_id"), get(v, payload + "name"), F.coalesce(get(v, payload + "arguments"), get(v, payload + "input")), nothing))
-        .when(result, one("tool_result", text_of(get(v, payload + "output", "variant")), nothing, nothing, nothing, get(v, payload + "call_id")))
+        F.when(message, one("text", text_of(get(v, base + "content", "variant")), nothing, nothing, nothing, nothing))
+        .when(call, one("tool_use", nothing, get(v, base + "call_id"), get(v, base + "name"), F.coalesce(get(v, base + "arguments"), get(v, base + "input")), nothing))
+        .when(result, one("tool_result", text_of(get(v, base + "output", "variant")), nothing, nothing, nothing, get(v, base + "call_id")))
         .otherwise(F.array().cast(f"array<{BLOCK}>"))
     )
+    role = F.when(result, "tool").when(call, "assistant").when(message & (role_of == "developer"), "system").when(message, role_of).otherwise("system")
+    kind = F.when(result, "tool_result").when(call | (message & (role_of == "assistant")), "reply").when(message & (role_of == "user"), "prompt").otherwise("notice")
+    return content, role, kind
+
+
+def read_codex(spark: SparkSession, path: str) -> DataFrame:
+    """Rollout files, compressed ones too. Cached input tokens are part of the input there and are made disjoint."""
+    v = F.col("v")
+    nothing = F.lit(None).cast("string")
+    content, role, kind = codex_item(v, "$.payload.")
     used = get(v, "$.payload.info.last_token_usage.input_tokens", "bigint")
     cached = F.coalesce(get(v, "$.payload.info.last_token_usage.cached_input_tokens", "bigint"), F.lit(0).cast("bigint"))
     usage = F.struct(nothing, used - cached, get(v, "$.payload.info.last_token_usage.output_tokens", "bigint"), cached, F.lit(None).cast("bigint")).cast(USAGE)
-    role = F.when(result, "tool").when(call, "assistant").when(message & (role_of == "developer"), "system").when(message, role_of).otherwise("system")
-    kind = F.when(result, "tool_result").when(call | (message & (role_of == "assistant")), "reply").when(message & (role_of == "user"), "prompt").otherwise("notice")
     rows = lines(spark, path).where(get(v, "$.type").isin("session_meta", "response_item", "event_msg", "compacted"))
     own = F.first(F.when(get(v, "$.type") == "session_meta", get(v, "$.payload.id")), ignorenulls=True).over(Window.partitionBy("file"))
     rows = rows.withColumn("session_id", F.coalesce(own, stem(F.col("file")))).where(get(v, "$.type") != "session_meta")
