@@ -105,3 +105,56 @@ def test_all_of_them_in_one_table(spark, tmp_path):
     write(tmp_path / "g" / "s" / "chat_history.jsonl", [{"type": "user", "content": "hi"}])
     found, failed = S.discover_all(spark, [("codex-2025", str(tmp_path / "old")), ("grok", str(tmp_path / "g" / "s"))])
     assert not failed and {(r.harness, r.n) for r in found.groupBy("harness").count().withColumnRenamed("count", "n").collect()} == {("codex-2025", 5), ("grok", 1)}
+
+
+MESSAGES = [
+    ("s", 0, "a", None, "user", "prompt", "human", "2026-01-01 00:00:00", None, [("text", "say \"hi\" <b>\nto bob@example.com", None, None, None, None, None)], None),
+    ("s", 1, "b", "a", "assistant", "reply", "model", "2026-01-01 00:00:01", "m", [("thinking", "hm", None, None, None, None, None), ("text", "ok", None, None, None, None, None), ("tool_use", None, "c1", "Bash", "{\"command\":\"ls\"}", None, None)], ("r", 1, 2, 3, 4)),
+    ("s", 2, "c", "b", "tool", "tool_result", "harness", "2026-01-01 00:00:02", None, [("tool_result", "x", None, None, None, "c1", True), ("tool_result", "y", None, None, None, "c2", False)], None),
+    ("t", 0, "d", None, "user", "prompt", "human", "2026-01-02 00:00:00", None, [("text", "other", None, None, None, None, None)], None),
+]
+
+
+def told(rows):
+    """Blocks in order without what a shape may leave out."""
+    return [(r.session_id, b.type, b.text, b.id, b.name, b.tool_use_id) for r in sorted(rows, key=lambda r: (r.session_id, r.msg_idx)) for b in r.content if b.type != "text" or b.text]
+
+
+def test_emitters_of_more_agents_read_back(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from threadloom.sources import documents as D
+    from threadloom.sources import emit
+
+    schema = f"session_id string, msg_idx long, id string, parent_id string, role string, kind string, origin string, ts string, model string, content array<{J.BLOCK}>, usage {J.USAGE}"
+    first = spark.createDataFrame(MESSAGES, schema).withColumn("ts", F.to_timestamp("ts"))
+    want = told(first.collect())
+    paths = {}
+    for name in ("codex", "openclaw", "grok", "continue", "lmstudio"):
+        paths[name] = str(tmp_path / name)
+        emit.write_sessions(emit.emitted(first, name), paths[name])
+        files = list((tmp_path / name / "session_id=s").glob("*.txt"))
+        assert len(files) == 1
+    assert told(J.read_codex(spark, paths["codex"]).drop("origin").collect()) == want
+    claw = A.read_openclaw(spark, paths["openclaw"])
+    assert told(claw.collect()) == want
+    s = claw.where("session_id = 's'").orderBy("msg_idx").collect()
+    assert [(r.id, r.parent_id) for r in s] == [("a", None), ("b", "a"), ("c.1", "b"), ("c", "c.1")] and tuple(s[1].usage) == ("r", 1, 2, 3, 4) and s[2].content[0].is_error
+    assert emit.field_fidelity(first, claw).where("lost > 0").count() == 0
+    grok = told(A.read_grok(spark, paths["grok"] + "/*").collect())
+    assert [(x[0].removeprefix("session_id="), *x[1:]) for x in grok] == want
+    assert told(D.read_continue(spark, paths["continue"]).collect()) == [x for x in want if x[1] != "thinking"]
+    assert sorted(x[1:3] for x in told(D.read_lmstudio(spark, paths["lmstudio"]).collect())) == sorted(x[1:3] for x in want if x[1] in ("text", "thinking"))
+    with pytest.raises(ValueError, match="can't write"):
+        emit.emitted(first, "cursor")
+
+
+def test_share_page(spark):
+    from threadloom.sources import emit
+
+    frame = spark.createDataFrame([(m[0], m[1], m[4], m[9]) for m in MESSAGES], f"session_id string, msg_idx long, role string, content array<{J.BLOCK}>")
+    pages = {r.session_id: r.value for r in emit.share_pages(frame).collect()}
+    assert set(pages) == {"s", "t"} and "bob@example.com" not in pages["s"] and "say &quot;hi&quot; &lt;b&gt;\nto [REDACTED:email]" in pages["s"]
+    assert pages["s"].count("<section") == 3 and "<summary>call Bash</summary><pre>{&quot;command&quot;:&quot;ls&quot;}" in pages["s"] and pages["s"].index("ok") < pages["s"].index("call Bash")
+    assert "http" not in pages["s"] and emit.share_pages(frame.limit(0)).count() == 0

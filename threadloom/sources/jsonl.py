@@ -100,6 +100,7 @@ def codex_item(v: Column, base: str) -> tuple[Column, Column, Column]:
     """(content, role, kind) of a response item whose fields stand under the path ``base``."""
     item = get(v, base + "type")
     message, call, result = item == "message", item.isin("function_call", "custom_tool_call"), item.isin("function_call_output", "custom_tool_call_output")
+    thought = item == "reasoning"
     role_of = get(v, base + "role")
     nothing = F.lit(None).cast("string")
 
@@ -110,10 +111,11 @@ def codex_item(v: Column, base: str) -> tuple[Column, Column, Column]:
         F.when(message, one("text", text_of(get(v, base + "content", "variant")), nothing, nothing, nothing, nothing))
         .when(call, one("tool_use", nothing, get(v, base + "call_id"), get(v, base + "name"), F.coalesce(get(v, base + "arguments"), get(v, base + "input")), nothing))
         .when(result, one("tool_result", text_of(get(v, base + "output", "variant")), nothing, nothing, nothing, get(v, base + "call_id")))
+        .when(thought, one("thinking", text_of(get(v, base + "summary", "variant")), nothing, nothing, nothing, nothing))
         .otherwise(F.array().cast(f"array<{BLOCK}>"))
     )
-    role = F.when(result, "tool").when(call, "assistant").when(message & (role_of == "developer"), "system").when(message, role_of).otherwise("system")
-    kind = F.when(result, "tool_result").when(call | (message & (role_of == "assistant")), "reply").when(message & (role_of == "user"), "prompt").otherwise("notice")
+    role = F.when(result, "tool").when(call | thought, "assistant").when(message & (role_of == "developer"), "system").when(message, role_of).otherwise("system")
+    kind = F.when(result, "tool_result").when(call | thought | (message & (role_of == "assistant")), "reply").when(message & (role_of == "user"), "prompt").otherwise("notice")
     return content, role, kind
 
 
