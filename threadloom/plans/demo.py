@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.plans import aggregates, catalog, facts, history, joins, reports, search, transforms  # noqa: F401  they register their queries
+from threadloom.plans import aggregates, catalog, evidence, facts, history, joins, reports, search, transforms  # noqa: F401  they register their queries
 from threadloom.plans.registry import QUERIES, SQL
 
 
