@@ -235,3 +235,39 @@ def test_inbox_cut_equals_a_plain_sort(spark):
         got.setdefault((r.who, r.section), []).append(r.task_id)
     assert got == want and {"a", "b"} == {k[0] for k in got}
     assert all(r.unread for r in K.inboxes(spark.createDataFrame(rows, schema), unread_only=True).where("section = 'open'").collect())
+
+
+def test_open_calls_as_ranges_equal_a_plain_walk(spark):
+    from threadloom.operators.transforms import open_calls
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for s in range(30):
+        made, answered, at = [], set(), 0
+        for _ in range(rng.randrange(12)):
+            at += rng.choice([1, 1, 3])
+            calls, results = ([f"c{rng.randrange(9)}" for _ in range(rng.randrange(3))] for _ in range(2))
+            rows.append((f"s{s}", at, rng.choice([calls, calls, None]), results))
+            for c in rows[-1][2] or []:
+                made += [c] * (c not in made)
+            answered |= set(results)
+            want[f"s{s}", at] = [c for c in made if c not in answered]
+    frame = spark.createDataFrame(rows, "session_id string, msg_idx long, calls array<string>, results array<string>")
+    assert {(r.session_id, r.msg_idx): r.pending for r in open_calls(frame).collect()} == want
+
+
+def test_uuid7_times_and_deadlines(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.functions.ids import uuid7_time
+    from threadloom.functions.text import deadline_phrase, json_at
+
+    ms = 1767225600123
+    ids = [f"{ms:012x}"[:8] + "-" + f"{ms:012x}"[8:] + "-7abc-8def-0123456789ab", "not-an-id", None]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id string").select(uuid7_time(F.col("id"))).collect()]
+    assert got[0] is not None and got[1:] == [None, None]
+    now, times = F.lit(T0), [T0 + timedelta(days=2), T0 - timedelta(hours=30), T0, None]
+    read = [r[0] for r in spark.createDataFrame([(x,) for x in times], "d timestamp").select(deadline_phrase(F.col("d"), now)).collect()]
+    assert read == ["by 01-03 (in 2d)", "by 12-30 (OVERDUE 1d)", "by 01-01 (in now)", None]
+    values = [r[0] for r in spark.createDataFrame([('{"k": 3}',), ('{"k": "x"}',), ("{",), (None,)], "t string").select(json_at(F.col("t"), "$.k", "long")).collect()]
+    assert values == [3, None, None, None]
