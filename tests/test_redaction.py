@@ -110,3 +110,17 @@ def test_scrub_profile(spark):
         assert r.r == SCRUBBED.get(r.t)
     homes = spark.createDataFrame([("see /Users/ann/x, file:///home/bob C:\\Users\\eve\\y ../home/no",)], "t string")
     assert homes.select(R.home_paths(F.col("t"))).first()[0] == "see $HOME/x, file://$HOME $HOME\\y ../home/no"
+
+
+def test_private_hosts_as_its_sql(spark, tmp_path):
+    """Shared edges, letters beyond ASCII, ends of text and IPv6."""
+    import duckdb
+
+    from threadloom.plans import demo
+
+    texts = ["10.0.0.1 10.0.0.2,10.0.0.3", "\u00e910.0.0.1\u00e9", "10.0.0.1", "10.0.0.1.", "10.0.0.1.\n", "10.0.0.1\n\n10.0.0.2", "v10.0.0.1 1.10.0.0.1 10.0.0.1.5", "fe80::1 172.16.0.1..5", "192.168.1.1_ 100.64.0.1-", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = demo.queries()["t03_private_hosts"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(demo.oracle_sql()["t03_private_hosts"]).fetchall())
