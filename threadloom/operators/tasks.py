@@ -8,8 +8,11 @@ id, or a transition that the state doesn't allow, marks the task's ``error`` and
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,26 +24,41 @@ TERMINAL = {DONE, ABANDONED, SUPERSEDED, RESOLVED}
 RETIRED = {"revision_proposed", "review_rerouted", "review_passed", "review_refuted", "source_unavailable", "merge_failed", "merged_local", "reconcile_failed", "landed"}
 
 SCHEMA = "task_id string, state string, title string, assignee string, tags array<string>, blocked_by array<string>, options array<string>, choice string, provisional boolean, status string, revisions int, notes int, error string"
+_ARROW = pa.schema([
+    *((n, pa.string()) for n in ("task_id", "state", "title", "assignee")), *((n, pa.list_(pa.string())) for n in ("tags", "blocked_by", "options")),
+    ("choice", pa.string()), ("provisional", pa.bool_()), ("status", pa.string()), ("revisions", pa.int32()), ("notes", pa.int32()), ("error", pa.string()),
+])
 
 
-def fold_one(events: pd.DataFrame) -> dict:
-    """The state of one task after its events, in the order given."""
-    task = dict(task_id=events["task_id"].iloc[0], state=None, title=None, assignee=None, tags=[], blocked_by=[], options=[], choice=None, provisional=None, status=None, revisions=0, notes=0, error=None)
-    seen: dict[str, tuple] = {}
-    for e in events.itertuples(index=False):
-        content = (e.ts, e.by, e.event, e.payload)
-        if e.id in seen:
-            if seen[e.id] != content:
-                task["error"] = f"{e.id}: another event has this id"
-                break
+_COLUMNS = ["task_id", "id", "ts", "by", "event", "payload"]
+_SLICE = 4096
+
+
+def folded(rows: Iterator[tuple]) -> Iterator[dict]:
+    """The state of each task of (task_id, id, ts, by, event, payload), which come task by task in the order of their ids; only one event is held."""
+    task, last = None, None
+    for task_id, *event in rows:
+        if task is None or task_id != task["task_id"]:
+            if task:
+                yield task
+            task, last = dict(task_id=task_id, state=None, title=None, assignee=None, tags=[], blocked_by=[], options=[], choice=None, provisional=None, status=None, revisions=0, notes=0, error=None), None
+        if task["error"] or event == last:
+            continue
+        id_, _, _, kind, payload = event
+        if last and id_ == last[0]:
+            task["error"] = f"{id_}: another event has this id"
             continue
-        seen[e.id] = content
-        p = json.loads(e.payload) if e.payload else {}
-        wrong = step(task, e.event, p)
+        last = event
+        wrong = step(task, kind, json.loads(payload) if payload else {})
         if wrong:
-            task["error"] = f"{e.id}: {wrong}"
-            break
-    return task
+            task["error"] = f"{id_}: {wrong}"
+    if task:
+        yield task
+
+
+def fold_one(events: pd.DataFrame) -> dict:
+    """The state of one task after its events, which are in the order of their ids."""
+    return next(folded(events[_COLUMNS].itertuples(index=False, name=None)))
 
 
 def step(task: dict, event: str, p: dict) -> str | None:
@@ -91,12 +109,17 @@ def step(task: dict, event: str, p: dict) -> str | None:
 
 
 def fold_tasks(events: DataFrame) -> DataFrame:
-    """One row for each task. A task's own log is small, so one group a task is bounded by the task."""
+    """One row for each task. Sorted events stream by, many tasks to a task of Spark; a log of any length is held one event at a time."""
+    order = ["task_id", F.col("id").asc_nulls_last(), "ts", "by", "event", "payload"]
+    dealt = events.select(*_COLUMNS).repartition("task_id").sortWithinPartitions(*order)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([fold_one(group.sort_values("id", kind="stable"))])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for k in range(0, batch.num_rows, _SLICE) for r in zip(*(c.to_pylist() for c in batch.slice(k, _SLICE).columns)))
+        tasks = folded(rows)
+        while held := list(islice(tasks, _SLICE)):
+            yield pa.RecordBatch.from_pylist(held, _ARROW)
 
-    return events.groupBy("task_id").applyInPandas(fold, SCHEMA)
+    return dealt.mapInArrow(fold, SCHEMA)
 
 
 def blocked(tasks: DataFrame) -> DataFrame:
