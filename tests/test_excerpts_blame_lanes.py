@@ -181,3 +181,20 @@ def test_lanes_are_followed_by_changes_and_silence(spark, tmp_path):
         ("a", 0, "running", "hi", False), ("b", 0, "running", None, False), ("b", 9, "done", "bye", False), ("c", 200, "running", "x", False),
         ("a", 105, "returned", "hi", True), ("a", 201, "running", "back", False), ("c", 900, "done", "x", False), ("a", 301, "returned", "back", True),
     ])
+
+
+def test_blame_keeps_a_file_in_one_task_where_both_sides_come_dealt_by_file(spark):
+    """A merge join, as for many files, in which Spark puts other partitions together on either side; each commit writes one line above all others."""
+    hunk = F.struct(*[F.lit(n).cast("long").alias(c) for c, n in (("old_start", 0), ("old_lines", 0), ("new_start", 1), ("new_lines", 1))])
+    table = spark.range(10_000, numPartitions=3).select(F.format_string("f%s", F.col("id") % 200).alias("file"), (F.floor(F.col("id") / 200) + 1).alias("seq"), F.col("id").cast("string").alias("commit_id"), F.array(hunk).alias("hunks"))
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {name: spark.conf.get(name, None) for name in sizes}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        found = blame(table, table.select("file").distinct().select("file", F.lit(1).alias("first"), F.lit(50).alias("last"))).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    got = {(r.file, r.first + k): (r.commit_id, r.origin + k) for r in found for k in range(r.last - r.first + 1)}
+    assert got == {(f"f{f}", 50 - s): (str(s * 200 + f), 1) for f in range(200) for s in range(50)}

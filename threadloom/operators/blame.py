@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.fingerprints import edit_prints
+from threadloom.session import together
 
 _OUT = pa.schema([("file", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("commit_id", pa.string()), ("origin", pa.int64())])
 _HUNK = "struct<old_start: long, old_lines: long, new_start: long, new_lines: long>"
@@ -83,7 +84,7 @@ def blame(changes: DataFrame, asked: DataFrame) -> DataFrame:
         "file", F.col("seq").cast("long").alias("seq"), F.col("commit_id").cast("string").alias("commit_id"), F.col("hunks").cast(kind).alias("hunks"),
         F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"),
     )
-    dealt = wanted.unionByName(near).repartition("file").sortWithinPartitions("file", F.col("seq").desc_nulls_first(), "first", "last", "commit_id")
+    dealt = together(wanted.unionByName(near), "file").sortWithinPartitions("file", F.col("seq").desc_nulls_first(), "first", "last", "commit_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for at in range(0, batch.num_rows, _SLICE) for r in batch.slice(at, _SLICE).to_pylist())

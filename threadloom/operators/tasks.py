@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.ids import actor
+from threadloom.session import together
 
 # States, and event tags that are read but change nothing.
 OPEN, CLAIMED, DONE, ABANDONED, SUPERSEDED, RESOLVED = "open", "claimed", "done", "abandoned", "superseded", "resolved"
@@ -111,7 +112,7 @@ def step(task: dict, event: str, p: dict) -> str | None:
 def fold_tasks(events: DataFrame) -> DataFrame:
     """One row for each task. Sorted events stream by, many tasks to a task of Spark; a log of any length is held one event at a time."""
     order = ["task_id", F.col("id").asc_nulls_last(), "ts", "by", "event", "payload"]
-    dealt = events.select(*_COLUMNS).repartition("task_id").sortWithinPartitions(*order)
+    dealt = together(events.select(*_COLUMNS), "task_id").sortWithinPartitions(*order)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for k in range(0, batch.num_rows, _SLICE) for r in zip(*(c.to_pylist() for c in batch.slice(k, _SLICE).columns)))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,15 @@ def clear(spark: SparkSession) -> None:
     delete(spark, [run_dir(spark)])
 
 
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with the rows of equal ``keys`` in one task, for Python that streams over them.
+
+    It is dealt by a hash of the keys: a repartition by the keys themselves is dropped where a join or a group has dealt the rows
+    so already, and as Python asks for no distribution, a skewed or broadcast join may then split a key between tasks.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
