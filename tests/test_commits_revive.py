@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.operators import commits as commits_module
 from threadloom.operators.commits import merged_branches, named_branches, reachable, sweep
 from threadloom.operators.revive import COUNTS_SIGNATURES, revive
 
@@ -42,6 +43,24 @@ def test_reachable(spark, seed):
     assert reachable(empty, spark.createDataFrame(starts, "repo string, id string")).isEmpty()
 
 
+@pytest.mark.parametrize("ordered", [True, False])
+def test_reachable_by_blocks(spark, monkeypatch, ordered):
+    """A long history in two lines that merge and break needs no rounds along tracks; a seq without an order gives the same rows."""
+    if ordered:
+        monkeypatch.setattr(commits_module, "by_tracks", None)
+    rng = random.Random(7)
+    rows = []
+    for repo in "ab":
+        for n in range(600):
+            seq = n if ordered else rng.randrange(600)
+            rows.append((repo, f"{n}", seq, [str(n - k) for k, odds in ((2, 0.99), (3, 0.2)) if n >= k and rng.random() < odds]))
+    rows += [("a", "7", 9, ["3", "90"]), ("a", "x", 1, ["y", "5"]), ("a", "y", 2, ["x", None]), ("b", "gone", None, ["absent", None, "4", "4"]), ("b", "none", 3, None), (None, "1", 1, ["2"]), ("b", None, 1, ["1"])]
+    starts = [("a", "599"), ("a", "x"), ("b", "400"), ("b", "gone"), ("b", "absent"), ("b", "400")]
+    frame = spark.createDataFrame(rows, "repo string, id string, seq long, parents array<string>").repartition(3)
+    got = reachable(frame, spark.createDataFrame(starts, "repo string, id string"), 32).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == plain_reach([(r, i, p) for r, i, _, p in rows], starts)
+
+
 def test_merged_and_swept(spark):
     commits = [("r", "3", ["2", "f"]), ("r", "2", ["1"]), ("r", "1", []), ("r", "f", ["1"]), ("r", "g", ["3"]), ("s", "9", []), ("s", "8", ["9"])]
     branches = [

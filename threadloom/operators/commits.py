@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +38,129 @@ def tracks(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.drop("loop"), written(cross.join(ends, "up").select("track", "pos", "to_track", "to_pos"), "cross")
 
 
-def reachable(commits: DataFrame, starts: DataFrame) -> DataFrame:
+#: commits that one task looks through at a time
+BLOCK = 1024
+_NODE = "repo string, id string, seq long, parents array<string>, block long"
+_NODES = pa.schema([("repo", pa.string()), ("id", pa.string()), ("seq", pa.int64()), ("parents", pa.list_(pa.string())), ("block", pa.int64())])
+_PLACE = pa.schema([("repo", pa.string()), ("id", pa.string())])
+
+
+def reachable(commits: DataFrame, starts: DataFrame, size: int = BLOCK) -> DataFrame:
     """(repo, id): all commits that each repository's ``starts`` (repo, id) reach, themselves included.
 
-    ``commits`` has repo, id and parents, the first parent first; parents that aren't in the table, null
-    and repeated ones lead nowhere, and a cycle ends. Histories are cut into tracks along first parents, in
+    ``commits`` has repo, id and parents, the first parent first, and perhaps seq, a whole number that mostly grows from parent to
+    child (a time, a place in the log); parents that aren't in the table, null and repeated ones lead nowhere, and a cycle ends. With seq
+    ``by_blocks`` takes ``size`` neighbours at a time, else ``by_tracks`` goes along first parents. Any seq gives the same rows.
+    """
+    rows = commits.where("repo IS NOT NULL AND id IS NOT NULL").withColumn("parents", F.coalesce("parents", F.array().cast("array<string>")))
+    if "seq" not in commits.columns:
+        return by_tracks(rows.select("repo", "id", "parents"), starts)
+    once = rows.groupBy("repo", "id").agg(F.max(F.col("seq").cast("long")).alias("seq"), F.array_distinct(F.array_compact(F.flatten(F.collect_list("parents")))).alias("parents"))
+    return by_blocks(once, starts.select("repo", "id").distinct(), size)
+
+
+def in_blocks(rows: DataFrame, size: int, tasks: int | None = None) -> DataFrame:
+    """(block, repo, id, parents): ``rows`` in the order of their repositories and seq, ``size`` of them as arrays in one row."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        values = [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values], ["repo", "id", "parents"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, size - n)
+                batch = batch.slice(part.num_rows)
+                held.append(part)
+                n += part.num_rows
+                if n == size:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    order = ["repo", "seq", "id"]
+    dealt = rows.repartitionByRange(*[tasks] * bool(tasks), *order).sortWithinPartitions(*order).select("repo", "id", "parents")
+    return dealt.mapInArrow(cut, "repo array<string>, id array<string>, parents array<array<string>>").withColumn("block", F.monotonically_increasing_id())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
+    """Each block's row, and its links (repo, id) -> [(repo, parent)]."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield row, {(r, i): [(r, p) for p in parents] for r, i, parents in zip(row["repo"], row["id"], row["parents"])}
+
+
+def _seen(links: dict, starts: list[tuple]) -> set[tuple]:
+    """What ``starts`` reach by ``links``, with the places outside at which they leave."""
+    seen, todo = set(), list(starts)
+    while todo:
+        at = todo.pop()
+        if at not in seen:
+            seen.add(at)
+            todo += links.get(at, ())
+    return seen
+
+
+def _leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, links in _blocks(batches):
+        yield pa.RecordBatch.from_pylist([{"repo": r, "id": i} for r, i in {p for ps in links.values() for p in ps} - links.keys()], _PLACE)
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, links in _blocks(batches):
+        kept, most = {}, sum(map(len, links.values()))
+        for at in [(e["repo"], e["id"]) for e in row["entered"]]:
+            kept[at] = [p for p in _seen(links, [at]) if p not in links]
+            most -= len(kept[at])
+            if most < 0:  # shorter as it is
+                kept = links
+                break
+        yield pa.RecordBatch.from_pylist([{"repo": r, "id": i, "seq": row["block"], "parents": [p for _, p in kept[r, i]], "block": row["block"]} for r, i in kept], _NODES)
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, links in _blocks(batches):
+        yield pa.RecordBatch.from_pylist([{"repo": r, "id": i} for r, i in _seen(links, [(e["repo"], e["id"]) for e in row["entered"]]) & links.keys()], _PLACE)
+
+
+def by_blocks(rows: DataFrame, starts: DataFrame, size: int, tasks: int | None = None) -> DataFrame:
+    """``reachable`` for ``rows`` (repo, id, seq, parents) of different commits, with work that grows as their number.
+
+    Of a block only commits count that a start or a link from outside enters, with what they reach outside: these make a smaller history,
+    in which the same is done, until one block is left. Then each block is looked through once from the commits at which it is
+    entered. A block whose contraction has more links than itself stays as it is; a history that blocks don't make
+    four times smaller, as neighbours by seq are seldom linked in it, goes by tracks.
+    """
+    cut = written(in_blocks(rows, size, tasks), "blocks")
+    total, n = cut.agg(F.coalesce(F.sum(F.size("id")), F.lit(0)), F.count("*")).first()
+    nodes = cut.select("block", F.explode(F.arrays_zip("repo", "id")).alias("at")).select("block", "at.repo", "at.id")
+    doors = starts if n <= 1 else written(cut.mapInArrow(_leave, "repo string, id string").unionByName(starts).distinct(), "doors")
+    entries = written(nodes.join(doors, ["repo", "id"]), "entries")
+
+    def entered(at: DataFrame) -> DataFrame:
+        return cut.join(at.groupBy("block").agg(F.collect_list(F.struct("repo", "id")).alias("entered")), "block")
+
+    if n > 1:
+        smaller = written(entered(entries).mapInArrow(_contract, _NODE), "smaller")
+        left = smaller.count()
+        if left * 4 > total:
+            return by_tracks(cut.select(F.explode(F.arrays_zip("repo", "id", "parents")).alias("at")).select("at.*"), starts)
+        entries = smaller.join(by_blocks(smaller.drop("block"), starts, size, left // (8 * size) + 1), ["repo", "id"], "left_semi").select("block", "repo", "id")
+    return entered(entries).mapInArrow(_spread, "repo string, id string")
+
+
+def by_tracks(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """``reachable`` for ``rows`` (repo, id, parents), whatever their order.
+
+    Histories are cut into tracks along first parents, in
     as many joins as the logarithm of the longest. A round then carries one number a track, how far up it is reached, over the
     links between tracks that came within reach; each link is followed once. Rounds count how deeply
     merges are nested, not how long a history is.
     """
-    rows = written(commits.where("repo IS NOT NULL AND id IS NOT NULL").select("repo", "id", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")), "commits")
+    rows = written(rows, "commits")
     links = rows.select("repo", "id", F.posexplode("parents").alias("k", "parent")).where("parent IS NOT NULL").distinct()
     known = rows.select("repo", F.col("id").alias("parent")).distinct()
     links = links.join(known, ["repo", "parent"], "left_semi").select(F.struct("repo", "id").alias("id"), F.struct("repo", F.col("parent").alias("id")).alias("up"), "k")
@@ -61,7 +177,7 @@ def reachable(commits: DataFrame, starts: DataFrame) -> DataFrame:
 def merged_branches(commits: DataFrame, branches: DataFrame, main: str | None = None) -> DataFrame:
     """(repo, name) of ``branches`` (repo, name, id, remote) whose commit the main branch reaches.
 
-    The main branch is ``main``, else main, else master; a repository without it gives none. A remote branch
+    ``commits`` is that of ``reachable``. The main branch is ``main``, else main, else master; a repository without it gives none. A remote branch
     counts under its name and under the part after the remote's; ``.../HEAD`` and the main branch itself don't count.
     """
     local = branches.where("NOT remote AND name IS NOT NULL")

@@ -111,7 +111,7 @@ def e09_sweep(t):
     held = t.orders.select(repo.alias("repo"), "o_orderkey", own.alias("id"), "o_orderstatus")
     first = F.when(F.col("o_orderkey") % 97 != 0, F.lag("id", 2).over(order))
     second = F.when(F.col("o_orderkey") % 5 == 0, F.lag("id", 3).over(order))
-    commits = held.select("repo", "id", F.array(first, second).alias("parents"))
+    commits = held.select("repo", "id", F.col("o_orderkey").alias("seq"), F.array(first, second).alias("parents"))
     remote = F.col("o_orderkey") % 2 == 1
     branches = held.where("o_orderstatus = 'F'").select("repo", F.concat(F.when(remote, "origin/").otherwise(""), F.lit("task/"), "id").alias("name"), "id", remote.alias("remote"))
     mains = held.groupBy("repo").agg(F.max_by("id", "o_orderkey").alias("id")).select("repo", F.lit("main").alias("name"), "id", F.lit(False).alias("remote"))
