@@ -126,6 +126,17 @@ def test_verdicts_in_order_of_their_witnesses(spark):
     assert {r.k: tuple(r.v) for r in told} == {k: want for k, (_, want) in enumerate(cases)}
 
 
+def test_silence_is_measured_in_fractions_of_seconds(spark):
+    from pyspark.sql import functions as F
+
+    names = ["journal", "notice", "parked"], ["notice_at", "exit_at", "ledger_at"], ["stop_seen", "exited"]
+    nothing = [F.lit(None).cast(t).alias(c) for cols, t in zip(names, ("string", "timestamp", "boolean")) for c in cols]
+    ends = {0.8: "running", 0.2: "returned", 0.25: "returned", 0.250001: "running"}  # the whole seconds are 600 apart each time
+    frame = spark.createDataFrame([(k, T0 + timedelta(seconds=k)) for k in ends], "k double, last_turn timestamp").select("k", "last_turn", F.lit(True).alias("reported"), *nothing)
+    told = frame.select("k", L.verdict(F.lit(T0 + timedelta(seconds=600.25))).alias("v")).collect()
+    assert {r.k: r.v.status for r in told} == ends
+
+
 def test_salvage_keeps_order_and_leaves_the_done_out(spark):
     lanes = spark.createDataFrame([("s", "killed"), ("t", "done"), ("u", None)], "session_id string, status string")
     messages = spark.createDataFrame([message(0, "user", "prompt", text("do it")), message(1, "assistant", "reply", text("begun")), message(2, "assistant", "reply", text(" "))], MESSAGE)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.operators.graphs import ways_up
 from threadloom.operators.sets import first_seen
 
-#: seconds of silence after a final report from which a lane counts as returned
+#: seconds of silence after a final report from which a lane counts as returned; fractions of seconds count
 QUIET = 600
 DONE = ("completed", "done", "returned")
 #: lanes with these states owe nothing: they still run, or are known to have failed
@@ -56,7 +56,7 @@ def verdict(now: Column, quiet: int = QUIET) -> Column:
     gone = F.coalesce(c("exited"), F.lit(False)) & F.coalesce(c("exit_at") >= last, F.lit(True))
     ledger = c("ledger_at").isNotNull() & F.coalesce(c("ledger_at") >= last, F.lit(True))
     reported = F.coalesce(c("reported"), F.lit(False))
-    silent = F.coalesce(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(last.cast("timestamp")) >= quiet, F.lit(False))
+    silent = F.coalesce(F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp")) >= quiet * 1_000_000, F.lit(False))
 
     def says(status, by: str) -> Column:
         return F.struct((status if isinstance(status, Column) else F.lit(status)).alias("status"), F.lit(by).alias("source"))
