@@ -146,6 +146,26 @@ def test_salvage_keeps_order_and_leaves_the_done_out(spark):
     assert L.salvage(lanes, messages, events, every=True).count() == 3
 
 
+def test_salvage_as_its_sql_with_nulls_and_wide_spaces(spark, tmp_path):
+    import duckdb
+
+    from threadloom.plans import demo
+
+    told = [("user", None), ("user", "do it"), ("assistant", "begun"), ("assistant", "\u00a0\u3000"), ("assistant", None), ("assistant", "\t")]
+    turns = [(conv, turn, role, words) for conv, n in ((1, 4), (2, 6), (3, 1)) for turn, (role, words) in enumerate(told[:n])]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    events = [(k, T0 + timedelta(seconds=k), (1, 2, 3, None)[k % 4], ("click", "signup", "view")[k % 3], float(k), '{"k": %d}' % (k % 5)) for k in range(40)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    for name in ("events", "conversations"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.execute(demo.oracle_sql()["t21_salvage"])
+    names = [c[0] for c in want.description]
+    rows = {tuple(r) for r in want.fetchall()}
+    assert {r[0] for r in rows} == {"1", "2", "3", None} and {r[names.index("last_note")] for r in rows} == {"begun", "\t", None}
+    assert {tuple(r) for r in demo.queries()["t21_salvage"](spark, str(tmp_path)).select(*names).collect()} == rows
+
+
 def test_openai_records(spark):
     rows = [
         message(0, "user", "prompt", text("find it"), ("image", None, None, None, None, None, None)),

@@ -99,13 +99,14 @@ def salvage(lanes: DataFrame, messages: DataFrame, events: DataFrame, every: boo
     """(session_id, status, prompt, files, commands, last_note) of lanes that didn't finish, to take them up again.
 
     ``prompt`` is the whole first prompt; ``files`` the edited ones and ``commands`` the different command lines, each in the order in which they
-    first came; ``last_note`` the last reply with text. Repeats are dropped before a lane's lists are gathered.
+    first came; ``last_note`` the last reply with text, where spaces of any kind are none. Prompts without text (null) are passed over.
+    Repeats are dropped before a lane's lists are gathered.
     """
     wanted = lanes if every else lanes.where(~F.coalesce(F.col("status") == "done", F.lit(False)))
     wanted = wanted.select("session_id", "status")
     mine = messages.join(wanted.select("session_id"), "session_id", "left_semi")
-    asked = F.when(F.col("kind") == "prompt", F.col("msg_idx"))
-    note = F.when((F.col("role") == "assistant") & (F.trim("text") != ""), F.col("msg_idx"))
+    asked = F.when((F.col("kind") == "prompt") & F.col("text").isNotNull(), F.col("msg_idx"))
+    note = F.when((F.col("role") == "assistant") & F.col("text").rlike(r"[^\p{Zs}]"), F.col("msg_idx"))
     talk = mine.groupBy("session_id").agg(F.min_by("text", asked).alias("prompt"), F.max_by("text", note).alias("last_note"))
     did = events.where("target IS NOT NULL").join(wanted.select("session_id"), "session_id", "left_semi")
     lists = {name: first_seen(did.where(F.col("kind") == kind), "session_id", "target", ["msg_idx"]).withColumnRenamed("seen", name) for name, kind in (("files", "file_edit"), ("commands", "command"))}

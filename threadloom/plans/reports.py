@@ -111,7 +111,8 @@ z AS (SELECT o.*, coalesce(d.unreturned, 0) AS unreturned, status NOT IN ('runni
 
 def lanes(t):
     e = events(t)
-    facts = L.lane_facts(e).join(e.groupBy("session_id").agg((F.count_if(F.col("kind") == "tool") % 2).alias("open_tool_calls")), "session_id")
+    calls = e.groupBy(F.col("session_id").alias("_of")).agg((F.count_if(F.col("kind") == "tool") % 2).alias("open_tool_calls"))
+    facts = L.lane_facts(e).join(calls, F.col("session_id").eqNullSafe(F.col("_of")))  # events of no user are a lane too
     n, last = F.col("session_id").cast("long"), F.col("last_turn").cast("timestamp")
     evidence = facts.select(
         "session_id", F.when(n >= 3, F.floor(n / 3).cast("string")).alias("parent_id"), last.alias("last_turn"), "last_tool", "tool_calls", "open_tool_calls", F.col("last_kind").isin("file_read", "command").alias("reported"),
