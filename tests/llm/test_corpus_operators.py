@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import SCHEMA, WORD, awkward, corpus, frame, words
@@ -18,6 +19,7 @@ from threadloom.llm.mix_sources import mix_sources
 from threadloom.llm.packing import cuts, pack
 from threadloom.llm.kneser_ney import ORDER, HashArrays, probabilities, stored
 from threadloom.llm.quality_rules import quality_rules
+from threadloom.session import BATCH_BYTES, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -110,6 +112,20 @@ def test_kneser_ney_is_a_distribution_and_is_found_in_files(spark, monkeypatch,
     assert isinstance(arrays, HashArrays)
 
 
+def test_texts_go_to_python_in_small_batches_while_a_table_is_written(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 4000) AS text")
+    seen = written(docs.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) <= 1.1 * BATCH_BYTES
+    assert spark.conf.get(key) == before
+
+
 # line dedup
 
 

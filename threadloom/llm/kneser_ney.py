@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrays import MULTIPLIER, Texts, mix
-from threadloom.llm.batches import only, slices
+from threadloom.llm.batches import give_back, only, slices
 from threadloom.llm.marks import marks, slot, with_mark
 from threadloom.session import folder, written
 
@@ -122,6 +122,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 if total.size > HELD and len(total.parts) == 1:
                     yield from total.rows()
         yield from total.rows()
+        give_back()
 
     parts = different_texts(docs).mapInArrow(count, "lang string, gram string, key long, n long")
     return parts.groupBy("lang", "gram", "key").agg(F.sum("n").alias("n"))

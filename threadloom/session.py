@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +64,26 @@ def together(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(F.xxhash64(*keys))
 
 
+#: bytes of a batch that goes to Python while a table is written: executor and worker each hold the texts of a batch, so 10,000 long ones are too many
+BATCH_BYTES = 2 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, batches for Python end at ``BATCH_BYTES``; the rows stay the same."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
