@@ -16,7 +16,7 @@ from tests.llm.helpers import SCHEMA, WORD, awkward, corpus, frame, words
 from threadloom.llm.jaccard_join import jaccard_join
 from threadloom.llm.line_dedup import line_dedup
 from threadloom.llm.mix_sources import mix_sources
-from threadloom.llm.packing import cuts, pack
+from threadloom.llm.packing import WordIds, cuts, pack
 from threadloom.llm.kneser_ney import ORDER, HashArrays, probabilities, stored
 from threadloom.llm.quality_rules import quality_rules
 from threadloom.session import BATCH_BYTES, written
@@ -321,6 +321,33 @@ def test_packing_has_little_padding(spark):
     assert check_packing(got, {r[0]: r[1] for r in rows}) < 0.02
 
 
+def test_plain_words_go_to_the_model_alone(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    full = Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(3)
+    plain = sorted({"".join(rng.choice("etaoinshrdlucméßñöü"[: rng.choice([12, 19])]) for _ in range(rng.randrange(1, 30))) for _ in range(2000)} - {""})
+    plain += [chr(c) for c in (0xDF, 0xFF, 0x131, 0x24F)]
+    others = ["Upper", "don't", "1a", "e\u0301t", "ΣΑΣ", "\u0149", "\u01c5a", "\xaa", "\xb5", "\u01c6", "", "endoftext", "<|endoftext|>x", "數", "x." * 300]
+    find = WordIds(TOKENIZER)
+    find.learn([*plain, *others])
+    for w in [*plain, *others]:
+        k = find.found[w]
+        assert find.ids[find.starts[k] : find.starts[k] + find.sizes[k]].tolist() == full.encode(w, add_special_tokens=False).ids, w
+
+    class Refuses:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            assert not texts
+            return []
+
+    find.clear()
+    find.tokenizer = Refuses()
+    find.learn(plain)
+    full.pre_tokenizer = pre_tokenizers.Split("e", "isolated")
+    full.save(str(tmp_path / "split.json"))
+    assert not WordIds(str(tmp_path / "split.json")).letters
+
+
 def test_cuts_cover_and_fit():
     for n in [*range(1, 400), 4095, 4096, 4097, 20_000, 8191]:
         out = cuts(n, 4096, 1 / 64)

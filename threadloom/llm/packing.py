@@ -14,7 +14,8 @@ has some 2 sqrt(capacity) values, so at 4096 they are at most ``most_left()``, a
 Tokens are looked up by word: the tokenizer's normaliser and pre-tokeniser never join
 characters across 0x20 or 0x09-0x0D, nor an ASCII letter or digit and a mark after it, so
 a text's ids are those of such units in turn. Ids depend only on the unit, in any ASCII
-case, and are kept in a bounded cache.
+case, and are kept in a bounded cache. A new unit of lower-case Latin letters goes to the
+tokenizer's model at once, if its normaliser and pre-tokeniser would hand it over whole.
 
 Defined results: null and empty texts have the end id alone; repeated rows are each
 packed; long texts are cut as any other; an empty table gives no rows.
@@ -23,6 +24,8 @@ packed; long texts are cut as any other; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -74,8 +77,23 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
+        self.model = self.tokenizer.model
+        self.letters = self.plain_letters()
+        self.plain = re.compile(f"[{''.join(map(chr, self.letters))}]+" if self.letters else "(?!)").fullmatch
         self.clear()
 
+    def plain_letters(self) -> dict[int, str]:
+        """Lower-case Latin letters as the model gets them, if the tokenizer hands it words of them whole: then the model's ids are the tokenizer's."""
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        letters = [c for c in map(chr, range(0x250)) if c.isalpha() and c.islower() and unicodedata.decomposition(c)[:1] != "<"]
+        whole = "".join(letters)
+        if split is None or (normal and normal.normalize_str(whole) != whole) or any(set(t.content) <= set(letters) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return {}
+        given = [split.pre_tokenize_str(c) for c in letters]
+        if any(len(g) != 1 for g in given) or [g for g, _ in split.pre_tokenize_str(whole)] != ["".join(g[0][0] for g in given)]:
+            return {}
+        return {ord(c): g[0][0] for c, g in zip(letters, given)}
+
     def clear(self) -> None:
         self.found: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -84,30 +102,54 @@ class WordIds:
         self.batches = np.zeros(0, np.int32)
 
     def learn(self, words: list[str]) -> None:
-        """Encodes new words; many are one text for the tokenizer, set apart by a special token."""
-        odd = [w for w in words if any(s in w for s in self.special)] if self.special else words
-        plain = sorted(set(words).difference(odd)) if odd else words
+        """Encodes new distinct words: plain ones by the model alone, others as one text for the tokenizer, set apart by a special token."""
+        plain, others, odd = [], [], []
+        for w in words:
+            if self.plain(w):
+                plain.append(w)
+            elif not self.special or any(s in w for s in self.special):
+                odd.append(w)
+            else:
+                others.append(w)
         flat, sizes = [], []
         if plain:
+            ids, own = [], []
+            for w in plain:
+                got = self.model.tokenize(w if w.isascii() else w.translate(self.letters))
+                own.append(len(got))
+                ids.extend([t.id for t in got])
+            flat.append(np.array(ids, np.uint32))
+            sizes.append(np.array(own))
+        if others:
             mark = self.special[0]
             mark_id = self.tokenizer.token_to_id(mark)
-            texts = [mark.join(plain[a : a + JOINED]) + mark for a in range(0, len(plain), JOINED)]
-            for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-                flat.append(np.array(got.ids, np.uint32))
-            ids = np.concatenate(flat)
-            ends = np.flatnonzero(ids == mark_id)
-            sizes = [np.diff(ends, prepend=-1) - 1]
-            flat = [ids[ids != mark_id]]
+            texts = [mark.join(others[a : a + JOINED]) + mark for a in range(0, len(others), JOINED)]
+            ids = np.concatenate([np.array(got.ids, np.uint32) for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            sizes.append(np.diff(np.flatnonzero(ids == mark_id), prepend=-1) - 1)
+            flat.append(ids[ids != mark_id])
         for got in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
             flat.append(np.array(got.ids, np.uint32))
             sizes.append(np.array([len(got.ids)]))
         own = np.concatenate(sizes).astype(np.int64)
-        self.found.update(zip([*plain, *odd], range(len(self.sizes), len(self.sizes) + len(own))))
+        self.found.update(zip([*plain, *others, *odd], range(len(self.sizes), len(self.sizes) + len(own))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(own) - own])
         self.sizes = np.concatenate([self.sizes, own])
         self.ids = np.concatenate([self.ids, *flat])
         self.batches = np.concatenate([self.batches, np.zeros(len(own), np.int32)])
 
+    def slots(self, words: list[str]) -> np.ndarray:
+        """Where distinct words stand in the arrays; new ones are learned."""
+        at = list(map(self.found.get, words))
+        new = [w for w, k in zip(words, at) if k is None]
+        if len(self.found) + len(new) > CACHE_WORDS:
+            self.forget()
+            at = list(map(self.found.get, words))
+            new = [w for w, k in zip(words, at) if k is None]
+        if new:
+            self.learn(new)
+            at = [self.found[w] if k is None else k for w, k in zip(words, at)]
+        return np.array(at, np.int64)
+
     def of_texts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch end to end, and the offsets of its rows in them."""
         raw = texts.raw
@@ -120,16 +162,9 @@ class WordIds:
         offsets = np.append(np.cumsum(texts.inside)[starts] - 1, texts.inside.sum()).astype(np.int64)
         units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[texts.inside])))
         coded = units.dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        new = [w for w in distinct if w not in self.found]
-        if len(self.found) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = [w for w in distinct if w not in self.found]
-        if new:
-            self.learn(new)
-        slots = np.fromiter(map(self.found.__getitem__, distinct), np.int64, len(distinct))
+        slots = self.slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         self.batches[slots] += 1
-        slot = slots[codes]
+        slot = slots[coded.indices.to_numpy()]
         sizes = self.sizes[slot]
         upto = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=upto[1:])
