@@ -5,6 +5,7 @@ import hashlib
 import math
 import pickle
 import random
+import time
 import zlib
 
 import numpy as np
@@ -177,6 +178,31 @@ def test_line_dedup_matches_all_pairs(spark, seed):
         assert r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("min_words", [1, 2, 6])
+def test_line_dedup_by_any_white_space(spark, min_words):
+    rng = random.Random(min_words)
+    gaps = [" ", " ", "  ", "\t", " \r", "\x0b\x0c"]
+    rows = []
+    for i in range(60):
+        w = [f"é{k}\u2003" if k % 5 == 0 else f"w{k}" for k in range(rng.randrange(1, 9))]
+        if rng.random() < 0.7:
+            w[rng.randrange(len(w))] = f"new{i}"
+        line = "".join(x + rng.choice(gaps) for x in w)
+        lines = [rng.choice(["", " ", "\t"]) + line, rng.choice(["", "\r", " \x0b"]), line.strip()]
+        rows.append((i, "\n".join(lines), "en", "a", 0, "", "", "", ""))
+    gone = plain_lines(rows, min_words)
+    got = line_dedup(frame(spark, rows), min_words=min_words).collect()
+    assert {r.doc_id: r.text for r in got} == {r[0]: "\n".join(x for k, x in enumerate(r[1].split("\n")) if (r[0], k) not in gone) for r in rows}
+
+
+def test_line_dedup_splits_a_text_once(spark):
+    lines = [f"line {k} of many" for k in range(30_000)]
+    began = time.monotonic()
+    (got,) = line_dedup(frame(spark, [(1, "\n".join([*lines, lines[0]]), "en", "a", 0, "", "", "", "")])).select("text", "n_lines", "n_exact").collect()
+    assert got == ("\n".join(lines), 30_001, 1)
+    assert time.monotonic() - began < 40  # split again for each line: many minutes
+
+
 def test_line_dedup_hot_group_and_long_line(spark):
     base = [f"x{i}" for i in range(30)]
     rows = [(i, " ".join([*base[:10], f"v{i}", *base[11:]]), "en", "a", 0, "", "", "", "") for i in range(200)]

@@ -30,7 +30,8 @@ from threadloom.llm.marks import marks, slot, with_mark
 from threadloom.session import written
 
 SPACES = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]"
+#: white space in a line, besides the space
+BLANKS = "\t\x0b\x0c\r"
 #: hashes that are summed over a line stay below this, so that 2**27 words fit a long
 MODULUS = 1 << 36
 
@@ -39,30 +40,38 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(line, SPACES), lambda w: w != "")
 
 
+def spaced(line: Column) -> Column:
+    """A line's words with one space between them; most lines are so already, which is told without a regular expression."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+    for c in BLANKS:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.btrim(F.regexp_replace(line, SPACES, " "))).otherwise(line)
+
+
 def each_line(docs: DataFrame) -> DataFrame:
     """(doc_id, no, line) of the lines that hold a word."""
     lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.where(F.col("line").rlike(WORD))
+    return lines.where(F.ltrim("line", F.lit(" " + BLANKS)) != "")
 
 
-def half_keys(n: Column, hashes: Column) -> Column:
-    """For the shorter length m = n and m = n - 1: the hashes of the first m // 2 and the last m - m // 2 words."""
+def half_keys(n: Column, line: Column) -> Column:
+    """For the shorter length m = n and m = n - 1: the hashes of the first m // 2 and the last m - m // 2 words of a ``spaced`` line."""
+    words = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
 
     def pair(m: Column) -> list[Column]:
-        a = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit(0), m, F.slice(hashes, F.lit(1), a)), F.xxhash64(F.lit(1), m, F.slice(hashes, n - (m - a) + 1, m - a))]
+        a = F.shiftright(m, 1)
+        return [F.xxhash64(F.lit(0), m, words(a)), F.xxhash64(F.lit(1), m, words(a - m))]
 
     return F.array(*pair(n), *pair(n - 1))
 
 
 def first_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """Earliest (doc_id, no) of each distinct line, with its half keys (null under ``min_words`` words)."""
-    n = F.size("hashes")
-    lines = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    keyed = lines.withColumn("hashes", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))).where(F.size("hashes") > 0)
+    keyed = each_line(docs).withColumn("words", spaced(F.col("line")))
+    keyed = keyed.withColumn("n", F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
     keyed = keyed.select(
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        F.struct("doc_id", "no", F.when(n >= min_words, half_keys(n, F.col("hashes"))).alias("halves")).alias("at"),
+        F.struct("doc_id", "no", F.when(F.col("n") >= min_words, half_keys(F.col("n"), F.col("words"))).alias("halves")).alias("at"),
     )
     return keyed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at.*")
 
@@ -94,15 +103,16 @@ def variants(lines: DataFrame) -> DataFrame:
     places, pairs = F.sequence(i0, n - 1), F.sequence(F.lit(-1), n - 1)
     total = lambda hashes: F.aggregate(hashes, zero, plus)
     lines = lines.select(
-        "*", total(F.transform(places, lambda i: place(1, i))).alias("p1"), total(F.transform(places, lambda i: place(2, i))).alias("p2"),
-        total(F.transform(pairs, lambda i: pair(3, i, i + 1))).alias("g3"), total(F.transform(pairs, lambda i: pair(4, i, i + 1))).alias("g4"),
+        "*", F.transform(places, lambda i: place(1, i)).alias("p1s"), F.transform(places, lambda i: place(2, i)).alias("p2s"),
+        F.transform(pairs, lambda i: pair(3, i, i + 1)).alias("g3s"), F.transform(pairs, lambda i: pair(4, i, i + 1)).alias("g4s"),
     )
+    lines = lines.select("*", *(total(F.col(f"{c}s")).alias(c) for c in ("p1", "p2", "g3", "g4")))
     half = F.floor((n - 1) / 2).cast("int")
     low = F.when(F.col("in_head"), i0).otherwise(half)
     high = F.when(F.col("in_tail"), n - 1).otherwise(F.least(half + 1, n - 1))
     where = F.sequence(low, high)
-    replaced = lambda i: F.xxhash64(F.lit(7), n, i, F.col("p1") - place(1, i), F.col("p2") - place(2, i))
-    left = lambda k, i: F.col(f"g{k}") - pair(k, i - 1, i) - pair(k, i, i + 1) + pair(k, i - 1, i + 1)
+    replaced = lambda i: F.xxhash64(F.lit(7), n, i, F.col("p1") - F.get("p1s", i), F.col("p2") - F.get("p2s", i))
+    left = lambda k, i: F.col(f"g{k}") - F.get(f"g{k}s", i) - F.get(f"g{k}s", i + 1) + pair(k, i - 1, i + 1)
     one = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
     return lines.select(
         "doc_id", "no",
@@ -182,18 +192,18 @@ def line_dedup(docs: DataFrame, min_words: int = 8, max_edits: int = 1) -> DataF
         F.collect_set("no").alias("_gone"), F.count_if("exact").alias("_exact"), F.count_if(~F.col("exact")).alias("_near")
     )
     by_doc = written(by_doc, "gone").withColumnRenamed("doc_id", "_of")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    # a transform of one element splits a text once; a column of its lines would be split again for each line
+    rest = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone"), lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(F.split("text", "\n")), rest), F.lit(0)))
     # one plan at every size: the lost lines grow with the texts
-    out = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc["_of"], "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
-    columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    out = docs.join(by_doc.hint("merge"), docs["doc_id"] == by_doc["_of"], "left")
     zero = F.lit(0).cast("long")
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    return out.select(
-        *columns, F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
+    out = out.select(
+        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("_exact", zero).alias("n_exact"), F.coalesce("_near", zero).alias("n_near"),
     )
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 #: DuckDB SQL for op7's rows on documents: all earlier lines that share a variant with one word left out, compared word by word.
