@@ -204,3 +204,19 @@ def test_written_tables_go_when_asked(spark):
     assert kept.count() == gone.count() == 3 and all(os.path.isdir(p) for p in session.made[-2:])
     session.delete(spark, session.made[-1:])
     assert os.path.isdir(session.made[-2]) and not os.path.exists(session.made[-1]) and kept.count() == 3
+
+
+def test_ranges_as_their_sql_with_nulls_and_repeats(spark, tmp_path):
+    """A line without a part has no range and joins its file's last one; one without a number has no end."""
+    import duckdb
+
+    from threadloom.plans import demo
+
+    lines = [(file, part, line) for file in (1, 2, None) for part, line in ((None, 1), (None, 4), (3, None), (3, 1), (3, 1), (10, 2), (40, None), (12, 5))] + [(3, None, 1), (4, 7, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    db.execute("SET threads = 1")  # both windows of the SQL then order equal ranges alike
+    want = db.execute(f"SELECT file, first, last FROM ({demo.oracle_sql()['a12_hunks']})").fetchall()
+    got = demo.queries()["a12_hunks"](spark, str(tmp_path)).select("file", "first", "last").collect()
+    assert {tuple(r) for r in got} == set(want) and len(got) == len(want) == 11

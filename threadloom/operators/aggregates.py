@@ -87,8 +87,8 @@ def day_levels(rows: DataFrame, when: str) -> DataFrame:
 
 
 def merged_ranges(rows: DataFrame, by: list[str], first: str, last: str) -> DataFrame:
-    """(by, first, last): ranges of one group that overlap or touch become one."""
-    own = Window.partitionBy(*by).orderBy(first, last)
+    """(by, first, last): ranges of one group that overlap or touch become one. A range without a start comes last and joins the one before; one without an end reaches no further."""
+    own = Window.partitionBy(*by).orderBy(F.col(first).asc_nulls_last(), F.col(last).asc_nulls_last())
     before = F.max(last).over(own.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col(first) > before + 1), 1).otherwise(0)
     named = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
